@@ -62,7 +62,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
-def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, factors: int = 8, epochs: int = 15, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, factors: int = 8, steps: int = 2500, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Fit a second-order factorization machine for log loss with Adam on mini-batches.
 
     doc, row: coordinates of the ones of the sample's 0/1 matrix, in order of doc.
@@ -73,7 +73,7 @@ def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, facto
     state = [[np.zeros_like(np.asarray(p, float)), np.zeros_like(np.asarray(p, float))] for p in (w0, w, v)]
     bounds = np.searchsorted(doc, np.arange(len(label) + 1))
     step = 0
-    for _ in range(epochs):
+    while len(label) and step < steps:
         order = rng.permutation(len(label))
         for at in range(0, len(order), 256):
             pick = order[at : at + 256]
