@@ -62,7 +62,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
-def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, factors: int = 8, steps: int = 2500, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, factors: int = 8, steps: int = 2500, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Fit a second-order factorization machine for log loss with Adam on mini-batches.
 
     doc, row: coordinates of the ones of the sample's 0/1 matrix, in order of doc.
@@ -112,7 +112,7 @@ def _labelled(b: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known & (keys[at] == ids if len(keys) else np.zeros(len(ids), bool)), at
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms: int = 4096, text: str = "text", key: str = "doc_id") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms: int = 2048, text: str = "text", key: str = "doc_id") -> Machine:
     """Fit on at most sample_rows labelled rows that are not held out.
 
     Two scans: the first counts each slot's documents by label within tasks, which picks the n_terms
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms
     return Machine(place, bias, linear, factors)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, score, predicted) of every row of docs.
 
     held_out: crc32 of the key as text is divisible by 5; labels of such rows are never read. score is
