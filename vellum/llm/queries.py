@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import packing, quality, tokencount, toxicity
+from vellum.llm import mixing, packing, quality, store, tokencount, toxicity
+from vellum.llm.shared import shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +23,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "store")
+    store.write_store(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    store.check_roots(spark, path)
+    return store.document_index(spark, path)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,7 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op8_best_fit_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op6_token_store, op7_source_mixing, op8_best_fit_packing, op10_toxicity)}
 
 
 def oracles() -> dict[str, str]:

@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms
 
     Two scans: the first counts each slot's documents by label within tasks, which picks the n_terms
     slots with the most significant difference; the second brings only those slots of the sample to
-    the driver (sample_rows x a few dozen numbers).
+    the driver (sample_rows x a few hundred two-byte numbers).
     """
     keys, label = training_sample(labels, sample_rows)
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
@@ -149,11 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms
             if mine.any():
                 doc, slot = term_slots(Texts(b.column(1).filter(pa.array(mine)), lower=True))
                 row = place[slot]
-                yield pa.RecordBatch.from_arrays([pa.array(at[mine][doc[row >= 0]]), pa.array(row[row >= 0])], ["doc", "row"])
-
-    ones = rows.mapInArrow(gather, "doc long, row long").toPandas()
-    pair = np.unique(ones["doc"].to_numpy(np.int64) * SLOTS + ones["row"].to_numpy(np.int64))
-    bias, linear, factors = fit(pair // SLOTS, pair % SLOTS, label, max(len(chosen), 1))
+                doc, row = doc[row >= 0], row[row >= 0].astype(np.int16)
+                bounds = np.searchsorted(doc, np.arange(mine.sum() + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([row[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc", "terms"])
+
+    found = dict(rows.mapInArrow(gather, "doc long, terms binary").collect())  # a repeated key counts once
+    terms = [np.sort(np.frombuffer(found.get(i, b""), np.int16)) for i in range(len(label))]
+    doc = np.repeat(np.arange(len(label)), [len(t) for t in terms])
+    row = np.concatenate(terms) if terms else np.zeros(0, np.int16)
+    bias, linear, factors = fit(doc, row.astype(np.int64), label, max(len(chosen), 1))
     return Machine(place, bias, linear, factors)
 
 
