@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, mixing, packing, quality, store, tokencount, toxicity, weak
+from vellum.llm import ann, jaccard, mixing, packing, quality, store, tokencount, toxicity, weak
 from vellum.llm.shared import shared_dir
 
 
@@ -28,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "store")
     store.write_store(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_token_counts, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_token_counts, op5_ngram_jaccard, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity)}
 
 
 def oracles() -> dict[str, str]:
