@@ -99,6 +99,12 @@ class Texts:
         _, inverse = _grow(len(self.buf) + 1)
         return mix((h[end] - h[start]) * inverse[start] + (end - start).astype(np.uint64))
 
+    def rolling(self, k: int) -> np.ndarray:
+        """64-bit hashes of the k bytes from each place on, whatever documents they are in."""
+        h = self.prefix_hash()
+        _, inverse = _grow(len(self.buf) + 1)
+        return (h[k:] - h[:-k]) * inverse[: len(self.buf) - k + 1]
+
     def per_doc(self, starts: np.ndarray) -> np.ndarray:
         """Bounds of each document's part of a sorted array of positions."""
         return np.searchsorted(starts, self.off)
