@@ -1 +1 @@
-"""See the modules of this package."""
+"""Registered queries. Importing this package's modules registers them."""
