@@ -71,7 +71,7 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "versions": "SELECT source AS filename, doc_id AS version, sha256(text) AS doc_hash FROM {documents}",
     "replies": """
         SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'I found no data' WHEN event_id % 10 = 1 THEN 'Sure: ' || props || ' Anything else?'
-            WHEN event_id % 3 = 0 THEN 'Here you are:' || chr(10) || '```json' || chr(10) || substring(props, 1, length(props) - 1) || ', }' || chr(10) || '```'
+            WHEN event_id % 3 = 0 THEN 'Here you are:' || chr(10) || '```json' || chr(10) || substring(props, 1, length(props) - 1) || ', ' || chr(125) || chr(10) || '```'
             ELSE 'Result' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done' END AS reply FROM {events}""",
     "clauses": "SELECT p_partkey AS clause_no, p_brand AS doc, 'In this agreement \"' || p_name || '\" means ' || p_type || '. Other words have their usual meaning.' AS text FROM {part}",
 }
