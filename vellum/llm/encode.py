@@ -32,6 +32,7 @@ class Encoder:
         self.cut = _BYTE_LEVEL if self.tok.normalizer is None else _WORD_LEVEL
         self.width = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the memo before it last filled up
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -42,23 +43,33 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text, null as empty. Texts with special strings go to the library whole."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of each text, null as empty, then end_id. Texts with special strings go to the library whole."""
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        memo, out = self.memo, []
-        parts = []
-        for text in texts.to_pylist():
-            text = text or ""
-            parts.append(None if any(s in text for s in self.special) else self.cut.findall(text))
-            if parts[-1] is None:
-                parts[-1] = self._ids([text])[0]
-        new = {c for p in parts if isinstance(p, list) for c in p if c not in memo}
-        local = dict(zip(new, self._ids(list(new)), strict=True)) if new else {}
-        memo.update((c, ids) for c, ids in local.items() if len(c) < 100)
-        get = {**local}.get if any(len(c) >= 100 for c in local) else None
-        for p in parts:
-            if isinstance(p, list):
-                p = b"".join(map(memo.__getitem__, p)) if get is None else b"".join([memo[c] if c in memo else get(c) for c in p])
-            out.append(np.frombuffer(p, self.width))
+            self.memo, self.old = {}, self.memo
+        tail = b"" if end_id is None else np.array(end_id, self.width).tobytes()
+        flat, ends, whole = [], [], {}
+        for i, text in enumerate(texts.to_pylist()):
+            if text and any(s in text for s in self.special):
+                whole[i] = self._ids([text])[0]
+            elif text:
+                flat += self.cut.findall(text)
+            ends.append(len(flat))
+        found = list(map(self.memo.get, flat))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        if holes:
+            new = {flat[i]: None for i in holes}
+            unknown = []
+            for c in new:
+                if (ids := self.old.get(c)) is None:
+                    unknown.append(c)
+                new[c] = ids
+            new.update(zip(unknown, self._ids(unknown), strict=True))
+            for i in holes:
+                found[i] = new[flat[i]]
+            self.memo.update(new if max(map(len, new)) < 100 else {c: ids for c, ids in new.items() if len(c) < 100})
+        out, at = [], 0
+        for i, end in enumerate(ends):
+            out.append(np.frombuffer(whole.get(i) + tail if i in whole else b"".join(found[at:end]) + tail, self.width))
+            at = end
         return out

@@ -124,8 +124,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
         enc = Encoder.of(vocabulary)
         for b in slices(batches, "t", 1 << 19):
             rows, piece, start, length, crc = [], [], [], [], []
-            for r, ids in enumerate(enc.encode(b.column(1))):
-                ids = np.append(ids, end_id).astype("<u4")
+            for r, ids in enumerate(enc.encode(b.column(1), end_id)):
+                ids = ids.astype("<u4")
                 for p in range(0, len(ids), capacity):
                     part = ids[p : p + capacity]
                     rows.append(r)

@@ -16,7 +16,7 @@ from vellum.llm.shared import range_bucket
 from vellum.llm.textbytes import slices
 
 #: A chunk ends after an id at which the rolling hash of the last WINDOW ids has its CUT_BITS high bits at 0.
-WINDOW = 16
+WINDOW = 8
 CUT_BITS = 9
 LONGEST = 8192
 DIGEST = 16
@@ -26,22 +26,34 @@ _COLUMNS = "kind string, shard int, digest binary, payload binary, doc_id long,
 ROW = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of an id stream; the same run of ids is cut alike in any document."""
-    n = len(ids)
+def cuts(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the content-defined chunks of each id stream; the same run of ids is cut alike in any document.
+
+    The hash at a place covers the WINDOW ids up to it; the first WINDOW ids of a stream aren't cut.
+    """
+    size = np.array([len(x) for x in streams])
+    base = np.cumsum(size) - size
+    ids = np.concatenate(streams)
     g = _GEAR[ids & 0xFFFF]
-    h = np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):
-        h[j:] += g[: n - j] << np.uint64(j)
-    ends = (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist()
-    out, at = [], 0
-    for e in [*ends, n]:
-        while e - at > LONGEST:
-            at += LONGEST
-            out.append(at)
-        if e > at:
-            out.append(e)
-            at = e
+    h = np.zeros(len(ids), np.uint64)
+    for j in range(min(WINDOW, len(ids))):
+        h[j:] += g[: len(ids) - j] << np.uint64(j)
+    at = np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+    which = np.searchsorted(base, at - 1, side="right") - 1
+    at = at - base[which]
+    which, at = which[at > WINDOW], at[at > WINDOW]
+    edge = np.searchsorted(which, np.arange(len(streams) + 1))
+    out = []
+    for i, n in enumerate(size.tolist()):
+        mine, start = [], 0
+        for e in [*at[edge[i] : edge[i + 1]].tolist(), n]:
+            while e - start > LONGEST:
+                start += LONGEST
+                mine.append(start)
+            if e > start:
+                mine.append(e)
+                start = e
+        out.append(mine)
     return out
 
 
@@ -82,10 +94,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard_
         seen: set[bytes] = set()
         for b in slices(batches, "t", 1 << 19):
             out = []
-            for doc, shard, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), enc.encode(b.column(1)), strict=True):
-                ids = np.append(ids, np.array(end_id, enc.width))
+            streams = enc.encode(b.column(1), end_id)
+            for doc, shard, ids, ends in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), streams, cuts(streams), strict=True):
                 raw, step, at, recipe = ids.tobytes(), enc.width.itemsize, 0, []
-                for e in cuts(ids):
+                for e in ends:
                     part = raw[at * step : e * step]
                     at = e
                     digest = blake2b(part, digest_size=DIGEST).digest()
