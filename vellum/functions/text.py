@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The patterns that these rules are defined by.
 MONEY = r"(?iUd)[$€£¥]|\b(USD|EUR|GBP|JPY|CHF|CAD|AUD|CNY|HKD|SGD|NZD|KRW)\b|\(\d{1,3}(?:,\d{3})*\)|\d+(?:\.\d+)?[x%]"
-UNITS = r"(?iUd)\b(sq\s?ft|sf|m2|psf|keys|MW|GWh|TEU|dwt|mt|bbl)\b|\b(?=.*\d)(?=.*[A-Z])[A-Z0-9]{9,12}\b"
+UNITS = r"(?iUd)\b(sq\s?ft|sf|m2|psf|keys|MW|GWh|TEU|dwt|mt|bbl)\b|\b(?=[A-Z0-9]{9,12}\b)(?=.*\d)(?=.*[A-Z])[A-Z0-9]{9,12}\b"
 PERIODS = r"(?Ud)\b(?:FY|Q[1-4]|LTM)\d{2}\b|\b2[0O]\d{2}[E]?\b"
 DOT_LEADER = r"(?md)\.{5,}\s*\d+$"
 LEGAL_START = r"^(article|section)\s+\d"
