@@ -33,6 +33,7 @@ def votes(t: Texts) -> np.ndarray:
     symbols = s["n_symbols"] / n
     capitals = upper / np.maximum(upper + lower, 1)
     stops = t.sum_by_doc(t.buf == 46)
+    enough = s["n_words"] >= 20  # shares of fewer words say little
     letter = ((t.buf | 32) >= 97) & ((t.buf | 32) <= 122) | (t.buf >= 128)
     letters = t.sum_by_doc(letter) / np.maximum(t.sum_by_doc(t.buf > 32), 1)
     start, end = t.words()
@@ -53,13 +54,13 @@ def votes(t: Texts) -> np.ndarray:
     return np.stack(
         (
             vote(s["n_words"] >= 30, s["n_words"] < 5),
-            vote(repeat <= 0.05, repeat > 0.20),
+            vote(repeat <= 0.05, repeat > 0.50),
             vote(adjacent <= 0.02, adjacent > 0.15),
             vote(symbols <= 0.02, symbols > 0.20),
-            vote(letters >= 0.93, letters < 0.88),
-            vote(wordless <= 0.03, wordless > 0.15),
+            vote(letters >= 0.93, enough & (letters < 0.88)),
+            vote(wordless <= 0.03, enough & (wordless > 0.15)),
             vote(capitals <= 0.25, capitals > 0.60),
-            vote(s["n_dup_lines"] == 0, s["n_dup_lines"] > 0.3 * lines),
+            vote(s["n_dup_lines"] == 0, s["n_dup_lines"] > 0.5 * lines),
             vote((stops > 0) & (marks <= 0.3 * n), (marks > 0.5 * n) | ((stops == 0) & (s["n_words"] > 30))),
         ),
         1,
