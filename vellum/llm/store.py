@@ -17,7 +17,7 @@ from vellum.llm.textbytes import slices
 
 #: A chunk ends after an id at which the rolling hash of the last WINDOW ids has its CUT_BITS high bits at 0.
 WINDOW = 8
-CUT_BITS = 9
+CUT_BITS = 10
 LONGEST = 8192
 DIGEST = 16
 
