@@ -123,7 +123,7 @@ def fit(x: np.ndarray, total: int, radius: float, copy_ratio: float = 0.03, reca
     index = Index(x.shape[1], radius, c, links, copy_ratio, 0.0, np.ones(k, int))
     row, home = index.homes(x)
     index.parts = np.maximum(1, -(-np.bincount(home, minlength=k) * total // (len(x) * PART_ROWS)))
-    q = x[: min(len(x), 1_000)]
+    q = x[: min(len(x), 300)]
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     t = min(top, len(x) - 1)
