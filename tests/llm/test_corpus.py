@@ -71,6 +71,24 @@ def test_ngram_join(spark, awkward, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_join(df).collect()) == linked(rows)
 
 
+def test_ngram_join_dealt_tokens(spark):
+    """Frequent tokens of small groups are dealt over many parts, where most of their postings are alone."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)]) for _ in range(n)) for n in (5, 7, 30, 90) for _ in range(5)]
+    for n in (12, 30, 60):
+        base = [f"g{n}x{i}" for i in range(120)]
+        for _ in range(n):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**9)}"
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+        short = [f"s{n}x{i}" for i in range(14)]
+        texts += [" ".join([*short, f"e{rng.randrange(10**9)}"]) for _ in range(n)]
+    rows = list(enumerate(texts))
+    got = jaccard.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), parts=48).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(rows)
+
+
 def test_ngram_join_edges(spark, awkward):
     want = linked([(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_join(awkward).collect()) == want

@@ -144,10 +144,11 @@ def postings(docs: DataFrame, words: int, text: str, parts: int, frequent: np.nd
     return docs.select(docs[text].cast("string").alias("t")).mapInArrow(run, "part int, tokens binary, owners binary, pids binary, sizes binary")
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _gather(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(part, token, pid, size) of the postings of each part, sorted by token, each pid once per token.
 
-    Rows come sorted by part; a part is a bounded slice of the token space.
+    Rows come sorted by part; a part is a bounded slice of the token space. Postings that are alone in their
+    part go, but those of frequent tokens stay: these are dealt out, and their company is in other parts.
     """
 
     def done(part, rows):
@@ -168,6 +169,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         some = np.zeros(len(token), bool)
         some[1:] = same
         some[:-1] |= same
+        if frequent is not None:
+            some |= _among(token, frequent)
         token, pid, size = token[some], pid[some], size[some]
         order = np.lexsort((pid, token))
         token, pid, size = token[order], pid[order], size[order]
@@ -245,7 +248,7 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
         def row(cell, salt, members, met=None):
             return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([salt], pa.int32()), pa.array([members.tobytes()], pa.binary()), pa.array([b"" if met is None else met.tobytes()], pa.binary())], ["cell", "salt", "members", "met"])
 
-        for _, token, pid, size in _gather(batches):
+        for _, token, pid, size in _gather(batches, frequent):
             hot = _among(token, frequent)
             # Tokens in company of each point: those of its routing tokens that some other point has, too.
             _, at, n = np.unique(token, return_inverse=True, return_counts=True)
