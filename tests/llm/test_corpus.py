@@ -89,6 +89,17 @@ def test_ngram_join_dealt_tokens(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(rows)
 
 
+def test_late_askers_start_at_their_first_place(spark):
+    """A point that asks for the first time in turn 2 proposes its best partners, too."""
+    counts = bytes([1] * jaccard.GROUPS)
+    rows = [(1, 0, i, jaccard.GROUPS, counts, 7 if i == 20 else 3, int(i == 20)) for i in range(21)]
+    members = spark.createDataFrame(rows, "cell long, block int, pid long, n long, counts binary, label long, asks int")
+    got = jaccard.candidates(members, 2, 1).collect()
+    assert {(r.a, r.b) for r in got if r.a != r.b} == {(i, 20) for i in range(20)}
+    assert sum(r.more for r in got) == 0
+    assert sum(r.more for r in jaccard.candidates(members, 1, 1).collect()) == 12
+
+
 def test_ngram_join_edges(spark, awkward):
     want = linked([(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_join(awkward).collect()) == want

@@ -345,17 +345,20 @@ class RTree:
         return who, self.order[node], bound
 
 
-def _slice(turn: int) -> tuple[int, int]:
-    """Places of a point's list of candidates that a turn tries: 0-8, 8-40, 40-168 ..."""
-    start = lambda k: 8 * (4**k - 1) // 3
-    return start(turn - 1), start(turn)
+def _reach(turn: int) -> int:
+    """How many places of a point's list of candidates a turn tries: 8, 40, 168 ...
+
+    Always from the first place: labels change, so a point may ask late that did not ask before.
+    """
+    return 8 * (4**turn - 1) // 3
 
 
 def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
     """(a, b, more) of one turn, from rows (cell, block, pid, n, counts, label, asks), more: pairs left for later turns.
 
     Turn 0 proposes each point's best partner in its block. Later turns propose, for each asking point,
-    the next slice of all partners in the block, best bound first, without those of its own label.
+    the first partners in the block, more in each turn, best bound first, without those of its own label.
+    In the last turn, which leaves none, every pair of different labels with an asking point is proposed.
     """
 
     def propose(pid, n, counts, label, asks):
@@ -363,7 +366,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
         x = np.flatnonzero(member)
         tree = RTree(counts[x], n[x])
         ask = np.flatnonzero(asks > 0) if turn else np.arange(len(pid))
-        lo, hi = (0, 1) if not turn else _slice(turn)
+        hi = _reach(turn) if turn else 1
         for at in range(0, len(ask), 512):
             q = ask[at : at + 512]
             who, node, bound = tree.search(counts[q], n[q])
@@ -377,7 +380,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
             first = np.searchsorted(a, a)
             place = np.arange(len(a)) - first
             top = np.where(asks[a] == 2, 4, hi) if not turn else hi
-            pick = (place >= lo) & (place < top)
+            pick = place < top
             differ = label[a] != label[b]
             yield np.minimum(pid[a], pid[b])[pick & differ], np.maximum(pid[a], pid[b])[pick & differ], int((differ & (place >= top)).sum())
 
