@@ -100,6 +100,19 @@ def test_late_askers_start_at_their_first_place(spark):
     assert sum(r.more for r in jaccard.candidates(members, 1, 1).collect()) == 12
 
 
+@pytest.mark.parametrize("rows_a_block", [256, 8])
+def test_ngram_join_counts_every_link(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(jaccard, "LINK_ROWS", rows_a_block)
+    rng = random.Random(9)
+    texts = near_copies(rng, 60, (1, 2, 3))[0]
+    texts += [" ".join(t.split()[: rng.choice((70, 90, 110, 130))]) for t in texts[:40]] + ["a b c d e f", "A b c d e f", texts[0].upper()]
+    sets = [frozenset(shingle_set(t)) for t in texts]
+    want = {a: sum(100 * len(a & b) >= 75 * len(a | b) for b in set(sets) if b != a) for a in sets}
+    assert max(want.values()) > 20
+    got = jaccard.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), parts=4).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: want[a] for i, a in enumerate(sets)}
+
+
 def test_ngram_join_edges(spark, awkward):
     want = linked([(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_join(awkward).collect()) == want

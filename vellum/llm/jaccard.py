@@ -38,6 +38,9 @@ LEAF = 16
 SAMPLE_ROWS = 20_000
 SAMPLE_SHARE = 12
 SALTS = 64
+#: Sets, and shingles, of one block when the links of a component are found, about.
+LINK_ROWS = 256
+LINK_TOKENS = 1 << 20
 
 
 def company(n):
@@ -434,8 +437,90 @@ def links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: str) -> DataFrame:
-    """points() with root, component_id and n_links of each row; nulls for rows without shingles."""
+def _block_links(pid: np.ndarray, side: np.ndarray, n: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between the sets of side 0 and those of side 1, or among all if there is no side 1; token: those of each set in turn."""
+    doc = np.repeat(np.arange(len(n)), n)
+    _, at, many = np.unique(token, return_inverse=True, return_counts=True)
+    shared = many > 1
+    at, doc = (np.cumsum(shared) - 1)[at][shared[at]], doc[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, doc = at[order], doc[order]
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1)
+    alone = not len(y)
+    y = x if alone else y
+    both = np.zeros((len(x), len(y)))
+    step = 4_096
+    cut = np.searchsorted(at, np.arange(0, int(shared.sum()) + step, step))
+    for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+        has = np.zeros((len(n), min(step, int(shared.sum()) - k * step)), np.float32)
+        has[doc[i:j], at[i:j] - k * step] = 1
+        both += has[x] @ has[y].T
+    a, b = np.nonzero(DEN * both >= NUM * (n[x][:, None] + n[y][None, :] - both))
+    if alone:
+        a, b = a[a < b], b[a < b]
+    a, b = pid[x[a]], pid[y[b]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def all_links(home: DataFrame, texts: DataFrame, words: int, parts: int) -> DataFrame:
+    """(a, b), a < b: every link between the sets of home (pid, n, root), each once; root: the component, texts: (pid, t).
+
+    Linked sets are in one component, so each component is compared with itself, all pairs exactly. Large ones are
+    compared block by block: blocks are by size, then by hash, and only blocks of sizes within a factor of 4/3 meet.
+    """
+    total = home.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("pid").alias("a"), F.max("pid").alias("b")).filter("m > 1")
+    two = total.filter("m = 2").select("a", "b")
+    # Steps of 1.34, a little more than 4/3: linked sets are at most one step apart.
+    step = F.when((F.col("m") <= LINK_ROWS) & (F.col("s") <= LINK_TOKENS), 0).otherwise(F.floor(F.log("n") / F.log(F.lit(1.34)))).cast("int")
+    sized = home.join(total.filter("m > 2").select("root", "m", "s"), "root").withColumn("g", step)
+    blocks = sized.groupBy("root", "g").agg(F.ceil(F.greatest(F.count("*") / LINK_ROWS, F.sum("n") / LINK_TOKENS)).cast("int").alias("k"))
+    blocks = settle(blocks, "blocks")
+    at = lambda d, name: blocks.select("root", (F.col("g") + d).alias("g"), F.col("k").alias(name))
+    dealt = sized.join(blocks, ["root", "g"]).join(at(-1, "up"), ["root", "g"], "left").join(at(1, "down"), ["root", "g"], "left")
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("pid"), F.col("k")).cast("int"))
+    none = F.array().cast("array<int>")
+    upto = lambda lo, n: F.when(n > lo, F.sequence(lo, n - 1)).otherwise(none)
+    meet = lambda g, i, h, j, side: F.struct(g.alias("g"), i.alias("i"), h.alias("h"), j.alias("j"), F.lit(side).alias("side"))
+    g, i, zero = F.col("g"), F.col("i"), F.lit(0)
+    where = F.concat(
+        F.transform(upto(i, F.col("k")), lambda j: meet(g, i, g, j, 0)),
+        F.transform(upto(zero, i), lambda j: meet(g, j, g, i, 1)),
+        F.transform(upto(zero, F.coalesce("up", zero)), lambda j: meet(g, i, g + 1, j, 0)),
+        F.transform(upto(zero, F.coalesce("down", zero)), lambda j: meet(g - 1, j, g, i, 1)),
+    )
+    groups = dealt.select("root", "pid", F.explode(where).alias("w")).select("root", "w.g", "w.i", "w.h", "w.j", "w.side", "pid").join(texts, "pid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done():
+            a, b = _block_links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in slices(batches, "t"):
+            doc, token = shingles(Texts(b.column(7), lower=True), words)
+            bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(5)], 1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and at != tuple(key[lo]):
+                    yield done()
+                at = tuple(key[lo])
+                held.append((b.column(6).to_numpy()[lo:hi], b.column(5).to_numpy()[lo:hi], np.diff(bounds[lo : hi + 1]), token[bounds[lo] : bounds[hi]]))
+        if held:
+            yield done()
+
+    order = ["root", "g", "i", "h", "j"]
+    met = groups.select(*order, "side", "pid", "t").repartition(parts, *order).sortWithinPartitions(*order)
+    return met.mapInArrow(run, "a long, b long").unionByName(two)
+
+
+def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: str, count: bool = False) -> DataFrame:
+    """points() with root and component_id of each row, and n_links if they are to be counted; nulls for rows without shingles."""
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     point = settle(points(docs, words, text, key), "points")
@@ -490,10 +575,14 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
         turn += 1
     if some:
         label = settle(components(edges), "labels")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("pid")).groupBy("pid").agg(F.count("*").alias("n_links"))
     home = classes.select("pid", "low").join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
     least = home.groupBy("root").agg(F.min("low").alias("component_id"))
-    home = home.join(least, "root").join(degree, "pid", "left").select(F.col("pid").alias("p"), "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    home = home.join(least, "root").select(F.col("pid").alias("p"), "root", "component_id")
+    if count:  # the search leaves out links inside a component
+        inside = label.select(F.col("node").alias("pid"), "root").join(classes.select("pid", "n"), "pid")
+        found = all_links(settle(inside, "inside"), texts, words, parts)
+        degree = settle(found.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count("*").alias("n_links")), "degrees")
+        home = home.join(degree, "p", "left")
     return point.join(home, (F.col("pid") == F.col("p")) & (F.col("n") > 0), "left")
 
 
@@ -502,14 +591,14 @@ def ngram_join(docs: DataFrame, words: int = WORDS, parts: int | None = None, te
 
     Words are runs of bytes other than \\x20 and \\x09-\\x0D, A-Z lower-cased; sets are of `words`-word
     shingles, or of the whole sequence if it is shorter. Rows with 100 * |intersection| >= 75 * |union| are
-    linked; component_id is the smallest doc_id in the connected component. n_links: verified links of the
-    row's set to other sets that the search needed (copies share one set).
+    linked; component_id is the smallest doc_id in the connected component. n_links: the number of other
+    sets that the row's set is linked with (copies share one set); every pair within a component is compared.
 
     Null, empty and blank texts have 0 shingles and are linked with nothing: component_id is their own
     doc_id. Rows that repeat a doc_id are rows of their own; rows with a null doc_id are linked as others
     and show the smallest id of their component, null if it has none. Other columns are not read.
     """
-    out = _labelled(docs, words, parts, text, key)
+    out = _labelled(docs, words, parts, text, key, count=True)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
