@@ -1,3 +1,7 @@
+from pyspark.sql import functions as F
+
+from tests.conftest import SF
+from vellum.plans import index
 from vellum.streaming.ingest import stream_ingest
 
 
@@ -13,3 +17,12 @@ def test_two_triggers_equal_one_batch(spark, tmp_path):
     stream_ingest(spark, zone, ledger, points, state).awaitTermination()
     assert sorted(r.clean_text for r in spark.read.parquet(points).collect()) == ["one", "three", "two"]
     assert spark.read.parquet(ledger).count() == 3
+
+
+def test_ingest_query_has_each_file_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "_folder", lambda spark, name: str(tmp_path / name))
+    got = [r.doc_hash for r in index.e14(spark, SF).collect()]
+    files = [r.h for r in index.S.drop_zone_scan(spark, str(tmp_path / "zone")).select(F.sha2("content", 256).alias("h")).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(files)
+    assert len(got) >= spark.read.parquet(f"{SF}/documents.parquet").count() / index.FILE_ROWS
+    assert len(set(files)) < len(files) < 2 * len(set(files))

@@ -27,6 +27,15 @@ def _folder(spark, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+#: Documents of one file in a drop zone at most.
+FILE_ROWS = 20
+
+
+def _drop(rows, zone: str) -> None:
+    """Write the texts of rows as files of FILE_ROWS documents at most; the same rows in the same order give the same files."""
+    rows.select("text").write.mode("append").option("maxRecordsPerFile", FILE_ROWS).text(zone)
+
+
 def _routed(spark, d):
     files = load(spark, d, "files")
     return S.route_files(files, files.filter("seq % 29 <> 0"))
@@ -34,9 +43,9 @@ def _routed(spark, d):
 
 @query("a1_drop_zone_scan")
 def a1(spark, d):
-    """The texts of documents as files in a folder, scanned: sizes by file."""
+    """The texts of documents as files of a few documents in a folder, scanned: sizes by file."""
     zone = _folder(spark, "zone")
-    load(spark, d, "documents").select("text").write.text(zone)
+    _drop(load(spark, d, "documents"), zone)
     found = S.drop_zone_scan(spark, zone)
     return found.select("file_name", "length", F.sha2("content", 256).alias("doc_hash"))
 
@@ -45,7 +54,7 @@ def a1(spark, d):
 def a12(spark, d):
     """The same folder read as a stream into a table: one row per file."""
     zone, out = _folder(spark, "zone"), _folder(spark, "seen")
-    load(spark, d, "documents").select("text").write.text(zone)
+    _drop(load(spark, d, "documents"), zone)
     rows = S.drop_zone_stream(spark, zone).select("file_name", "length", F.sha2("content", 256).alias("doc_hash"))
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
@@ -53,13 +62,15 @@ def a12(spark, d):
 
 @query("e14_stream_ingest")
 def e14(spark, d):
-    """Documents dropped in two lots with some in both: the ledger has each content once."""
+    """Documents dropped as files of a few documents in two lots, of which a third of all is in both: the ledger has each content once."""
     zone, ledger, points, state = (_folder(spark, n) for n in ("zone", "ledger", "points", "state"))
-    texts = load(spark, d, "documents").repartition(4).select("text")
-    for _ in range(2):
-        texts.write.mode("append").text(zone)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    docs = load(spark, d, "documents").withColumn("third", F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    for lot in ((0, 1), (1, 2)):
+        for third in lot:  # files of their own for each third, so that those of the third in both lots are the same
+            _drop(docs.filter(F.col("third") == third).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text"), zone)
         stream_ingest(spark, zone, ledger, points, state).awaitTermination()
-    return spark.read.parquet(ledger).select("doc_hash", "status").distinct()
+    return spark.read.parquet(ledger).select("doc_hash", "status")
 
 
 @query("a2_route_files", ctes("files").rstrip() + f", {_ROUTED} SELECT file_name, route, reason FROM routed")
