@@ -136,3 +136,12 @@ def test_image_pixels(spark, tmp_path):
     (tmp_path / "i.png").write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
     found = {(r.x, r.y): (r.r, r.g, r.b) for r in S.image_pixels(spark, str(tmp_path)).collect()}
     assert found == {(x, y): rows[y][x] for x in range(2) for y in range(2)}
+
+
+def test_terms_of_any_length_are_attached(spark):
+    from vellum.operators.grounding import term_injection
+
+    chunks = spark.createDataFrame([("c1", "The Net Asset Value per Share, as of today"), ("c2", "asset value"), ("c3", "")], "chunk_id string, clean_text string")
+    terms = spark.createDataFrame([("net asset value per share", "m5"), ("Asset Value", "m2"), ("the net asset value per share as of today and on", "m11"), ("--", "none")], "term string, meaning string")
+    got = {(r.chunk_id, r.meaning) for r in term_injection(chunks, terms).collect()}
+    assert got == {("c1", "m5"), ("c1", "m2"), ("c2", "m2")}

@@ -47,20 +47,20 @@ def definitions_extract(clauses: DataFrame) -> DataFrame:
     return clauses.select("doc", "clause_no", F.explode(found).alias("d")).select("doc", "clause_no", "d.term", "d.meaning")
 
 
-def term_injection(chunks: DataFrame, definitions: DataFrame, most_words: int = 3) -> DataFrame:
-    """(chunk_id, term, meaning): definitions whose term, of up to most_words words, stands in the chunk. Declared only; own semantics.
+def term_injection(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(chunk_id, term, meaning): definitions whose term stands in the chunk. Declared only; own semantics.
 
     Words are lower-case runs of letters and digits; terms meet chunks by an equi-join on their word sequence.
+    Word sequences of a chunk are made of just the lengths that occur among the terms.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    terms = definitions.select("term", "meaning", F.array_join(words(F.col("term")), " ").alias("_k")).filter("_k <> ''").distinct()
-    w = chunks.select("chunk_id", words(F.col("clean_text")).alias("w"))
-    run_of = lambda n: lambda i: F.array_join(F.slice("w", i, n), " ")
-    runs = None
-    for n in range(1, most_words + 1):
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        part = w.select("chunk_id", F.explode(F.array_distinct(F.transform(at, run_of(n)))).alias("_k"))
-        runs = part if runs is None else runs.unionByName(part)
+    split = definitions.select("term", "meaning", words(F.col("term")).alias("_w")).filter(F.size("_w") > 0)
+    terms = split.select("term", "meaning", F.array_join("_w", " ").alias("_k")).distinct()
+    sizes = split.agg(F.collect_set(F.size("_w")).alias("_sizes"))
+    w = chunks.select("chunk_id", words(F.col("clean_text")).alias("w")).crossJoin(F.broadcast(sizes))
+    w = w.select("chunk_id", "w", F.explode("_sizes").alias("n")).filter(F.size("w") >= F.col("n"))
+    run_of = lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")
+    runs = w.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), run_of))).alias("_k"))
     return runs.join(terms, "_k").select("chunk_id", "term", "meaning").distinct()
 
 
