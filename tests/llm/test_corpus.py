@@ -241,6 +241,15 @@ def test_store_finds_damage(spark, awkward):
         store.document_index(spark, bad).collect()
 
 
+def test_shared_passage_is_stored_once():
+    rng = np.random.default_rng(4)
+    ids = lambda n: rng.integers(0, 50_000, n).astype("<u2")
+    passage = ids(500)
+    streams = [np.concatenate((ids(100), passage, ids(100))) for _ in range(40)]
+    chunks = {x[a:e].tobytes(): e - a for x, ends in zip(streams, store.cuts(streams), strict=True) for a, e in zip([0, *ends], ends, strict=False)}
+    assert sum(chunks.values()) < 0.6 * sum(map(len, streams))
+
+
 def test_store_of_nothing(spark, awkward):
     path = shared_dir(spark, "store")
     store.write_store(awkward.limit(0), path, public_tokenizers.path("byte_bpe_50k.json"), 2)

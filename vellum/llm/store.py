@@ -15,9 +15,10 @@ from vellum.llm.encode import Encoder
 from vellum.llm.shared import range_bucket
 from vellum.llm.textbytes import slices
 
-#: A chunk ends after an id at which the rolling hash of the last WINDOW ids has its CUT_BITS high bits at 0.
+#: A chunk ends after an id at which the rolling hash of the last WINDOW ids has its CUT_BITS high bits at 0:
+#: every 128 ids on average, so that a shared passage of a few hundred ids has whole chunks of its own.
 WINDOW = 8
-CUT_BITS = 10
+CUT_BITS = 7
 LONGEST = 8192
 DIGEST = 16
 
