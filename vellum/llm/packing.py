@@ -40,46 +40,61 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int = CAPACITY, most_passes: int = 20) -> list[list[int]]:
-    """Exchange items between underfull bins while the sum of squared fills rises; emptied bins go.
-
-    The emptiest bin gives: a move puts one of its items into another bin; a one-for-one or two-for-one
-    exchange puts one or two of its items there for a smaller one. Each step makes a fuller bin fuller.
+def _sums(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sums of one or two of a bin's items, rising, and the items (places in the bin; -1: none) of each."""
+    order = np.argsort(sizes, kind="stable")
+    size, at, many = np.unique(sizes[order], return_index=True, return_counts=True)
+    again = np.flatnonzero(many > 1)
+    one, second = order[at], order[at[again] + 1]
+    i, j = np.triu_indices(len(size), 1)
+    total = np.concatenate((size, size[i] + size[j], 2 * size[again]))
+    items = np.concatenate((np.stack((one, np.full(len(one), -1)), 1), np.stack((one[i], one[j]), 1), np.stack((one[again], second), 1)))
+    total, first = np.unique(total, return_index=True)
+    return total, items[first]
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    """Exchange items between underfull bins until no exchange raises the sum of squared fills; emptied bins go.
+
+    A move puts one or two items of the giving bin into another; a one-for-one or two-for-one exchange takes
+    a smaller item back. Each underfull bin gives in turn, the emptiest first; of all exchanges with all other bins
+    it makes the one that raises the squares most. A bin that changed rests until the next turn; a turn
+    without a change is the last. All items of all underfull bins are looked at: a bin has less than
+    sqrt(2 * capacity) different sizes, and for each of the taker's the best sum of the giver's is found by bisection.
     """
     full = [b for b in bins if sizes[b].sum() == capacity]
-    open_ = [list(b) for b in bins if sizes[b].sum() < capacity]
-    fill = [int(sizes[b].sum()) for b in open_]
-    for _ in range(most_passes):
-        changed = False
-        for giver in sorted(range(len(open_)), key=lambda b: fill[b])[:64]:
-            for taker in sorted(range(len(open_)), key=lambda b: -fill[b]):
-                room = capacity - fill[taker]
-                if taker == giver or not room or not open_[giver] or fill[taker] < fill[giver]:
-                    continue
-                best = (0, [], [])
-                mine = sorted(open_[giver], key=lambda i: -sizes[i])[:60]
-                pairs = [(int(sizes[a]) + int(sizes[c]), [a, c]) for k, a in enumerate(mine) for c in mine[k + 1 :]]
-                singles = [(int(sizes[a]), [a]) for a in mine]
-                for s, items in singles:
-                    if best[0] < s <= room:
-                        best = (s, items, [])
-                for theirs in sorted(open_[taker], key=lambda i: sizes[i])[:60]:
-                    t = int(sizes[theirs])
-                    for s, items in singles + pairs:
-                        if best[0] < s - t <= room:
-                            best = (s - t, items, [theirs])
-                gain, out, back = best
-                if gain:
-                    open_[giver] = [i for i in open_[giver] if i not in out] + back
-                    open_[taker] = [i for i in open_[taker] if i not in back] + out
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    changed = True
-        keep = [b for b in range(len(open_)) if open_[b]]
-        open_, fill = [open_[b] for b in keep], [fill[b] for b in keep]
-        if not changed:
+    open_ = [np.array(b) for b in bins if sizes[b].sum() < capacity]
+    while len(open_) > 1:
+        fill = np.array([sizes[b].sum() for b in open_])
+        # What a taker can give back: nothing, or an item of one of its sizes.
+        back = [np.unique(sizes[b], return_index=True) for b in open_]
+        whose = np.repeat(np.arange(len(open_)), [len(x) + 1 for x, _ in back])
+        size = np.concatenate([np.append(0, x) for x, _ in back])
+        place = np.concatenate([np.append(-1, at) for _, at in back])
+        room = (capacity - fill)[whose] + size
+        rests = np.zeros(len(open_), bool)
+        for giver in np.argsort(fill, kind="stable"):
+            if rests[giver]:
+                continue
+            total, items = _sums(sizes[open_[giver]])
+            best = np.searchsorted(total, room, side="right") - 1
+            gain = np.where(best >= 0, total[np.maximum(best, 0)], 0) - size
+            rise = np.where((gain > 0) & (whose != giver) & ~rests[whose], gain * (fill[whose] - fill[giver] + gain), 0)
+            k = int(rise.argmax())
+            if rise[k] <= 0:
+                continue
+            taker, out, theirs = whose[k], items[best[k]], place[k]
+            out = out[out >= 0]
+            g, t = open_[giver], open_[taker]
+            open_[giver] = np.append(np.delete(g, out), t[[theirs]] if theirs >= 0 else t[:0])
+            open_[taker] = np.append(np.delete(t, theirs) if theirs >= 0 else t, g[out])
+            rests[[giver, taker]] = True
+        if not rests.any():
             break
-    return full + open_
+        left = [b for b in open_ if len(b)]
+        full += [b.tolist() for b in left if sizes[b].sum() == capacity]
+        open_ = [b for b in left if sizes[b].sum() < capacity]
+    return full + [b.tolist() for b in open_]
 
 
 def pack(pieces: DataFrame, rows_per_group: int = 20_000, capacity: int = CAPACITY) -> DataFrame:
@@ -122,7 +137,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(vocabulary)
-        for b in slices(batches, "t", 1 << 19):
+        for b in slices(batches, "t", 1 << 20):
             rows, piece, start, length, crc = [], [], [], [], []
             for r, ids in enumerate(enc.encode(b.column(1), end_id)):
                 ids = ids.astype("<u4")
