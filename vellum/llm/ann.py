@@ -107,9 +107,10 @@ class Index:
         return [np.flatnonzero(row <= (1 + self.list_ratio) * row.min()) for row in d]
 
 
-def fit(x: np.ndarray, total: int, radius: float, copy_ratio: float = 0.03, recall: float = 0.97, top: int = 20) -> Index:
-    """Fit on a sample x of `total` vectors. The list ratio is calibrated: the smallest with which the
-    sample's own queries find the wanted part of their true neighbours within the sample."""
+def fit(x: np.ndarray, total: int, radius: float, copy_ratios: tuple[float, ...] = (0.005, 0.01, 0.02, 0.05), recall: float = 0.97, top: int = 20) -> Index:
+    """Fit on a sample x of `total` vectors. The ratios are calibrated on the sample: for each copy ratio the smallest
+    list ratio with which the sample's own queries find the wanted part of their true neighbours within the sample, and of
+    these pairs the one with which they read the fewest vectors."""
     k = int(np.clip(np.sqrt(total) / 2, 1, min(MOST_LISTS, max(1, len(x) // 16))))
     y = lift(x, radius)
     c = balanced_kmeans(y, k)
@@ -120,43 +121,58 @@ def fit(x: np.ndarray, total: int, radius: float, copy_ratio: float = 0.03, reca
     if k > 1:  # a ring and a few long links keep the graph connected
         ring = np.stack([(np.arange(k) + s) % k for s in (1, k // 2, k // 3 + 1)], 1)
         links = np.hstack((links, ring))
-    index = Index(x.shape[1], radius, c, links, copy_ratio, 0.0, np.ones(k, int))
-    row, home = index.homes(x)
-    index.parts = np.maximum(1, -(-np.bincount(home, minlength=k) * total // (len(x) * PART_ROWS)))
     q = x[: min(len(x), 300)]
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     t = min(top, len(x) - 1)
-    if t > 0:
-        true = np.argpartition(-s, t - 1, 1)[:, :t]
-        dq = distances(np.hstack((q * (radius / np.linalg.norm(q, axis=1))[:, None], np.zeros((len(q), 1)))), c)
-        homes = np.full((len(x), MOST_COPIES), -1)
-        first = np.searchsorted(row, np.arange(len(x)))
-        homes[row, np.arange(len(row)) - first[row]] = home
-        reach = np.where(homes[true] >= 0, np.take_along_axis(dq, homes[true].reshape(len(q), -1), 1).reshape(homes[true].shape), np.inf).min(2)
-        index.list_ratio = float(np.quantile(reach / dq.min(1)[:, None], recall)) - 1 + 1e-9
-    return index
-
-
-def top_by_score(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of the best of x for each query, largest first, ties to smaller ids; a query never finds its own id."""
-    s = q @ x.T
-    s[qid[:, None] == xid[None, :]] = -np.inf
-    out = []
-    for i in range(len(q)):
-        row = s[i]
-        if len(row) > top:
-            bound = -np.partition(-row, top - 1)[top - 1]
-            pick = np.flatnonzero(row >= bound - 1e-9 * (1 + abs(bound)))
-        else:
-            pick = np.arange(len(row))
-        pick = pick[np.isfinite(row[pick])]
-        exact = np.zeros(len(pick))  # products added in order of components: equal vectors give equal scores
-        for j in range(q.shape[1]):
-            exact += q[i, j] * x[pick, j]
-        order = np.lexsort((xid[pick], -exact))[:top]
-        out.append((xid[pick][order], exact[order]))
-    return out
+    true = np.argpartition(-s, t - 1, 1)[:, :t] if t > 0 else np.zeros((len(q), 0), int)
+    dq = distances(np.hstack((q * (radius / np.linalg.norm(q, axis=1))[:, None], np.zeros((len(q), 1)))), c)
+    best = None
+    for copy_ratio in copy_ratios:
+        index = Index(x.shape[1], radius, c, links, copy_ratio, 0.0, np.ones(k, int))
+        row, home = index.homes(x)
+        size = np.bincount(home, minlength=k)
+        index.parts = np.maximum(1, -(-size * total // (len(x) * PART_ROWS)))
+        if t > 0:
+            homes = np.full((len(x), MOST_COPIES), -1)
+            first = np.searchsorted(row, np.arange(len(x)))
+            homes[row, np.arange(len(row)) - first[row]] = home
+            reach = np.where(homes[true] >= 0, np.take_along_axis(dq, homes[true].reshape(len(q), -1), 1).reshape(homes[true].shape), np.inf).min(2)
+            index.list_ratio = float(np.quantile(reach / dq.min(1)[:, None], recall)) - 1 + 1e-9
+        work = ((dq <= (1 + index.list_ratio) * dq.min(1)[:, None]) * size).sum()
+        if best is None or work < best[0]:
+            best = (work, index)
+    return best[1]
+
+
+def top_by_score(q: np.ndarray, qtag: np.ndarray, x: np.ndarray, xtag: np.ndarray, xid: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in x, score) of the best of x for each query, ties to smaller ids; a query never finds its own row.
+
+    Products in single precision choose, with a margin for their rounding; those that are left are scored exactly.
+    """
+    s = q.astype(np.float32) @ x.T.astype(np.float32)
+    own = np.searchsorted(xtag, qtag)
+    own[own == len(xtag)] = 0
+    mine = np.flatnonzero(xtag[own] == qtag)
+    s[mine, own[mine]] = -np.inf
+    if len(x) > top:
+        bound = np.partition(s, len(x) - top, axis=1)[:, len(x) - top]
+        margin = 1e-5 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        i, j = np.nonzero(s >= (bound - margin)[:, None])
+    else:
+        i, j = np.nonzero(np.isfinite(s))
+    # Overflow in single precision would hide rows: the margin is not a number then, so all are scored.
+    if not np.isfinite(s).sum() == s.size - len(mine):
+        i, j = np.nonzero(np.ones(s.shape, bool))
+        stay = xtag[j] != qtag[i]
+        i, j = i[stay], j[stay]
+    exact = np.zeros(len(i))  # products added in order of components: equal vectors give equal scores
+    for c in range(q.shape[1]):
+        exact += q[i, c] * x[j, c]
+    order = np.lexsort((xid[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    stay = np.arange(len(i)) - np.searchsorted(i, i) < top
+    return i[stay], j[stay], exact[stay]
 
 
 def nearest(vectors: DataFrame, queries: Column, top: int = 20, sample_rows: int = 20_000, recall: float = 0.97, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -166,10 +182,11 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, sample_rows: int
     neighbour. Every usable vector is indexed; centroids, graph and ratio are fitted on at most
     sample_rows of them (those with the smallest hashes). Unusable vectors (null, empty, zero, with null
     or non-finite components, or of another length than most), and rows with a null id, take no part.
-    Of rows that repeat an id, each is a candidate. Other columns are not read.
+    Of rows that repeat an id, each is a candidate, and a query of its own if it asks. Other columns are not read.
+    Placing a vector measures all centroids, which are MOST_LISTS at most; beyond that, lists are split in parts.
     """
     rows = vectors.filter(queries.isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("ask"))
-    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("tag", F.monotonically_increasing_id())
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     out = "query_id long, rank int, vec_id long, score double"
     if not sizes:
@@ -184,10 +201,10 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, sample_rows: int
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 b = big.slice(at, 1024)
-                ids, ask = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+                ids, ask, tag = b.column(0), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
                 x = matrix(b.column(1), dim)
                 row, home = index.homes(x)
-                part = ids.to_numpy()[row] % index.parts[home]
+                part = tag.to_numpy()[row] % index.parts[home]
                 found = [(row, home, part, np.zeros(len(row), np.int8))]
                 asking = np.flatnonzero(ask)
                 for r, lists in zip(asking, index.lists(x[asking]) if len(asking) else [], strict=True):
@@ -195,11 +212,19 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, sample_rows: int
                     to = np.repeat(lists, n)
                     found.append((np.full(len(to), r), to, np.arange(len(to)) - np.repeat(np.cumsum(n) - n, n), np.ones(len(to), np.int8)))
                 row, home, part, kind = (np.concatenate(c) for c in zip(*found, strict=True))
-                raw = pa.array([v.tobytes() for v in x[row]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(kind), ids.take(pa.array(row)), raw], ["list", "part", "kind", "id", "raw"])
+                # Vectors that single precision holds exactly are sent so.
+                small = x.astype(np.float32)
+                same = (small == x).all(1)
+                raw = pa.array([small[r].tobytes() if same[r] else x[r].tobytes() for r in range(len(x))], pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(kind), ids.take(pa.array(row)), raw, tag.take(pa.array(row))], ["list", "part", "kind", "id", "raw", "tag"])
+
+    def unpack(raw: list[bytes]) -> np.ndarray:
+        if all(len(r) == 4 * dim for r in raw):
+            return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
+        return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, xs, ids = None, [], []
+        at, held, body = None, [], None
         for big in batches:
             place = np.stack([big.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
             edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1), big.num_rows]
@@ -208,37 +233,38 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, sample_rows: int
                     continue
                 b = big.slice(i, j - i)
                 if at != tuple(place[i, :2]):
-                    at, xs, ids = tuple(place[i, :2]), [], []
-                v = np.frombuffer(b"".join(b.column(4).to_pylist()), np.float64).reshape(-1, dim)
-                n = b.column(3).to_numpy()
+                    at, held, body = tuple(place[i, :2]), [], None
+                v, ids, tag = unpack(b.column(4).to_pylist()), b.column(3).to_numpy(), b.column(5).to_numpy()
                 if not place[i, 2]:
-                    xs.append(v)
-                    ids.append(n)
+                    held.append((v, ids, tag))
                     continue
-                if not xs:
+                if not held:
                     continue
-                if len(xs) > 1:
-                    xs, ids = [np.concatenate(xs)], [np.concatenate(ids)]
-                for q in range(0, len(v), 256):
-                    found = top_by_score(v[q : q + 256], n[q : q + 256], xs[0], ids[0], top)
-                    yield pa.RecordBatch.from_arrays([b.column(3).slice(q, 256), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["query_id", "ids", "scores"])
+                if body is None:
+                    body = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    order = np.argsort(body[2])
+                    body = [c[order] for c in body]
+                x, xid, xtag = body
+                for q in range(0, len(v), 512):
+                    who, what, score = top_by_score(v[q : q + 512], tag[q : q + 512], x, xtag, xid, top)
+                    cut = np.searchsorted(who, np.arange(len(v[q : q + 512]) + 1))
+                    packed = [pa.array([c[a:z].tobytes() for a, z in zip(cut, cut[1:], strict=False)], pa.binary()) for c in (xid[what], xtag[what], score)]
+                    yield pa.RecordBatch.from_arrays([b.column(5).slice(q, 512), b.column(3).slice(q, 512), *packed], ["tag", "query_id", "ids", "tags", "scores"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for q, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(b"".join(f["ids"] for f in found), np.int64)
+            for q, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids, tags = (np.frombuffer(b"".join(f[c] for f in found), np.int64) for c in ("ids", "tags"))
                 scores = np.frombuffer(b"".join(f["scores"] for f in found), np.float64)
-                order = np.lexsort((ids, -scores))
-                ids, scores = ids[order], scores[order]
-                _, first = np.unique(ids, return_index=True)
-                first.sort()
-                rows.append((np.full(min(top, len(first)), q), np.arange(1, min(top, len(first)) + 1, dtype=np.int32), ids[first[:top]], scores[first[:top]]))
+                _, first = np.unique(tags, return_index=True)  # copies of one row are in several lists
+                first = first[np.lexsort((ids[first], -scores[first]))][:top]
+                rows.append((np.full(len(first), q), np.arange(1, len(first) + 1, dtype=np.int32), ids[first], scores[first]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query_id", "rank", "vec_id", "score"])
 
     n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    dealt = rows.mapInArrow(deal, "list int, part int, kind byte, id long, raw binary")
-    met = dealt.repartition(n, "list", "part").sortWithinPartitions("list", "part", "kind", "id")
-    found = met.mapInArrow(search, "query_id long, ids binary, scores binary")
-    return found.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("found")).mapInArrow(merge, out)
+    dealt = rows.mapInArrow(deal, "list int, part int, kind byte, id long, raw binary, tag long")
+    met = dealt.repartition(n, "list", "part").sortWithinPartitions("list", "part", "kind")
+    found = met.mapInArrow(search, "tag long, query_id long, ids binary, tags binary, scores binary")
+    return found.groupBy("tag", "query_id").agg(F.collect_list(F.struct("ids", "tags", "scores")).alias("found")).mapInArrow(merge, out)
