@@ -203,9 +203,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
         """Ids of each text, null as empty, then end_id."""
+        ids, cut = self.flat(texts, end_id)
+        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+
+    def flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another; text i has those from cut[i] to cut[i + 1]."""
         t = Texts(texts)
-        if not t.n:
-            return []
         if len(self.pool) > 8 * MEMO_CHUNKS:  # ids of chunks that the memo no longer has
             live = _ranges(self.known[3], self.known[4])
             n = self.known[4]
@@ -234,4 +237,4 @@ class Encoder:
             stay[cut[1:] - 1] = False
             out[stay] = ids
             ids = out
-        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        return ids, cut

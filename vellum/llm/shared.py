@@ -5,14 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of a table that come to the driver for range bounds, at most about; and ranges.
+SAMPLE_KEYS = 1_000_000
+MOST_RANGES = 50_000
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's spark.checkpoint.dir; where that is unset, as in tests, in a local folder."""
+    """A new path in the cluster's spark.checkpoint.dir. Only a local master may do without it, with a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='vellum-')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vellum-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -22,21 +31,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def range_bucket(df: DataFrame, key: str, rows: int = 20_000) -> tuple[F.Column, int]:
-    """(column, count): the number of the key's range, in ascending order, each of about `rows` rows; nulls first.
+def range_bounds(df: DataFrame, key: str, rows: int = 20_000) -> np.ndarray:
+    """Ascending bounds that cut the whole-number key into ranges of about `rows` rows; range k is searchsorted(bounds, key).
 
-    The bounds are quantiles of the key alone: count - 1 numbers.
+    The bounds are quantiles of a sample of the keys, SAMPLE_KEYS at most, so the driver's work is bounded; so
+    is their number, by MOST_RANGES (ranges of larger tables have more rows).
     """
-    n = max(1, -(-df.count() // rows))
-    cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    if not cuts:
-        return F.lit(0), 1
-    bounds = F.lit([int(c) for c in cuts])
-    # Binary search by halving, with plain column expressions: the place of the key among the bounds.
-    low = F.lit(0)
-    step = 1 << (len(cuts).bit_length() - 1)
-    while step:
-        near = low + step
-        low = F.when((near <= len(cuts)) & (F.element_at(bounds, F.least(near, F.lit(len(cuts)))) < F.col(key)), near).otherwise(low)
-        step >>= 1
-    return low, len(cuts) + 1
+    total = df.count()
+    n = min(MOST_RANGES, -(-total // rows))
+    if n < 2:
+        return np.zeros(0, np.int64)
+    share = min(1.0, SAMPLE_KEYS / 2 / total)
+    some = df.select(F.col(key).alias("k")).filter(F.col("k").isNotNull())
+    if share < 1:
+        some = some.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = np.sort(some.limit(SAMPLE_KEYS).toArrow().column("k").to_numpy())
+    return np.unique(keys[(np.arange(1, n) * len(keys)) // n]) if len(keys) else keys
