@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vellum.llm import ann, components, jaccard, mixing, packing, store, suffix
-from vellum.llm.shared import shared_dir
+from vellum.llm.shared import range_bounds, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWEST = -(1 << 70)
@@ -90,17 +90,17 @@ def test_ngram_join_dealt_tokens(spark):
 
 
 def test_late_askers_start_at_their_first_place(spark):
-    """A point that asks for the first time in turn 2 proposes its best partners, too."""
+    """A point that asks for the first time in turn 3 proposes its best partners, too."""
     counts = bytes([1] * jaccard.GROUPS)
     rows = [(1, 0, i, jaccard.GROUPS, counts, 7 if i == 20 else 3, int(i == 20)) for i in range(21)]
     members = spark.createDataFrame(rows, "cell long, block int, pid long, n long, counts binary, label long, asks int")
-    got = jaccard.candidates(members, 2, 1).collect()
+    got = jaccard.candidates(members, 3, 1).collect()
     assert {(r.a, r.b) for r in got if r.a != r.b} == {(i, 20) for i in range(20)}
     assert sum(r.more for r in got) == 0
-    assert sum(r.more for r in jaccard.candidates(members, 1, 1).collect()) == 12
+    assert sum(r.more for r in jaccard.candidates(members, 2, 1).collect()) == 12
 
 
-@pytest.mark.parametrize("rows_a_block", [256, 8])
+@pytest.mark.parametrize("rows_a_block", [4_096, 8])
 def test_ngram_join_counts_every_link(spark, monkeypatch, rows_a_block):
     monkeypatch.setattr(jaccard, "LINK_ROWS", rows_a_block)
     rng = random.Random(9)
@@ -137,6 +137,41 @@ def test_bound_never_prunes_a_pair():
     assert all(b == np.minimum(counts[q], counts[p]).sum() for q, p, b in zip(who, point, bound, strict=True))
 
 
+def test_bound_with_counts_over_a_byte():
+    rng = np.random.default_rng(2)
+    real = rng.integers(0, 400, (40, jaccard.GROUPS))
+    counts, n = np.minimum(real, 255).astype("u1"), real.sum(1)
+    a, b = (x.ravel() for x in np.indices((40, 40)))
+    over = n - counts.sum(1, dtype=np.int64)
+    bound = jaccard.overlap_bound(counts[a], over[a], counts[b], over[b])
+    assert (bound >= np.minimum(real[a], real[b]).sum(1)).all() and (bound <= np.minimum(n[a], n[b])).all()
+
+
+def test_sets_with_one_fingerprint():
+    """Sets whose first fingerprint is known to be shared go by their second one."""
+    doc, token = np.repeat(np.arange(9), 5), np.arange(45, dtype=np.uint64)
+    _, pid, check = jaccard.identity(doc, token, 9)
+    _, other, _ = jaccard.identity(doc, token, 9, pid[:2])
+    assert (other[:2] == check[:2]).all() and (other[2:] == pid[2:]).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ngram_join_in_one_part(spark, monkeypatch, seed):
+    """Chains of sets near the threshold that meet in few cells, all in one part."""
+    rng = random.Random(seed)
+    rows = []
+    for c in range(6):
+        words = [f"c{c}w{i}" for i in range(40)]
+        start = [rng.choice(words) for _ in range(60)]
+        for _ in range(25):
+            w = list(rng.choice([start, rows[-1][1].split() if rows and rows[-1][1].startswith(f"c{c}") else start]))
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(1, len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join([f"c{c}", *w[1:]])))
+    got = jaccard.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), parts=1).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
@@ -246,7 +281,11 @@ def test_shared_passage_is_stored_once():
     ids = lambda n: rng.integers(0, 50_000, n).astype("<u2")
     passage = ids(500)
     streams = [np.concatenate((ids(100), passage, ids(100))) for _ in range(40)]
-    chunks = {x[a:e].tobytes(): e - a for x, ends in zip(streams, store.cuts(streams), strict=True) for a, e in zip([0, *ends], ends, strict=False)}
+    size = np.array([len(x) for x in streams])
+    ids = np.concatenate(streams)
+    ends = store.cuts(ids, np.append(0, np.cumsum(size)))
+    assert set(np.cumsum(size)) <= set(ends) and np.diff(ends, prepend=0).max() <= store.LONGEST
+    chunks = {ids[a:e].tobytes(): e - a for a, e in zip([0, *ends], ends, strict=False)}
     assert sum(chunks.values()) < 0.6 * sum(map(len, streams))
 
 
@@ -277,8 +316,27 @@ def test_mix(awkward):
     assert mixing.mix(awkward.limit(0)).count() == 0
     whole = mixing.mix(awkward, whole=True)
     assert whole.columns == awkward.columns and {r.doc_id for r in whole.collect()} == {r.doc_id for r in awkward.collect()}
-    with pytest.raises(ValueError):
-        mixing.mix(awkward, most_sources=2)
+
+
+def test_mix_with_odd_weights_and_many_sources(spark, awkward):
+    ids = Counter(r.doc_id for r in awkward.select("doc_id").collect())
+    first = lambda df: Counter(r.doc_id for r in df.filter("pass_no = 0").collect())
+    assert first(mixing.mix(awkward, weights={"s0": 0.0, "s1": -1})) == ids
+    assert first(mixing.mix(awkward, weights={"s0": 3.0, None: 1.0})) == ids
+    docs = spark.createDataFrame([(i, f"w{i} " * 40, f"s{i % 30}") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_bytes=400, most_sources=10)
+    assert first(got) == Counter(range(300)) and all(r.source == f"s{r.doc_id % 30}" for r in got.collect())
+    # Rows without an id are many buckets.
+    bare = mixing.mix(docs.withColumn("doc_id", F.lit(None).cast("long")), block_bytes=400, bucket_rows=10)
+    assert bare.filter("pass_no = 0").count() == 300 and bare.select(F.col("place") / (1 << 32)).distinct().count() > 20
+
+
+def test_shares():
+    rng = random.Random(6)
+    for _ in range(40):
+        w = {f"s{i}": rng.random() ** 4 for i in range(rng.randrange(1, 60))}
+        k = mixing.shares(w, 100)
+        assert sum(k.values()) == 100 and min(k.values()) >= 1
 
 
 def test_packing(spark, awkward):
@@ -311,6 +369,42 @@ def test_local_search_empties_a_bin():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7)) and all(sizes[b].sum() <= 10 for b in bins)
 
 
+def test_local_search_leaves_no_exchange():
+    """Against brute force: no move, one-for-one or two-for-one exchange of any two underfull bins raises the squared fill."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sizes = rng.integers(1, 30, 60)
+        first = packing.best_fit(sizes, 50) if rng.random() < 0.5 else [[i] for i in range(60)]
+        bins = packing.local_search(first, sizes, 50)
+        assert sorted(i for b in bins for i in b) == list(range(60)) and all(b and sizes[b].sum() <= 50 for b in bins)
+        fill = [int(sizes[b].sum()) for b in bins]
+        for g, giver in enumerate(bins):
+            sums = {int(sizes[a]) for a in giver} | {int(sizes[a] + sizes[b]) for k, a in enumerate(giver) for b in giver[k + 1 :]}
+            for t, taker in enumerate(bins):
+                for gain in (s - back for s in sums for back in {0, *sizes[taker].tolist()}):
+                    if g != t and max(fill[g], fill[t]) < 50 and 0 < gain <= 50 - fill[t]:
+                        assert (fill[t] + gain) ** 2 + (fill[g] - gain) ** 2 <= fill[t] ** 2 + fill[g] ** 2
+
+
+def test_merkle_root_level_by_level():
+    for n in range(1, 40):
+        leaves = [bytes([i]) for i in range(n)]
+        tree = store.Merkle()
+        for x in leaves:
+            tree.add(x)
+        while len(leaves) > 1:
+            leaves = [hashlib.blake2b(b"".join(leaves[i : i + 2]), digest_size=store.DIGEST).digest() if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        assert tree.root() == leaves[0]
+
+
+def test_range_bounds(spark):
+    ids = spark.range(0, 100_000, 1, 8).select((F.col("id") * 7 - 1000).alias("doc_id"))
+    bounds = range_bounds(ids, "doc_id", 20)
+    assert len(bounds) == 4_999  # five thousand ranges
+    n = np.bincount(np.searchsorted(bounds, np.arange(100_000) * 7 - 1000), minlength=5_000)
+    assert n.min() >= 10 and n.max() <= 40
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
@@ -330,6 +424,11 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 20 * len(got)
     assert [i for i, _ in got[120]][:20] == sorted(i for i, _ in got[120])[:20] or max(s for _, s in got[120]) > x[100] @ x[100]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # Rows that repeat an id are queries and candidates each: of the three, each finds the other two.
+    again = df.filter("vec_id < 60").unionByName(spark.createDataFrame([(40, x[40].tolist(), "x"), (40, (-x[40]).tolist(), "x")], df.schema))
+    found = [r for r in ann.nearest(again, F.col("vec_id") % 20 == 0).collect() if r.query_id == 40]
+    assert len(found) == 60 and sorted(r.rank for r in found) == sorted(list(range(1, 21)) * 3)
+    assert sum(r.vec_id == 40 and np.isclose(r.score, x[40] @ x[40]) for r in found) == 2
     assert ann.nearest(df.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).count() == 2
 
 

@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         met = big.join(low, F.col("u") == F.col("x"))
         star = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         pairs = settle(star.filter("u <> v").distinct(), "edges")
-        new = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        new = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if new == state:
             break
         state = new

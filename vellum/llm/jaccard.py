@@ -26,8 +26,6 @@ from vellum.llm.shared import settle
 from vellum.llm.textbytes import Texts, fold, mix, slices, windows
 
 GROUPS = 256
-#: Larger sets can have counts over 255; they are left to the verification.
-LARGEST = 16_000
 WORDS = 5
 #: Similarity NUM / DEN, compared in whole numbers.
 NUM, DEN = 75, 100
@@ -39,7 +37,7 @@ SAMPLE_ROWS = 20_000
 SAMPLE_SHARE = 12
 SALTS = 64
 #: Sets, and shingles, of one block when the links of a component are found, about.
-LINK_ROWS = 256
+LINK_ROWS = 4_096
 LINK_TOKENS = 1 << 20
 
 
@@ -59,39 +57,47 @@ def shingles(t: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         token = np.concatenate((token, mix(fold(h, bounds)[short] + n[short].astype(np.uint64))))
         doc = np.concatenate((doc, short))
-    order = np.lexsort((token, doc))
-    token, doc = token[order], doc[order]
+    if len(short):
+        order = np.argsort(doc, kind="stable")
+        token, doc = token[order], doc[order]
+    bounds = np.searchsorted(doc, np.arange(t.n + 1)).tolist()
+    for i, j in zip(bounds, bounds[1:], strict=False):  # many short sorts cost far less than one long one
+        if j - i > 1:
+            token[i:j].sort()
     first = np.ones(len(token), bool)
     first[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
     return doc[first], token[first]
 
 
-def identity(doc: np.ndarray, token: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set sizes and two fingerprints of each document's set (order does not matter)."""
+def identity(doc: np.ndarray, token: np.ndarray, n_docs: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes and two fingerprints of each document's set (order does not matter).
+
+    shared: first fingerprints that different sets have in common; such sets go by their second one instead.
+    """
     bounds = np.searchsorted(doc, np.arange(n_docs + 1))
     out = []
     for salt in (1, 2):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(salt)))))
         out.append(mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-    return np.diff(bounds), *out
+    pid, check = out
+    if shared is not None and len(shared):
+        pid = np.where(np.isin(pid, shared), check, pid)
+    return np.diff(bounds), pid, check
 
 
 def points(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """(doc_id, body, n, pid, check, counts): hash of the text, set size, fingerprints, and the count vector as bytes."""
+    """(doc_id, body, n, pid, check): hash of the text, set size and fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            doc, token = shingles(Texts(b.column(2), lower=True), words)
-            n, pid, check = identity(doc, token, b.num_rows)
-            group = (token % np.uint64(GROUPS)).astype(np.int64)
-            counts = np.minimum(np.bincount(doc * GROUPS + group, minlength=b.num_rows * GROUPS), 255).astype("u1").reshape(-1, GROUPS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(pid), pa.array(check), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "body", "n", "pid", "check", "counts"])
+            n, pid, check = identity(*shingles(Texts(b.column(2), lower=True), words), b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(pid), pa.array(check)], ["doc_id", "body", "n", "pid", "check"])
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("body"), docs[text].cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, body long, n long, pid long, check long, counts binary")
+    return rows.mapInArrow(run, "doc_id long, body long, n long, pid long, check long")
 
 
-def postings(docs: DataFrame, words: int, text: str, parts: int, frequent: np.ndarray | None) -> DataFrame:
+def postings(docs: DataFrame, words: int, text: str, parts: int, frequent: np.ndarray | None, shared: np.ndarray | None = None) -> DataFrame:
     """(part, tokens, owners, pids, sizes): a task's routing tokens, packed by part of the token space.
 
     frequent: sorted tokens that go last; None: all tokens of each document instead of the first ones.
@@ -123,13 +129,17 @@ def postings(docs: DataFrame, words: int, text: str, parts: int, frequent: np.nd
         rows = docs_held = 0
         for b in slices(batches, "t"):
             doc, token = shingles(Texts(b.column(0), lower=True), words)
-            n, pid, _ = identity(doc, token, b.num_rows)
+            n, pid, _ = identity(doc, token, b.num_rows, shared)
             docs_held += b.num_rows
             if frequent is not None:
-                order = np.lexsort((token & LOW48, _among(token, frequent), doc))
-                doc, token = doc[order], token[order]
-                first = np.searchsorted(doc, np.arange(b.num_rows))
-                keep = np.arange(len(doc)) - first[doc] < (n - -(-n * NUM // DEN) + company(n))[doc]
+                # The common order: tokens that aren't frequent, by value, then those that are.
+                late = _among(token, frequent)
+                before = np.concatenate((np.zeros(1, np.int64), np.cumsum(late)))
+                bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+                first, last = bounds[:-1][doc], bounds[1:][doc]
+                lates = before[:-1] - before[first]  # frequent ones of the document up to here
+                place = np.where(late, (last - first) - (before[last] - before[first]) + lates, np.arange(len(doc)) - first - lates)
+                keep = place < (n - -(-n * NUM // DEN) + company(n))[doc]
                 doc, token = doc[keep], token[keep]
             # Copies within a task have equal tokens: one of them is enough.
             _, one = np.unique(pid, return_index=True)
@@ -165,7 +175,7 @@ def _gather(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None = Non
             size.append(np.frombuffer(r[3], "<u4")[own])
         rows.clear()
         token, pid, size = (np.concatenate(x) for x in (token, pid, size))
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         token, pid, size = token[order], pid[order], size[order]
         # Tokens of one posting meet nothing: most go here, before the dearer sort.
         same = token[1:] == token[:-1]
@@ -240,7 +250,7 @@ def _largest_only(cell: np.ndarray, pid: np.ndarray) -> np.ndarray:
     return (lo != hi) | (lo == rank)
 
 
-def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int, frequent: np.ndarray) -> DataFrame:
+def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int, frequent: np.ndarray, shared: np.ndarray | None = None) -> DataFrame:
     """(cell, block, pid): who meets whom, for cells of two points or more, without cells that others contain.
 
     A cell of a token that is not frequent is small against the table (it would be in the sample's list);
@@ -248,8 +258,10 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(cell, salt, members, met=None):
-            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([salt], pa.int32()), pa.array([members.tobytes()], pa.binary()), pa.array([b"" if met is None else met.tobytes()], pa.binary())], ["cell", "salt", "members", "met"])
+        def rows(cell, salt, pid, met=None):
+            n = len(pid)
+            full = lambda x, d: x if isinstance(x, np.ndarray) else np.full(n, x, d)
+            return pa.RecordBatch.from_arrays([pa.array(full(cell, np.int64)), pa.array(full(salt, np.int32)), pa.array(pid), pa.array(full(0 if met is None else met, np.int64))], ["cell", "salt", "pid", "met"])
 
         for _, token, pid, size in _gather(batches, frequent):
             hot = _among(token, frequent)
@@ -258,7 +270,7 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
             some = hot | (n[at] > 1)
             who, met = np.unique(pid[some], return_counts=True)
             if len(who):
-                yield row(-1, -2, who, met)
+                yield rows(-1, -2, who, met)
             t, p, z = token[~hot], pid[~hot], size[~hot].astype(np.int64)
             # A point stays in a cell only with a neighbour in size that allows the similarity.
             order = np.lexsort((z, t))
@@ -271,28 +283,12 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
             if len(t):
                 _, cell = np.unique(t, return_inverse=True)
                 keep = _largest_only(cell, p)[cell]
-                t, p, cell = t[keep], p[keep], cell[keep]
-                cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-                for i, j in zip(cut, cut[1:], strict=False):
-                    yield row(int(t[i]), -1, p[i:j])
-            t, p = token[hot], pid[hot]
-            salt = (p.view(np.uint64) % np.uint64(SALTS)).astype(np.int64)
-            order = np.lexsort((salt, t))
-            t, p, salt = t[order], p[order], salt[order]
-            cut = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (salt[1:] != salt[:-1]), [True]))) if len(t) else []
-            for i, j in zip(cut, cut[1:], strict=False):
-                yield row(int(t[i]), int(salt[i]), p[i:j])
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, salt, members, met = (c.to_pylist() for c in b.columns)
-            who = [np.frombuffer(m, np.int64) for m in members]
-            n = [len(w) for w in who]
-            count = [np.frombuffer(m, np.int64) if m else np.zeros(k, np.int64) for m, k in zip(met, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell, n)), pa.array(np.repeat(salt, n).astype(np.int32)), pa.array(np.concatenate(who)), pa.array(np.concatenate(count))], ["cell", "salt", "pid", "met"])
-
-    found = settle(_dealt(postings(docs, words, text, parts, frequent), parts).mapInArrow(first, "cell long, salt int, members binary, met binary"), "routes")
-    flat = lambda only: found.filter(only).mapInArrow(unfold, "cell long, salt int, pid long, met long")
+                yield rows(t[keep].view(np.int64), -1, p[keep])
+            if hot.any():
+                yield rows(token[hot].view(np.int64), (pid[hot].view(np.uint64) % np.uint64(SALTS)).astype(np.int32), pid[hot])
+
+    found = settle(_dealt(postings(docs, words, text, parts, frequent, shared), parts).mapInArrow(first, "cell long, salt int, pid long, met long"), "routes")
+    flat = found.filter
     met = flat("salt = -2").groupBy("pid").agg(F.sum("met").alias("met"))
     able = met.join(classes.select("pid", "n"), "pid").filter(F.col("met") >= F.floor(F.ceil(F.col("n") * NUM / DEN) / 10) + 1).select("pid")
     left = settle(flat("salt >= -1").select("cell", "salt", "pid").join(able, "pid"), "routes")
@@ -316,29 +312,49 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
     return plain.unionByName(hot)
 
 
+_LANES = np.uint64(0x00FF00FF00FF00FF)
+
+
+def overlap_bound(a: np.ndarray, over_a: np.ndarray, b: np.ndarray, over_b: np.ndarray) -> np.ndarray:
+    """Sums over the groups of the smaller of two counts, row by row, and of what is over 255 in them.
+
+    Counts are held in one byte each; over: the part of the set size beyond their sum.
+    """
+    v = np.minimum(a, b).view(np.uint64)
+    x = ((v & _LANES) + ((v >> np.uint64(8)) & _LANES)).sum(1)  # four sums of 16 bits
+    x = (x & np.uint64(0xFFFF)) + ((x >> np.uint64(16)) & np.uint64(0xFFFF)) + ((x >> np.uint64(32)) & np.uint64(0xFFFF)) + (x >> np.uint64(48))
+    return x.astype(np.int64) + np.minimum(over_a, over_b)
+
+
+def _bounds(counts: np.ndarray, over: np.ndarray, a: np.ndarray, upper: np.ndarray, upper_over: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlap_bound() of rows a of counts and rows b of upper, a bounded number at a time."""
+    step = 32_768
+    return np.concatenate([np.zeros(0, np.int64), *(overlap_bound(counts[a[i : i + step]], over[a[i : i + step]], upper[b[i : i + step]], upper_over[b[i : i + step]]) for i in range(0, len(a), step))])
+
+
 class RTree:
     """R-tree of count vectors, bulk-loaded in order of size: every node has its points' upper corner and size range."""
 
     def __init__(self, counts: np.ndarray, n: np.ndarray):
         self.order = np.lexsort((counts.argmax(1), n))
-        level = (counts[self.order].astype(np.int32), n[self.order], n[self.order])
+        level = (np.ascontiguousarray(counts[self.order]), n[self.order], n[self.order], (n - counts.sum(1, dtype=np.int64))[self.order])
         self.levels = [level]
         while len(level[0]) > LEAF:
             at = np.arange(0, len(level[0]), LEAF)
-            level = (np.maximum.reduceat(level[0], at), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at))
+            level = (np.maximum.reduceat(level[0], at), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at))
             self.levels.append(level)
 
     def search(self, q: np.ndarray, nq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, bound) of all pairs whose sizes and bound allow the similarity."""
-        q = q.astype(np.int32)
+        over = nq - q.sum(1, dtype=np.int64)
         top = len(self.levels[-1][0])
         who, node = np.repeat(np.arange(len(q)), top), np.tile(np.arange(top), len(q))
         for depth in range(len(self.levels) - 1, -1, -1):
-            upper, low, high = self.levels[depth]
-            keep = (DEN * np.minimum(nq[who], high[node]) >= NUM * np.maximum(nq[who], low[node])) if depth == 0 else ((DEN * high[node] >= NUM * nq[who]) & (DEN * nq[who] >= NUM * low[node]))
+            upper, low, high, upper_over = self.levels[depth]
+            keep = (DEN * high[node] >= NUM * nq[who]) & (DEN * nq[who] >= NUM * low[node])
             who, node = who[keep], node[keep]
-            bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(q[who[i : i + 65_536]], upper[node[i : i + 65_536]]).sum(1) for i in range(0, len(who), 65_536))])
-            keep = ((NUM + DEN) * bound >= NUM * (nq[who] + low[node])) | (nq[who] > LARGEST)
+            bound = _bounds(q, over, who, upper, upper_over, node)
+            keep = (NUM + DEN) * bound >= NUM * (nq[who] + low[node])
             who, node, bound = who[keep], node[keep], bound[keep]
             if depth:
                 below = len(self.levels[depth - 1][0])
@@ -349,70 +365,88 @@ class RTree:
 
 
 def _reach(turn: int) -> int:
-    """How many places of a point's list of candidates a turn tries: 8, 40, 168 ...
+    """How many places of a point's list of candidates a turn tries: 1, 8, 64 ...
 
     Always from the first place: labels change, so a point may ask late that did not ask before.
     """
-    return 8 * (4**turn - 1) // 3
+    return 8 ** (turn - 1)
 
 
 def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
-    """(a, b, more) of one turn, from rows (cell, block, pid, n, counts, label, asks), more: pairs left for later turns.
+    """(a, b, more) of one turn, from rows (cell, block, pid, n, counts, label, asks); where a = b, that is a cell, and more its pairs left for later turns.
 
     Turn 0 proposes each point's best partner in its block. Later turns propose, for each asking point,
     the first partners in the block, more in each turn, best bound first, without those of its own label.
     In the last turn, which leaves none, every pair of different labels with an asking point is proposed.
     """
 
-    def propose(pid, n, counts, label, asks):
-        member = asks < 2  # 2: a point of another block that only asks here
-        x = np.flatnonzero(member)
+    def choose(a, b, bound, pid, n, label, asks, at):
+        """The pairs of a's with b's that this turn proposes, and the a's whose other pairs are left for later ones."""
+        keep = (pid[a] != pid[b]) & (label[a] != label[b])
+        if not turn:  # earlier ones only: a tree of proposals, no cycles; those who only ask find later ones too
+            keep &= (n[a] > n[b]) | ((n[a] == n[b]) & (pid[a] > pid[b])) | (asks[a] == 2)
+        a, b, bound = a[keep], b[keep], bound[keep]
+        order = np.lexsort((pid[b], -bound, a))
+        a, b = a[order], b[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        pick = place < (_reach(turn) if turn else np.where(asks[a] == 2, 4, 1))
+        return np.minimum(pid[a], pid[b])[pick], np.maximum(pid[a], pid[b])[pick], at[a[~pick]]
+
+    def large(pid, n, counts, label, asks, at):
+        x = np.flatnonzero(asks < 2)  # 2: a point of another block that only asks here
         tree = RTree(counts[x], n[x])
         ask = np.flatnonzero(asks > 0) if turn else np.arange(len(pid))
-        hi = _reach(turn) if turn else 1
-        for at in range(0, len(ask), 512):
-            q = ask[at : at + 512]
+        for lo in range(0, len(ask), 512):
+            q = ask[lo : lo + 512]
             who, node, bound = tree.search(counts[q], n[q])
-            a, b = q[who], x[node]
-            keep = pid[a] != pid[b]
-            if not turn:  # earlier ones only: a tree of proposals, no cycles; those who only ask find later ones too
-                keep &= (n[a] > n[b]) | ((n[a] == n[b]) & (pid[a] > pid[b])) | (asks[a] == 2)
-            a, b, bound = a[keep], b[keep], bound[keep]
-            order = np.lexsort((pid[b], -bound, a))
-            a, b = a[order], b[order]
-            first = np.searchsorted(a, a)
-            place = np.arange(len(a)) - first
-            top = np.where(asks[a] == 2, 4, hi) if not turn else hi
-            pick = place < top
-            differ = label[a] != label[b]
-            yield np.minimum(pid[a], pid[b])[pick & differ], np.maximum(pid[a], pid[b])[pick & differ], int((differ & (place >= top)).sum())
+            yield choose(q[who], x[node], bound, pid, n, label, asks, at)
+
+    def small(first, size, pid, n, counts, label, asks, at):
+        """Blocks that are a single leaf, all at once: first and size of each."""
+        over = n - counts.sum(1, dtype=np.int64)
+        for lo in range(0, len(first), 4_096):
+            f, m = first[lo : lo + 4_096], size[lo : lo + 4_096]
+            ask = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            f, m = np.repeat(f, m), np.repeat(m, m)
+            if turn:
+                f, m, ask = f[asks[ask] > 0], m[asks[ask] > 0], ask[asks[ask] > 0]
+            a = np.repeat(ask, m)
+            b = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            keep = (asks[b] < 2) & (label[a] != label[b]) & (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b]))
+            a, b = a[keep], b[keep]
+            bound = _bounds(counts, over, a, counts, over, b)
+            keep = (NUM + DEN) * bound >= NUM * (n[a] + n[b])
+            yield choose(a[keep], b[keep], bound[keep], pid, n, label, asks, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        held, sofar = [], 0
+
+        def done(cols):
+            key, *cols = cols
+            cols.append(np.arange(len(key)))
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+            size = np.diff(np.append(first, len(key)))
+            found = list(small(first[size <= LEAF], size[size <= LEAF], *cols))
+            for i, m in zip(first[size > LEAF], size[size > LEAF], strict=True):
+                found += large(*(c[i : i + m] for c in cols))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+            pairs = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            left, more = np.unique(np.concatenate([np.zeros(0, np.int64), *(key[f[2], 0] for f in found)]), return_counts=True)
+            a, b = (np.concatenate((pairs[:, i], left)) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate((np.zeros(len(pairs), np.int64), more)))], ["a", "b", "more"])
 
-        def done():
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            found = list(propose(*cols))
-            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            more = sum(f[2] for f in found)
-            a, b = np.append(a, 0), np.append(b, 0)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.append(np.zeros(len(a) - 1, np.int64), more))], ["a", "b", "more"])
-
-        for big in batches:
-            key = np.stack([big.column(0).to_numpy(), big.column(1).to_numpy().astype(np.int64)], 1)
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), big.num_rows]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if i == j:
-                    continue
-                if at is not None and at != tuple(key[i]):
-                    yield done()
-                    held.clear()
-                at = tuple(key[i])
-                b = big.slice(i, j - i)
-                counts = np.frombuffer(b"".join(b.column(4).to_pylist()), "u1").reshape(-1, GROUPS)
-                held.append((b.column(2).to_numpy(), b.column(3).to_numpy(), counts, b.column(5).to_numpy(), b.column(6).to_numpy()))
+        for b in batches:
+            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)], 1)
+            counts = np.frombuffer(b"".join(b.column(4).to_pylist()), "u1").reshape(-1, GROUPS)
+            held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(), counts, b.column(5).to_numpy(), b.column(6).to_numpy()))
+            sofar += b.num_rows
+            if sofar >= 8_192 and (key[0] != key[-1]).any():
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = int(np.flatnonzero((cols[0] != cols[0][-1]).any(1))[-1]) + 1  # the last block may go on
+                yield done([c[:last] for c in cols])
+                held, sofar = [tuple(c[last:] for c in cols)], len(cols[0]) - last
         if held:
-            yield done()
+            yield done([np.concatenate(c) for c in zip(*held, strict=True)])
 
     rows = members.select("cell", "block", "pid", "n", "counts", "label", F.col("asks").cast("int").alias("asks"))
     return rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long, more long")
@@ -438,39 +472,46 @@ def links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 
 def _block_links(pid: np.ndarray, side: np.ndarray, n: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between the sets of side 0 and those of side 1, or among all if there is no side 1; token: those of each set in turn."""
+    """(pid, number of links) between the sets of side 0 and those of side 1, or among all if there is no side 1; token: those of each set in turn."""
     doc = np.repeat(np.arange(len(n)), n)
-    _, at, many = np.unique(token, return_inverse=True, return_counts=True)
-    shared = many > 1
-    at, doc = (np.cumsum(shared) - 1)[at][shared[at]], doc[shared[at]]
-    order = np.argsort(at, kind="stable")
-    at, doc = at[order], doc[order]
-    x = np.flatnonzero(side == 0)
-    y = np.flatnonzero(side == 1)
+    order = np.argsort(token)
+    same = token[order][1:] == token[order][:-1]
+    shared = np.zeros(len(token), bool)  # only tokens of two sets or more count
+    shared[1:] = same
+    shared[:-1] |= same
+    order = order[shared]
+    at = np.cumsum(np.concatenate(([False], token[order][1:] != token[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    doc = doc[order]
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = not len(y)
     y = x if alone else y
-    both = np.zeros((len(x), len(y)))
-    step = 4_096
-    cut = np.searchsorted(at, np.arange(0, int(shared.sum()) + step, step))
+    both, part = (np.zeros((len(x), len(y)), np.float32) for _ in range(2))  # whole numbers below 2**24: exact
+    step = 2_048
+    cut = np.searchsorted(at, np.arange(0, (at[-1] + 1 if len(at) else 0) + step, step))
     for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
-        has = np.zeros((len(n), min(step, int(shared.sum()) - k * step)), np.float32)
+        has = np.zeros((len(n), step), np.float32)
         has[doc[i:j], at[i:j] - k * step] = 1
-        both += has[x] @ has[y].T
-    a, b = np.nonzero(DEN * both >= NUM * (n[x][:, None] + n[y][None, :] - both))
-    if alone:
-        a, b = a[a < b], b[a < b]
-    a, b = pid[x[a]], pid[y[b]]
-    return np.minimum(a, b), np.maximum(a, b)
+        np.matmul(has[x], has[y].T, out=part)
+        both += part
+    degree = np.zeros(len(n), np.int64)
+    for lo in range(0, len(x), 256):
+        strip = both[lo : lo + 256].astype(np.int64)
+        link = DEN * strip >= NUM * (n[x[lo : lo + 256]][:, None] + n[y][None, :] - strip)
+        degree[x[lo : lo + 256]] += link.sum(1)
+        if not alone:
+            degree[y] += link.sum(0)
+    return pid, degree - (1 if alone else 0)  # every set is like itself
 
 
 def all_links(home: DataFrame, texts: DataFrame, words: int, parts: int) -> DataFrame:
-    """(a, b), a < b: every link between the sets of home (pid, n, root), each once; root: the component, texts: (pid, t).
+    """(pid, n_links) of the sets of home (pid, n, root) with a link: how many others each is linked with; root: the component, texts: (pid, t).
 
-    Linked sets are in one component, so each component is compared with itself, all pairs exactly. Large ones are
-    compared block by block: blocks are by size, then by hash, and only blocks of sizes within a factor of 4/3 meet.
+    Linked sets are in one component, so each component is compared with itself, all pairs exactly, and only
+    counts leave a task. Components of over LINK_ROWS sets or LINK_TOKENS shingles are compared block by block: blocks
+    are by size, then by hash, and only blocks of sizes within a factor of 4/3 meet.
     """
     total = home.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("pid").alias("a"), F.max("pid").alias("b")).filter("m > 1")
-    two = total.filter("m = 2").select("a", "b")
+    two = total.filter("m = 2").select(F.explode(F.array("a", "b")).alias("pid"), F.lit(1).cast("long").alias("n_links"))
     # Steps of 1.34, a little more than 4/3: linked sets are at most one step apart.
     step = F.when((F.col("m") <= LINK_ROWS) & (F.col("s") <= LINK_TOKENS), 0).otherwise(F.floor(F.log("n") / F.log(F.lit(1.34)))).cast("int")
     sized = home.join(total.filter("m > 2").select("root", "m", "s"), "root").withColumn("g", step)
@@ -495,9 +536,9 @@ def all_links(home: DataFrame, texts: DataFrame, words: int, parts: int) -> Data
         at, held = None, []
 
         def done():
-            a, b = _block_links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            pid, degree = _block_links(*(np.concatenate(c) for c in zip(*held, strict=True)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pid), pa.array(degree)], ["pid", "n_links"])
 
         for b in slices(batches, "t"):
             doc, token = shingles(Texts(b.column(7), lower=True), words)
@@ -516,7 +557,7 @@ def all_links(home: DataFrame, texts: DataFrame, words: int, parts: int) -> Data
 
     order = ["root", "g", "i", "h", "j"]
     met = groups.select(*order, "side", "pid", "t").repartition(parts, *order).sortWithinPartitions(*order)
-    return met.mapInArrow(run, "a long, b long").unionByName(two)
+    return met.mapInArrow(run, "pid long, n_links long").unionByName(two).groupBy("pid").agg(F.sum("n_links").alias("n_links"))
 
 
 def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: str, count: bool = False) -> DataFrame:
@@ -524,54 +565,69 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     point = settle(points(docs, words, text, key), "points")
-    classes = point.filter("n > 0").groupBy("pid").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    classes = settle(classes, "classes")
-    if classes.filter("c0 <> c1").limit(1).count():
-        raise ValueError("two different sets have the same 64-bit fingerprint")
+    group = lambda: point.filter("n > 0").groupBy("pid").agg(F.min("doc_id").alias("low"), F.min("body").alias("body"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    classes = settle(group(), "classes")
+    # Different sets with one 64-bit fingerprint: a few in 10**10 sets.
+    shared = np.array([r.pid for r in classes.filter("c0 <> c1").select("pid").collect()], np.int64)
+    if len(shared):
+        point = point.withColumn("pid", F.when(F.col("pid").isin(shared.tolist()), F.col("check")).otherwise(F.col("pid")))
+        classes = settle(group(), "classes")
     frequent = frequent_tokens(docs, words, text, key, parts)
-    cell = settle(cells(docs, classes, words, text, parts, frequent), "cells")
+    cell = settle(cells(docs, classes, words, text, parts, frequent, shared), "cells")
     active = cell.select("pid").distinct()
     # One text of each point that meets another; recognised by its fingerprint, as ids may repeat.
-    wanted = classes.join(active, "pid", "left_semi").select(F.col("low").alias("w"), F.col("pid").alias("want"))
+    wanted = classes.join(active, "pid", "left_semi").select(F.coalesce("low", "body").alias("w"), F.col("low").isNull().alias("void"), F.col("pid").alias("want"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             doc, token = shingles(Texts(b.column(0), lower=True), words)
-            _, pid, _ = identity(doc, token, b.num_rows)
+            n, pid, _ = identity(doc, token, b.num_rows, shared)
             same = pa.array(pid == b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(1).filter(same), b.column(0).filter(same)], ["pid", "t"])
-
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("w")))
-    texts = settle(rows.select("t", "want").mapInArrow(own, "pid long, t string").dropDuplicates(["pid"]), "texts")
-    member = cell.join(classes.select("pid", "n", "counts"), "pid")
+            group = (token % np.uint64(GROUPS)).astype(np.int64)
+            counts = np.minimum(np.bincount(doc * GROUPS + group, minlength=b.num_rows * GROUPS), 255).astype("u1")
+            columns = [b.column(1), b.column(0), pa.array(n), pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), b.num_rows, [None, pa.py_buffer(counts)]).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(same) for c in columns], ["pid", "t", "n", "counts"])
+
+    # Rows without an id are found by the hash of their text, so that they aren't one key.
+    text_of, id_of = docs[text].cast("string"), docs[key].cast("long")
+    rows = docs.select(F.coalesce(id_of, F.xxhash64(text_of)).alias("w"), id_of.isNull().alias("void"), text_of.alias("t")).join(wanted, ["w", "void"])
+    texts = settle(rows.select("t", "want").mapInArrow(own, "pid long, t string, n long, counts binary").dropDuplicates(["pid"]), "texts")
+    point_of = texts.select("pid", "n", "counts")
+    texts = texts.select("pid", "t")
     blocks = cell.groupBy("cell", "block").agg(F.min("pid").alias("pilot"))
     many = settle(blocks.join(blocks.groupBy("cell").count().filter("count > 1"), "cell", "left_semi"), "blocks")
 
-    # Turn 0: best partners in each block; in cells of several blocks, a few pilots ask in all of them.
+    # Turn 0: best partners, of each point in its largest cell only; in cells of several blocks, a few pilots ask in all of them.
+    largest = cell.join(cell.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("pid").agg(F.max_by("cell", "m").alias("cell"))
     pilots = many.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("pilot"))).filter("k <= 4").select("cell", F.col("pilot").alias("pid"), F.col("block").alias("home"))
-    guests = pilots.join(many.select("cell", "block"), "cell").filter("block <> home").select("cell", "block", "pid").join(classes.select("pid", "n", "counts"), "pid")
+    guests = pilots.join(many.select("cell", "block"), "cell").filter("block <> home").select("cell", "block", "pid").join(point_of, "pid")
     shape = ["cell", "block", "pid", "n", "counts", "label", "asks"]
-    first = member.withColumn("asks", F.lit(1)).unionByName(guests.withColumn("asks", F.lit(2))).withColumn("label", F.col("pid"))
-    found = candidates(first.select(shape), 0, parts).filter("a <> b").select("a", "b").distinct()
-    edges = settle(links(found, texts, words), "links")
-    turn = 1
+    first = cell.join(largest, ["pid", "cell"]).join(point_of, "pid").withColumn("asks", F.lit(1)).unionByName(guests.withColumn("asks", F.lit(2))).withColumn("label", F.col("pid"))
+    tried = settle(candidates(first.select(shape), 0, parts).filter("a <> b").select("a", "b").distinct(), "tried")
+    edges = settle(links(tried, texts, words), "links")
+    # Later turns: all cells in which pairs may be left that no turn has tried.
+    turn, open_ = 1, cell
     while True:
         label = settle(components(edges), "labels")
-        now = cell.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
+        now = open_.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
         votes = now.groupBy("cell", "label").count()
         main = votes.groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("cell", F.col("m.label").alias("main"))
-        # Points outside their cell's main component ask in all blocks of the cell.
+        # Points outside their cell's main component ask in all blocks of the cell. Of two points with different labels one
+        # asks, so a cell in which no asking point has pairs left is done for good.
         now = now.join(main, "cell").withColumn("asks", F.when(F.col("label") != F.col("main"), 1).otherwise(0))
         guests = now.filter("asks = 1").withColumnRenamed("block", "home").join(many.select("cell", "block"), "cell").filter("block <> home").withColumn("asks", F.lit(2))
-        rows = now.select("cell", "block", "pid", "label", "asks").unionByName(guests.select("cell", "block", "pid", "label", "asks")).join(classes.select("pid", "n", "counts"), "pid")
+        rows = now.select("cell", "block", "pid", "label", "asks").unionByName(guests.select("cell", "block", "pid", "label", "asks")).join(point_of, "pid")
         found = settle(candidates(rows.select(shape), turn, parts), "found")
-        more = found.agg(F.sum("more")).first()[0] or 0
-        new = settle(links(found.filter("a <> b").select("a", "b").distinct(), texts, words), "links")
+        fresh = settle(found.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        new = settle(links(fresh, texts, words), "links")
         some = new.limit(1).count()
         if some:
             edges = settle(edges.unionByName(new).distinct(), "links")
-        if not more:
+        left = found.filter("a = b").select(F.col("a").alias("cell")).distinct()
+        if not left.limit(1).count():
             break
+        open_ = settle(open_.join(left, "cell", "left_semi"), "cells")
+        tried = tried.unionByName(fresh)
         turn += 1
     if some:
         label = settle(components(edges), "labels")
@@ -580,8 +636,7 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     home = home.join(least, "root").select(F.col("pid").alias("p"), "root", "component_id")
     if count:  # the search leaves out links inside a component
         inside = label.select(F.col("node").alias("pid"), "root").join(classes.select("pid", "n"), "pid")
-        found = all_links(settle(inside, "inside"), texts, words, parts)
-        degree = settle(found.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count("*").alias("n_links")), "degrees")
+        degree = all_links(settle(inside, "inside"), texts, words, parts).withColumnRenamed("pid", "p")
         home = home.join(degree, "p", "left")
     return point.join(home, (F.col("pid") == F.col("p")) & (F.col("n") > 0), "left")
 

@@ -63,5 +63,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_token_counts, op5_ngram_jaccard, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity)}
 
 
+#: op5 by brute force: all pairs of different sets that share a shingle, then all sets that each one reaches by links.
+_OP5 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, row_number() OVER () AS nr, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+rows_ AS (
+    SELECT doc_id, nr, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS shingles
+    FROM words
+),
+sets AS (SELECT min(nr) AS s, min(doc_id) AS low, shingles, len(shingles) AS n FROM rows_ WHERE len(shingles) > 0 GROUP BY shingles),
+tokens AS (SELECT s, n, unnest(shingles) AS token FROM sets),
+links AS (
+    SELECT a.s AS a, b.s AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.s <> b.s
+    GROUP BY a.s, b.s, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reach AS (SELECT s, s AS t FROM sets UNION SELECT r.s, l.b FROM reach r JOIN links l ON l.a = r.t),
+low AS (SELECT r.s, min(x.low) AS component_id FROM reach r JOIN sets x ON x.s = r.t GROUP BY r.s),
+degree AS (SELECT a AS s, count(*) AS n_links FROM links GROUP BY a)
+SELECT r.doc_id, CAST(len(r.shingles) AS BIGINT) AS n_shingles, coalesce(low.component_id, r.doc_id) AS component_id, coalesce(d.n_links, 0) AS n_links
+FROM rows_ r LEFT JOIN sets x ON x.shingles = r.shingles AND len(r.shingles) > 0 LEFT JOIN low ON low.s = x.s LEFT JOIN degree d ON d.s = x.s
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard": _OP5}
