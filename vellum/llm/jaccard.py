@@ -32,6 +32,8 @@ NUM, DEN = 75, 100
 #: Points of a cell in one R-tree at most; larger cells are several blocks.
 BLOCK = 2_048
 LEAF = 16
+#: Cells of each point that the first turn looks at.
+FIRST_CELLS = 8
 #: Sampled documents, and how many of them must share a token for it to go last in the order.
 SAMPLE_ROWS = 20_000
 SAMPLE_SHARE = 12
@@ -597,8 +599,10 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     blocks = cell.groupBy("cell", "block").agg(F.min("pid").alias("pilot"))
     many = settle(blocks.join(blocks.groupBy("cell").count().filter("count > 1"), "cell", "left_semi"), "blocks")
 
-    # Turn 0: best partners, of each point in its largest cell only; in cells of several blocks, a few pilots ask in all of them.
-    largest = cell.join(cell.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("pid").agg(F.max_by("cell", "m").alias("cell"))
+    # Turn 0: best partners, of each point in its FIRST_CELLS largest cells only; in cells of several blocks, a few pilots ask in all of them.
+    sizes = cell.groupBy("cell").agg(F.count("*").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("m"), "cell"))
+    largest = cell.join(sizes, "cell").withColumn("k", rank).filter(F.col("k") <= FIRST_CELLS).select("pid", "cell")
     pilots = many.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("pilot"))).filter("k <= 4").select("cell", F.col("pilot").alias("pid"), F.col("block").alias("home"))
     guests = pilots.join(many.select("cell", "block"), "cell").filter("block <> home").select("cell", "block", "pid").join(point_of, "pid")
     shape = ["cell", "block", "pid", "n", "counts", "label", "asks"]
@@ -620,7 +624,7 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
         found = settle(candidates(rows.select(shape), turn, parts), "found")
         fresh = settle(found.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         new = settle(links(fresh, texts, words), "links")
-        some = new.limit(1).count()
+        some = new.count()
         if some:
             edges = settle(edges.unionByName(new).distinct(), "links")
         left = found.filter("a = b").select(F.col("a").alias("cell")).distinct()
@@ -628,7 +632,9 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
             break
         open_ = settle(open_.join(left, "cell", "left_semi"), "cells")
         tried = tried.unionByName(fresh)
-        turn += 1
+        # A turn that links well is made again with the new labels before more places are tried.
+        if 10 * some <= fresh.count():
+            turn += 1
     if some:
         label = settle(components(edges), "labels")
     home = classes.select("pid", "low").join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
