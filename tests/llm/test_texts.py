@@ -94,7 +94,7 @@ def test_token_counts(awkward):
 
 
 def test_toxicity(spark, awkward, tagged):
-    got = toxicity.toxicity(awkward, tagged, sample_rows=10, n_terms=50).collect()
+    got = toxicity.toxicity(awkward, tagged, sample_rows=10).collect()
     assert len(got) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
     assert toxicity.toxicity(awkward.limit(0), tagged).count() == 0

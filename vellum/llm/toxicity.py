@@ -16,6 +16,10 @@ BITS = 18
 SLOTS = 1 << BITS
 #: Lengths in bytes of the word beginnings that are terms besides the whole words.
 HEADS = (4, 5, 6)
+#: Slots with features of their own; all others enter through one more feature.
+OWN = 2_048
+#: Documents of each label that a slot is taken to have beyond those counted.
+SMOOTH = 5.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -43,29 +47,54 @@ def term_slots(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Machine:
-    """Bias, linear weights and factors of the chosen slots; place: slot -> row of these, or -1."""
+class Terms:
+    """The features of a text. place: slot -> its own feature, or -1; counts: training documents of each label by slot.
+
+    The slots without a feature of their own make up feature OWN, a number: the mean of their log ratios of the two
+    labels' shares of documents, smoothed, so that every term has its part in the score.
+    """
 
     place: np.ndarray
+    counts: np.ndarray
+    total: np.ndarray
+
+    def of(self, t: Texts, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature) of the slots with own features, and feature OWN of each document. With labels, a document isn't counted in its own numbers."""
+        doc, slot = term_slots(t)
+        row = self.place[slot]
+        rest, of = slot[row < 0], doc[row < 0]
+        n0, n1, total = *self.counts[:, rest], np.repeat(self.total[:, None], len(rest), 1)
+        if label is not None:
+            y = label[of]
+            n0, n1, total = n0 - (y == 0), n1 - (y == 1), total - np.stack((y == 0, y == 1))
+        share = SMOOTH * 2 * total / np.maximum(total.sum(0), 1)  # labels of a slot that isn't known
+        ratio = np.log((n1 + share[1]) / np.maximum(total[1], 1) + 1e-12) - np.log((n0 + share[0]) / np.maximum(total[0], 1) + 1e-12)
+        mean = np.bincount(of, ratio, minlength=t.n) / np.maximum(np.bincount(of, minlength=t.n), 1)
+        return doc[row >= 0], row[row >= 0], mean
+
+
+@dataclass
+class Machine:
+    """Bias, linear weights and factors of the features."""
+
+    terms: Terms
     bias: float
     linear: np.ndarray
     factors: np.ndarray
 
     def score(self, t: Texts) -> np.ndarray:
-        doc, slot = term_slots(t)
-        row = self.place[slot]
-        doc, row = doc[row >= 0], row[row >= 0]
-        y = self.bias + np.bincount(doc, self.linear[row], minlength=t.n)
+        doc, row, rest = self.terms.of(t)
+        y = self.bias + np.bincount(doc, self.linear[row], minlength=t.n) + self.linear[OWN] * rest
         for f in range(self.factors.shape[1]):
-            v = self.factors[row, f]
-            y += 0.5 * (np.bincount(doc, v, minlength=t.n) ** 2 - np.bincount(doc, v * v, minlength=t.n))
+            v, last = self.factors[row, f], self.factors[OWN, f] * rest
+            y += 0.5 * ((np.bincount(doc, v, minlength=t.n) + last) ** 2 - np.bincount(doc, v * v, minlength=t.n) - last**2)
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
-def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, factors: int = 8, steps: int = 2500, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, rest: np.ndarray | None = None, factors: int = 8, steps: int = 2500, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Fit a second-order factorization machine for log loss with Adam on mini-batches.
 
-    doc, row: coordinates of the ones of the sample's 0/1 matrix, in order of doc.
+    doc, row: coordinates of the ones of the sample's 0/1 matrix, in order of doc; rest: the numbers of its last column.
     """
     rng = np.random.default_rng(seed)
     cost = np.where(label == 1, np.sqrt(max((label == 0).sum(), 1) / max((label == 1).sum(), 1)), 1.0)  # rare toxic rows count more
@@ -78,13 +107,16 @@ def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, facto
         for at in range(0, len(order), 256):
             pick = order[at : at + 256]
             x = np.zeros((len(pick), n_terms))
-            for i, d in enumerate(pick):
-                x[i, row[bounds[d] : bounds[d + 1]]] = 1
+            size = bounds[pick + 1] - bounds[pick]
+            ones = np.repeat(bounds[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            x[np.repeat(np.arange(len(pick)), size), row[ones]] = 1
+            if rest is not None:
+                x[:, -1] = rest[pick]
             s = x @ v
-            y = w0 + x @ w + 0.5 * (s**2 - x @ v**2).sum(1)
+            y = w0 + x @ w + 0.5 * (s**2 - x**2 @ v**2).sum(1)
             g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - label[pick]) * cost[pick] / len(pick)
             gx = x.T @ g
-            grads = (g.sum(), gx + decay * w, x.T @ (g[:, None] * s) - v * gx[:, None] + decay * v)
+            grads = (g.sum(), gx + decay * w, x.T @ (g[:, None] * s) - v * ((x**2).T @ g)[:, None] + decay * v)
             step += 1
             new = []
             for p, grad, m in zip((w0, w, v), grads, state, strict=True):
@@ -112,12 +144,12 @@ def _labelled(b: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known & (keys[at] == ids if len(keys) else np.zeros(len(ids), bool)), at
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms: int = 2048, text: str = "text", key: str = "doc_id") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text: str = "text", key: str = "doc_id") -> Machine:
     """Fit on at most sample_rows labelled rows that are not held out.
 
-    Two scans: the first counts each slot's documents by label within tasks, which picks the n_terms
-    slots with the most significant difference; the second brings only those slots of the sample to
-    the driver (sample_rows x a few hundred two-byte numbers).
+    Two scans: the first counts each slot's documents by label within tasks, which picks the OWN slots with
+    the most significant difference for features of their own; the second brings the features of the sample to the
+    driver (sample_rows x a few hundred two-byte numbers). The counts, SLOTS rows at most, come to the driver, too.
     """
     keys, label = training_sample(labels, sample_rows)
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
@@ -137,31 +169,35 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms
 
     found = rows.mapInArrow(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = np.maximum(np.bincount(label, minlength=2), 1)
-    p0, p1 = F.col("n0") / int(total[0]), F.col("n1") / int(total[1])
-    z = F.abs(p1 - p0) / F.sqrt((F.col("n0") + F.col("n1") + 5.0) / float(total.sum()))
-    chosen = np.array(sorted(r.slot for r in found.orderBy(z.desc(), "slot").limit(n_terms).collect()), np.int64)
+    counts = np.zeros((2, SLOTS), np.int64)
+    for r in found.collect():
+        counts[:, r.slot] = r.n0, r.n1
+    z = np.abs(counts[1] / total[1] - counts[0] / total[0]) / np.sqrt((counts.sum(0) + 5.0) / total.sum())
+    chosen = np.sort(np.lexsort((np.arange(SLOTS), -z))[: min(OWN, int(counts.any(0).sum()))])
     place = np.full(SLOTS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
+    terms = Terms(place, counts.astype(np.float64), total.astype(np.float64))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             mine, at = _labelled(b, keys)
             if mine.any():
-                doc, slot = term_slots(Texts(b.column(1).filter(pa.array(mine)), lower=True))
-                row = place[slot]
-                doc, row = doc[row >= 0], row[row >= 0].astype(np.int16)
+                doc, row, rest = terms.of(Texts(b.column(1).filter(pa.array(mine)), lower=True), label[at[mine]])
+                row = row.astype(np.int16)
                 bounds = np.searchsorted(doc, np.arange(mine.sum() + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([row[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([row[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary()), pa.array(rest)], ["doc", "terms", "rest"])
 
-    found = dict(rows.mapInArrow(gather, "doc long, terms binary").collect())  # a repeated key counts once
-    terms = [np.sort(np.frombuffer(found.get(i, b""), np.int16)) for i in range(len(label))]
-    doc = np.repeat(np.arange(len(label)), [len(t) for t in terms])
-    row = np.concatenate(terms) if terms else np.zeros(0, np.int16)
-    bias, linear, factors = fit(doc, row.astype(np.int64), label, max(len(chosen), 1))
-    return Machine(place, bias, linear, factors)
+    # A repeated key counts once.
+    found = {r.doc: (r.terms, r.rest) for r in rows.mapInArrow(gather, "doc long, terms binary, rest double").collect()}
+    own = [np.sort(np.frombuffer(found.get(i, (b"", 0))[0], np.int16)) for i in range(len(label))]
+    rest = np.array([found.get(i, (b"", 0.0))[1] for i in range(len(label))])
+    doc = np.repeat(np.arange(len(label)), [len(t) for t in own])
+    row = np.concatenate(own) if own else np.zeros(0, np.int16)
+    bias, linear, factors = fit(doc, row.astype(np.int64), label, OWN + 1, rest)
+    return Machine(terms, bias, linear, factors)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_terms: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, score, predicted) of every row of docs.
 
     held_out: crc32 of the key as text is divisible by 5; labels of such rows are never read. score is
@@ -169,7 +205,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, n_te
     and empty texts have no terms and get the bias alone. Repeated rows are scored alike; a null key
     gives a null held_out; other columns are not read. Without usable labels every score is 0.5.
     """
-    machine = train(docs, labels, sample_rows, n_terms, text, key)
+    machine = train(docs, labels, sample_rows, text, key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
