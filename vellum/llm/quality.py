@@ -130,12 +130,17 @@ def trusted_ids(labels: DataFrame, target_rows: int = 50_000) -> np.ndarray:
     return np.sort(np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).collect()], dtype=np.int64))
 
 
+def sum_by_gram(w: np.ndarray, slot: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each document's grams, added up in their order, whatever documents are beside it."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return np.bincount(doc, w[slot], minlength=len(bounds) - 1)
+
+
 def _judge(t: Texts, w: np.ndarray, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Statistics, base_failed, llr and kept of each document of a batch."""
     s = text_stats(t)
     slot, bounds = gram_slots(t)
-    total = np.concatenate((np.zeros(1), np.cumsum(w[slot])))
-    llr = np.round(np.diff(total[bounds]) / np.maximum(np.diff(bounds), 1), 9)
+    llr = np.round(sum_by_gram(w, slot, bounds) / np.maximum(np.diff(bounds), 1), 9)
     failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
     return s, failed, llr, ~failed & (llr >= threshold)
 
