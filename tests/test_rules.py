@@ -145,3 +145,36 @@ def test_terms_of_any_length_are_attached(spark):
     terms = spark.createDataFrame([("net asset value per share", "m5"), ("Asset Value", "m2"), ("the net asset value per share as of today and on", "m11"), ("--", "none")], "term string, meaning string")
     got = {(r.chunk_id, r.meaning) for r in term_injection(chunks, terms).collect()}
     assert got == {("c1", "m5"), ("c1", "m2"), ("c2", "m2")}
+
+
+def test_tables_without_a_page_are_on_page_one(spark):
+    from vellum.operators import chunks
+
+    items = spark.createDataFrame([(1, 0, "table", "x", None), (1, 1, "text", "x", None), (1, 2, "picture", None, None), (1, 3, "text", "x", 2)], "doc_id int, item_no int, label string, text string, page_no long")
+    assert {(r.item_no, r.kind, r.page_no) for r in chunks.item_kind(items).collect()} == {(0, "table", 1), (3, "text", 2)}
+
+
+def test_cell_names(spark):
+    from vellum.operators import grounding
+
+    def name(n):
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    numbers = [1, 26, 27, 52, 676, 702, 703, 1378, 16_384, 18_278, 18_279, 475_254]
+    rows = spark.createDataFrame([(n,) for n in numbers], "c int").select("c", grounding.cell_name(F.lit(7), F.col("c")).alias("n")).collect()
+    assert {r.c: r.n for r in rows} == {n: f"{name(n)}7" for n in numbers}
+
+
+def test_asset_ids_look_ahead_in_their_line(spark):
+    import re
+
+    from vellum.functions import text
+
+    texts = ["ABCDEFGHI 1", "abcdefghij", "1 ABCDEFGHIJ", "123456789 x", "x 123456789", "ABCDEFGH1 ABCDEFGHI\n2", "A1234567890BC ABCDEF1234", "a-b1c2d3e4f5g6 longestword9 words,", "", "1234567890 1 abcdefghi 9z"]
+    want = [len(re.findall(r"(?i)\b(?=[A-Z0-9]{9,12}\b)(?=.*\d)(?=.*[A-Z])[A-Z0-9]{9,12}\b", t)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.asset_ids(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == want and sum(want) > 4

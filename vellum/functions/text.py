@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The patterns that these rules are defined by.
 MONEY = r"(?iUd)[$€£¥]|\b(USD|EUR|GBP|JPY|CHF|CAD|AUD|CNY|HKD|SGD|NZD|KRW)\b|\(\d{1,3}(?:,\d{3})*\)|\d+(?:\.\d+)?[x%]"
-UNITS = r"(?iUd)\b(sq\s?ft|sf|m2|psf|keys|MW|GWh|TEU|dwt|mt|bbl)\b|\b(?=[A-Z0-9]{9,12}\b)(?=.*\d)(?=.*[A-Z])[A-Z0-9]{9,12}\b"
+UNITS = r"(?iUd)\b(sq\s?ft|sf|m2|psf|keys|MW|GWh|TEU|dwt|mt|bbl)\b"
+ASSET_ID = r"(?iUd)\b[A-Z0-9]{9,12}\b"
 PERIODS = r"(?Ud)\b(?:FY|Q[1-4]|LTM)\d{2}\b|\b2[0O]\d{2}[E]?\b"
 DOT_LEADER = r"(?md)\.{5,}\s*\d+$"
 LEGAL_START = r"^(article|section)\s+\d"
@@ -39,9 +40,19 @@ def alpha_ratio(t: Column) -> Column:
     return F.lit(1.0) - words / F.greatest(token_count(t), F.lit(1))
 
 
+def asset_ids(t: Column) -> Column:
+    """Number of asset ids: words of 9 to 12 letters and digits with a digit and a letter at their place or later in the line.
+
+    Each line is cut once after the words of its last digit and its last letter; that is linear in its length.
+    """
+    upto = lambda line, p: F.length(F.regexp_extract(line, p, 0))
+    cut = lambda line: F.substring(line, F.lit(1), F.least(upto(line, r"(?Ud)^.*\d\w*"), upto(line, r"(?iUd)^.*[A-Z]\w*")))
+    return F.aggregate(F.split(t, "\n"), F.lit(0), lambda n, line: n + F.regexp_count(cut(line), F.lit(ASSET_ID)))
+
+
 def entity_density(t: Column) -> Column:
     """Weighted hits of amounts (2), units and asset ids (3) and periods (1.5) per token, 1 at most."""
-    hits = F.regexp_count(t, F.lit(MONEY)) * 2.0 + F.regexp_count(t, F.lit(UNITS)) * 3.0 + F.regexp_count(t, F.lit(PERIODS)) * 1.5
+    hits = F.regexp_count(t, F.lit(MONEY)) * 2.0 + (F.regexp_count(t, F.lit(UNITS)) + asset_ids(t)) * 3.0 + F.regexp_count(t, F.lit(PERIODS)) * 1.5
     return F.least(hits / F.greatest(token_count(t), F.lit(1)), F.lit(1.0))
 
 

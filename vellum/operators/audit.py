@@ -14,7 +14,7 @@ def ratios(metrics: DataFrame, top: str, bottom: str) -> DataFrame:
 
 def cost_rollup(chunks: DataFrame, prices: DataFrame) -> DataFrame:
     """(doc_hash, tokens, cost) from chunks (doc_hash, type, token_count) and prices (type, per_token)."""
-    met = chunks.join(F.broadcast(prices), "type", "left").withColumn("cost", F.col("token_count") * F.coalesce("per_token", F.lit(0.0)))
+    met = chunks.join(prices, "type", "left").withColumn("cost", F.col("token_count") * F.coalesce("per_token", F.lit(0.0)))
     return met.groupBy("doc_hash").agg(F.sum("token_count").alias("tokens"), F.sum("cost").alias("cost"))
 
 

@@ -19,9 +19,10 @@ def drop_furniture(items: DataFrame) -> DataFrame:
 
 
 def item_kind(items: DataFrame) -> DataFrame:
-    """Items with kind table, visual or text; blank text items and items without a page are dropped."""
+    """Items with kind table, visual or text. Blank text items go, and items without a page, but tables without one are on page 1."""
     kind = F.when(F.col("label") == "table", "table").when(F.col("label").isin(*VISUALS), "visual").when(F.length(T.strip(F.col("text"))) > 0, "text")
-    return drop_furniture(items).withColumn("kind", kind).filter(F.col("kind").isNotNull() & F.col("page_no").isNotNull())
+    page = F.coalesce("page_no", F.when(F.col("kind") == "table", 1))
+    return drop_furniture(items).withColumn("kind", kind).withColumn("page_no", page).filter("kind IS NOT NULL AND page_no IS NOT NULL")
 
 
 def reading_order(items: DataFrame) -> DataFrame:

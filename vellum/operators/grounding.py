@@ -21,10 +21,13 @@ def final_state(turns: DataFrame) -> DataFrame:
 
 
 def cell_name(row: Column, col: Column) -> Column:
-    """Spreadsheet name such as C15 of a row and a column counted from 1, up to column ZZ."""
-    letter = lambda n: F.char((n + 65).cast("long"))
-    z = col - 1
-    return F.concat(F.when(z >= 26, letter(F.floor(z / 26) - 1)).otherwise(""), letter(z % 26), row.cast("string"))
+    """Spreadsheet name such as C15 of a row and a column counted from 1, up to column ZZZZ."""
+    letter = lambda n: F.char((n % 26 + 65).cast("long"))
+    place, first, parts = col.cast("long") - 1, 0, []  # names of k letters begin at 26 + 26**2 ... + 26**(k - 1)
+    for k in range(4):
+        parts.insert(0, F.when(place >= first, letter(F.floor((place - first) / 26**k))).otherwise(""))
+        first += 26 ** (k + 1)
+    return F.concat(*parts, row.cast("string"))
 
 
 def citations(chunks: DataFrame, length: int = 120) -> DataFrame:

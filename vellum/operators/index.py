@@ -80,8 +80,8 @@ def payload_scroll(points: DataFrame, n: int, **equal) -> DataFrame:
 
 
 def list_sources(points: DataFrame) -> DataFrame:
-    """Distinct sources."""
-    return points.select("source").filter("source IS NOT NULL").distinct()
+    """Distinct sources, sorted."""
+    return points.select("source").filter("source IS NOT NULL").distinct().orderBy("source")
 
 
 def payload_preview(points: DataFrame, most: int = 2000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -29,9 +29,9 @@ def primary_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return f.join(p, "doc", "full").select("doc", F.when(good, F.col("p")).otherwise(F.col("f")).alias("text"), F.when(good, "markitdown").otherwise("openpyxl_fallback").alias("method"))
 
 
-def header_md(columns: list[str]) -> str:
-    """Markdown header of a table."""
-    return f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}"
+def header_md(names: Column) -> Column:
+    """Markdown header of a table with these column names (an array). Its marks."""
+    return F.concat(F.lit("| "), F.array_join(names, " | "), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.size(names)))
 
 
 def _rows(cells: DataFrame, join) -> DataFrame:
@@ -47,7 +47,7 @@ def table_segments(cells: DataFrame, columns: list[str], rows_per_chunk: int = 1
     body = body.withColumn("n", F.row_number().over(order) - 1).withColumn("segment", F.floor(F.col("n") / rows_per_chunk))
     found = body.groupBy("doc", "segment").agg(F.array_sort(F.collect_list(F.struct("n", "body"))).alias("r"), F.min("n").alias("lo"), (F.max("n") + 1).alias("hi"))
     span = F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"))
-    text = F.concat(F.lit(f"Context (Headers):\n{header_md(columns)}\n\nSegment ("), span, F.lit("):\n"), F.array_join(F.transform("r", lambda x: x["body"]), "\n"))
+    text = F.concat(F.lit("Context (Headers):\n"), header_md(F.array(*map(F.lit, columns))), F.lit("\n\nSegment ("), span, F.lit("):\n"), F.array_join(F.transform("r", lambda x: x["body"]), "\n"))
     return found.select("doc", "segment", span.alias("rows"), text.alias("text"), T.token_count(text).alias("token_count"), F.lit("table").alias("type"))
 
 

@@ -42,8 +42,7 @@ def a8(spark, d):
 @query("c1_table_header_md", "SELECT o_orderkey, '| orderkey | ' || lower(o_orderpriority) || ' |' || chr(10) || '|---|---|' AS header FROM orders")
 def c1(spark, d):
     names = F.array(F.lit("orderkey"), F.lower("o_orderpriority"))
-    header = F.concat(F.lit("| "), F.array_join(names, " | "), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.size(names)))
-    return load(spark, d, "orders").select("o_orderkey", header.alias("header"))
+    return load(spark, d, "orders").select("o_orderkey", T.header_md(names).alias("header"))
 
 
 @query("c2_table_segments", ctes("cells").rstrip() + rf", {_BODY}, {_SEG} SELECT doc, segment, rows, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS token_count, 'table' AS type FROM segs")

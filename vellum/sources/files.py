@@ -80,8 +80,11 @@ def load_blobs(chunks: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFram
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(origin, x, y, r, g, b) of decoded images; the source stores rows of BGR bytes."""
     img = spark.read.format("image").load(path).select("image.*").filter("nChannels >= 3")
-    row = img.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    px = row.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    at = (F.col("y") * F.col("width") + F.col("x")) * F.col("nChannels")
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), at + 1 + k, F.lit(1))), 16, 10).cast("int")
+    # One row of bytes for each line of the image, then its pixels; the whole image isn't carried along.
+    stride = F.col("width") * F.col("nChannels")
+    lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring(F.col("data"), y * stride + 1, stride))
+    line = img.select("origin", "width", "nChannels", F.posexplode(lines).alias("y", "line")).withColumn("line", F.hex("line"))
+    pixels = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.substring(F.col("line"), x * F.col("nChannels") * 2 + 1, F.lit(6)))
+    px = line.select("origin", "y", F.posexplode(pixels).alias("x", "bgr"))
+    byte = lambda k: F.conv(F.substring("bgr", 2 * k + 1, 2), 16, 10).cast("int")
     return px.select("origin", "x", "y", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
