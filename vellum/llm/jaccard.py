@@ -611,8 +611,8 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     edges = settle(links(tried, texts, words), "links")
     # Later turns: all cells in which pairs may be left that no turn has tried.
     turn, open_ = 1, cell
+    label = settle(components(edges), "labels")
     while True:
-        label = settle(components(edges), "labels")
         now = open_.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
         votes = now.groupBy("cell", "label").count()
         main = votes.groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("cell", F.col("m.label").alias("main"))
@@ -635,6 +635,8 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
         # A turn that links well is made again with the new labels before more places are tried.
         if 10 * some <= fresh.count():
             turn += 1
+        if some:
+            label = settle(components(edges), "labels")
     if some:
         label = settle(components(edges), "labels")
     home = classes.select("pid", "low").join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
