@@ -93,6 +93,8 @@ def test_upsert_and_ledger_are_idempotent(spark):
     once = I.upsert_points(old, new)
     assert sorted(map(tuple, once.collect())) == [("a", 1), ("b", 2), ("c", 2)] == sorted(map(tuple, I.upsert_points(once, new).collect()))
     assert sorted(map(tuple, I.upsert_points(old, new.limit(0)).collect())) == [("a", 1), ("b", 1)]
+    clash = I.upsert_points(old.toDF("chunk_id", "batch"), new.toDF("chunk_id", "batch"))
+    assert clash.columns == ["chunk_id", "batch"] and sorted(map(tuple, clash.collect())) == [("a", 1), ("b", 2), ("c", 2)]
     files = spark.createDataFrame([("h1", "x", 2), ("h1", "w", 1), ("h2", "y", 3)], "doc_hash string, filename string, seq int")
     first = L.ledger_append(files.select("doc_hash").limit(0), files)
     assert sorted((r.doc_hash, r.filename) for r in first.collect()) == [("h1", "w"), ("h2", "y")]
@@ -129,6 +131,31 @@ def test_blob_folders(spark):
         df.select(S.blob_path(F.col("folder"), F.col("file_name"))).collect()
 
 
+def test_blob_kinds(spark, tmp_path):
+    """Markdown goes to tables only, JSON to all three folders, both into one store."""
+    import pytest
+
+    one = lambda folder: spark.createDataFrame([(folder, "a", "x")], "folder string, file_name string, body string")
+    S.write_blobs(one("layouts"), str(tmp_path / "b"))
+    S.write_blobs(one("tables"), str(tmp_path / "b"), "md")
+    assert sorted((r.kind, r.blob_path) for r in spark.read.parquet(str(tmp_path / "b")).collect()) == [("json", "layouts/a"), ("md", "tables/a")]
+    with pytest.raises(Exception, match="Invalid blob folder"):
+        S.write_blobs(one("layouts"), str(tmp_path / "c"), "md")
+
+
+def test_supersession_in_stretches(spark):
+    rng = random.Random(6)
+    rows = [(f, v, f"h{f}{v}") for f in ("a", "b", None) for v in rng.sample(range(-200, 200), 60)]
+    want = {}
+    for f in ("a", "b", None):
+        mine = sorted(r[1:] for r in rows if r[0] == f)
+        want |= {(f, v): (nxt and nxt[1]) for (v, _), nxt in zip(mine, [*mine[1:], None], strict=True)}
+    df = spark.createDataFrame(rows, "filename string, version long, doc_hash string").withColumn("part", F.lit(1))
+    got = L.supersession(df, span=7)
+    assert got.columns == ["filename", "version", "doc_hash", "part", "superseded_by_hash", "is_superseded"]
+    assert {(r.filename, r.version): r.superseded_by_hash for r in got.collect()} == want and got.count() == len(rows)
+
+
 def test_image_pixels(spark, tmp_path):
     rows = [[(255, 0, 0), (0, 255, 0)], [(0, 0, 255), (9, 8, 7)]]
     raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in rows)

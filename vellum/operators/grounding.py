@@ -9,9 +9,13 @@ from vellum.functions import text as T
 
 
 def conversation_state(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, n_messages, messages): all messages up to each turn."""
+    """(conv_id, turn, role, text, n_messages, n_chars): each message with the size of the state after it.
+
+    The state after a message is the conversation's messages with n_messages up to its own; so every text is kept
+    once, not once for each later turn.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.select("conv_id", "turn", F.count("*").over(order).alias("n_messages"), F.collect_list(F.struct("role", "text")).over(order).alias("messages"))
+    return turns.select("conv_id", "turn", "role", "text", F.count("*").over(order).alias("n_messages"), F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order).alias("n_chars"))
 
 
 def final_state(turns: DataFrame) -> DataFrame:

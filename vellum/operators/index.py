@@ -18,10 +18,10 @@ def payload(chunks: DataFrame) -> DataFrame:
 
 def upsert_points(stored: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFrame:
     """stored with the rows of batch inserted or put in place of those with their key. The last of equal keys in a table stays by order of all its columns."""
-    both = stored.withColumn("_batch", F.lit(0)).unionByName(batch.withColumn("_batch", F.lit(1)))
-    rest = [F.desc(c) for c in stored.columns if c != key]
-    order = Window.partitionBy(key).orderBy(F.desc("_batch"), *rest)
-    return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_batch", "_n")
+    # Whole rows in one column, so that no name of theirs can clash.
+    rows = lambda df, n: df.select(F.lit(n).alias("batch"), F.struct(*(df[c] for c in stored.columns)).alias("row"))
+    order = Window.partitionBy(F.col("row")[key]).orderBy(F.desc("batch"), *(F.col("row")[c].desc() for c in stored.columns if c != key))
+    return rows(stored, 0).union(rows(batch, 1)).withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
 
 
 def dot(a: Column, b: Column) -> Column:

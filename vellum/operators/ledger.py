@@ -47,10 +47,20 @@ def run_lines(report: DataFrame) -> DataFrame:
     return report.select("file_name", F.concat_ws(": ", "file_name", "status", tail).alias("line"))
 
 
-def supersession(versions: DataFrame) -> DataFrame:
-    """versions (filename, version, doc_hash) with is_superseded and superseded_by_hash: the next version of a name."""
-    after = F.lead("doc_hash").over(Window.partitionBy("filename").orderBy("version"))
-    return versions.withColumn("superseded_by_hash", after).withColumn("is_superseded", F.col("superseded_by_hash").isNotNull())
+def supersession(versions: DataFrame, span: int = 10_000) -> DataFrame:
+    """versions (filename, version, doc_hash) with is_superseded and superseded_by_hash: the next version of a name.
+
+    Names with very many versions are looked at in stretches of `span` version numbers, so that none is sorted in one
+    task; the first hash of the next stretch follows the last one of a stretch.
+    """
+    part = F.floor(F.col("version") / span)
+    near = F.lead("doc_hash").over(Window.partitionBy("filename", part).orderBy("version"))
+    first = versions.groupBy("filename", part.alias("part")).agg(F.min(F.struct("version", "doc_hash"))["doc_hash"].alias("head"))
+    heads = first.select(F.col("filename").alias("name"), "part", F.lead("head").over(Window.partitionBy("filename").orderBy("part")).alias("next"))
+    rows = versions.select(F.struct(*versions.columns).alias("row"), near.alias("near"), part.alias("at"))
+    met = rows.join(heads, F.col("row.filename").eqNullSafe(F.col("name")) & F.col("at").eqNullSafe(F.col("part")), "left")
+    after = F.coalesce("near", "next")
+    return met.select("row.*", after.alias("superseded_by_hash"), after.isNotNull().alias("is_superseded"))
 
 
 def current_documents(versions: DataFrame) -> DataFrame:

@@ -60,6 +60,12 @@ def table_html(cells: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("doc").agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
 
 
-def table_blob_link(segments: DataFrame) -> DataFrame:
-    """Segments with the path of their table's one HTML blob."""
-    return segments.withColumn("table_blob_path", F.concat(F.lit("tables/"), F.col("doc").cast("string"), F.lit(".json")))
+def html_blobs(html: DataFrame) -> DataFrame:
+    """(doc, folder, file_name, body): the one blob of each table of (doc, html)."""
+    return html.select("doc", F.lit("tables").alias("folder"), F.concat(F.col("doc").cast("string"), F.lit(".json")).alias("file_name"), F.to_json(F.struct("html")).alias("body"))
+
+
+def table_blob_link(segments: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Segments with table_blob_path, the path of their table's blob among blobs (blob_path, ...); null if it isn't stored."""
+    path = F.concat(F.lit("tables/"), segments["doc"].cast("string"), F.lit(".json"))
+    return segments.join(blobs.select(F.col("blob_path").alias("table_blob_path")).distinct(), path == F.col("table_blob_path"), "left")

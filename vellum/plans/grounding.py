@@ -17,9 +17,9 @@ def f1(spark, d):
     return load(spark, d, "replies").select("event_id", T.chatty_json(F.col("reply")).alias("json_text"))
 
 
-@query("f2_conversation_state", "SELECT conv_id, turn, count(*) OVER w AS n_messages, len(list(text) OVER w) AS kept FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
+@query("f2_conversation_state", "SELECT conv_id, turn, role, text, count(*) OVER w AS n_messages, CAST(sum(coalesce(length(text), 0)) OVER w AS BIGINT) AS n_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
 def f2(spark, d):
-    return G.conversation_state(load(spark, d, "conversations")).select("conv_id", "turn", "n_messages", F.size("messages").alias("kept"))
+    return G.conversation_state(load(spark, d, "conversations"))
 
 
 @query("f2_final_state", "SELECT conv_id, count(*) AS n_messages, list(role || ': ' || text ORDER BY turn, role, text) AS messages, last(role ORDER BY turn, role, text) AS last_role FROM conversations GROUP BY conv_id")

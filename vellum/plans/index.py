@@ -13,7 +13,7 @@ from vellum.operators import ledger as L
 from vellum.operators import tables as TB
 from vellum.plans.fixtures import ctes, load
 from vellum.plans.registry import query
-from vellum.plans.tabular import COLUMNS
+from vellum.plans.tabular import BODY, COLUMNS, HTML, SEGMENTS
 from vellum.sources import files as S
 from vellum.streaming.ingest import stream_ingest
 
@@ -89,21 +89,39 @@ def a7(spark, d):
     return S.shadow_plan(files, rendered)
 
 
-@query("a9_blob_sink", "SELECT DISTINCT 'tables/' || l_orderkey || '.json' AS blob_path FROM lineitem")
+@query(
+    "a9_blob_sink",
+    ctes("cells").rstrip() + f""", {BODY}, {SEGMENTS}, html AS ({HTML})
+    SELECT 'json' AS kind, 'tables/' || doc || '.json' AS blob_path, '{{"html":"' || html || '"}}' AS body FROM html
+    UNION ALL SELECT 'md', 'tables/' || doc || '_' || segment || '.md', text FROM segs""",
+)
 def a9(spark, d):
+    """Each table as one JSON blob, each of its segments as one of Markdown, read back from the store."""
     path = _folder(spark, "blobs")
-    html = TB.table_html(load(spark, d, "cells"), COLUMNS)
-    S.write_blobs(html.select(F.lit("tables").alias("folder"), F.concat(F.col("doc").cast("string"), F.lit(".json")).alias("file_name"), F.to_json(F.struct("html")).alias("body")), path)
-    return spark.read.parquet(path).select("blob_path")
+    cells = load(spark, d, "cells")
+    S.write_blobs(TB.html_blobs(TB.table_html(cells, COLUMNS)).drop("doc"), path)
+    name = F.concat(F.col("doc").cast("string"), F.lit("_"), F.col("segment").cast("string"), F.lit(".md"))
+    S.write_blobs(TB.table_segments(cells, COLUMNS).select(F.lit("tables").alias("folder"), name.alias("file_name"), F.col("text").alias("body")), path, "md")
+    return spark.read.parquet(path).select("kind", "blob_path", "body")
 
 
-@query("a10_blob_load", "SELECT o_orderkey AS doc, 'tables/' || o_orderkey || '.json' AS table_blob_path, (o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS found FROM orders")
+@query("a10_blob_load", ctes("cells").rstrip() + f""", html AS ({HTML}) SELECT o_orderkey AS doc, 'tables/' || o_orderkey || '.json' AS table_blob_path, html IS NOT NULL AS found, '{{"html":"' || html || '"}}' AS body FROM orders LEFT JOIN html ON o_orderkey = doc AND doc % 5 <> 0""")
 def a10(spark, d):
-    path = F.concat(F.lit("tables/"), F.col("doc").cast("string"), F.lit(".json"))
-    blobs = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc")).distinct().select(path.alias("blob_path"), F.lit("{}").alias("body"))
-    chunks = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).withColumn("table_blob_path", path)
+    """The blobs of all orders' tables; those of orders whose number is a multiple of 5 aren't stored."""
+    blobs = TB.html_blobs(TB.table_html(load(spark, d, "cells"), COLUMNS).filter("doc % 5 <> 0")).select(S.blob_path(F.col("folder"), F.col("file_name")).alias("blob_path"), "body")
+    chunks = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).withColumn("table_blob_path", F.concat(F.lit("tables/"), F.col("doc").cast("string"), F.lit(".json")))
     met, missing = S.load_blobs(chunks, blobs)
-    return met.select("doc", "table_blob_path", F.lit(True).alias("found")).unionByName(missing.select("doc", "table_blob_path", F.lit(False).alias("found")))
+    return met.select("doc", "table_blob_path", F.lit(True).alias("found"), "body").unionByName(missing.select("doc", "table_blob_path", F.lit(False).alias("found"), F.lit(None).cast("string").alias("body")))
+
+
+@query("a11_image_pixels", ctes("pixels") + "SELECT image_id, x, y, r, g, b FROM pixels")
+def a11(spark, d):
+    """Images in the form that Spark's image source gives (rows of BGR bytes), made of the pixel fixture, taken apart into pixels."""
+    two = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
+    px = F.array_sort(F.collect_list(F.struct("y", "x", F.concat(two("b"), two("g"), two("r")).alias("bgr"))))
+    images = load(spark, d, "pixels").groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), px.alias("px"))
+    images = images.select(F.col("image_id").alias("origin"), "height", "width", F.lit(3).alias("nChannels"), F.unhex(F.array_join(F.transform("px", lambda p: p["bgr"]), "")).alias("data"))
+    return S.decoded_pixels(images).select(F.col("origin").alias("image_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b")
 
 
 _PAYLOAD = "payloads AS (SELECT chunk_id, source, page_number AS page, coalesce(type, 'text') AS type, clean_text AS text, doc_hash, seq FROM chunks)"
@@ -137,10 +155,11 @@ def e4(spark, d):
     return I.vector_guard(load(spark, d, "embeddings").withColumn("embedding", cut), 64)[1].select("vec_id", "reason")
 
 
-@query("e5_batch_embed", "SELECT 'c' || doc_id AS chunk_id, v.vec_id, len(v.embedding) AS dim FROM documents JOIN embeddings v ON doc_id = v.vec_id")
+@query("e5_batch_embed", "SELECT 'c' || doc_id AS chunk_id, v.vec_id, len(v.embedding) AS dim, v.embedding[1]::DOUBLE AS head, list_min(v.embedding)::DOUBLE AS least, list_max(v.embedding)::DOUBLE AS largest FROM documents JOIN embeddings v ON doc_id = v.vec_id")
 def e5(spark, d):
     vectors = load(spark, d, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), "vec_id", "embedding")
-    return I.batch_embed(load(spark, d, "chunks").select("chunk_id"), vectors)[0].select("chunk_id", "vec_id", F.size("embedding").alias("dim"))
+    v = F.col("embedding").cast("array<double>")
+    return I.batch_embed(load(spark, d, "chunks").select("chunk_id"), vectors)[0].select("chunk_id", "vec_id", F.size(v).alias("dim"), v[0].alias("head"), F.array_min(v).alias("least"), F.array_max(v).alias("largest"))
 
 
 @query("e5_hashed_vectors")

@@ -65,9 +65,9 @@ def blob_path(folder: Column, name: Column, kind: str = "json") -> Column:
     return F.when(folder.isin(*allowed), F.concat(folder, F.lit("/"), name)).otherwise(F.raise_error(F.concat(F.lit("Invalid blob folder: "), folder)))
 
 
-def write_blobs(blobs: DataFrame, path: str) -> None:
-    """Write (folder, file_name, body) as Parquet, a part for each folder; checked by blob_path."""
-    good = blobs.withColumn("blob_path", blob_path(F.col("folder"), F.col("file_name")))
+def write_blobs(blobs: DataFrame, path: str, kind: str = "json") -> None:
+    """Add (folder, file_name, body) of a kind, json or md, to the Parquet store at path, a part for each folder; checked by blob_path."""
+    good = blobs.withColumns({"blob_path": blob_path(F.col("folder"), F.col("file_name"), kind), "kind": F.lit(kind)})
     good.write.mode("append").partitionBy("folder").parquet(path)
 
 
@@ -79,7 +79,12 @@ def load_blobs(chunks: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFram
 
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(origin, x, y, r, g, b) of decoded images; the source stores rows of BGR bytes."""
-    img = spark.read.format("image").load(path).select("image.*").filter("nChannels >= 3")
+    return decoded_pixels(spark.read.format("image").load(path).select("image.*"))
+
+
+def decoded_pixels(images: DataFrame) -> DataFrame:
+    """(origin, x, y, r, g, b) of images (origin, height, width, nChannels, data) as Spark's image source gives them; those of under three channels have none."""
+    img = images.filter("nChannels >= 3")
     # One row of bytes for each line of the image, then its pixels; the whole image isn't carried along.
     stride = F.col("width") * F.col("nChannels")
     lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring(F.col("data"), y * stride + 1, stride))
