@@ -1,8 +1,9 @@
 """Operators on single texts: quality rules, weak labels, token counts, toxicity."""
 
+import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -46,6 +47,51 @@ def test_quality_rules(awkward, tagged):
     assert kept.columns == awkward.columns and kept.count() == sum(r.kept for r in got)
 
 
+def slots(text):
+    b = (text or "").encode()
+    return [(int.from_bytes(b[i : i + 4], "big") * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48 for i in range(len(b) - 3)]
+
+
+def log_ratio(top, bottom):
+    """Log ratio of two multinomials over the slots, add-one counts."""
+    a, b = sum(top.values()) + quality.SLOTS, sum(bottom.values()) + quality.SLOTS
+    return lambda s: math.log((top.get(s, 0) + 1) / a) - math.log((bottom.get(s, 0) + 1) / b)
+
+
+def test_llr_by_brute_force(awkward, tagged):
+    rows = [(r.doc_id, slots(r.text)) for r in awkward.select("doc_id", "text").collect()]
+    trusted = {r.doc_id for r in tagged.collect() if r.quality == 1 and r.doc_id is not None}
+    raw, target = Counter(), Counter()
+    for i, g in rows:
+        raw.update(g)
+        target.update(g if i in trusted else [])
+    w = log_ratio(target, raw)
+    place = lambda x: (-1 if x[0] is None else x[0], x[1])
+    want = sorted(((i, sum(map(w, g)) / max(len(g), 1)) for i, g in rows), key=place)
+    got = sorted(((r.doc_id, r.llr, r.base_failed, r.kept) for r in quality.quality_rules(awkward, tagged).collect()), key=place)
+    assert [r[0] for r in got] == [i for i, _ in want]
+    assert all(abs(r[1] - y) < 1e-7 and (r[3] == (not r[2] and r[1] >= -0.5)) for r, (_, y) in zip(got, want, strict=True))
+
+
+def test_weak_scores_by_brute_force(spark):
+    """From the posteriors: the scorer's weights, every score, the threshold and what is kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.doc_id: slots(r.text) for r in docs.select("doc_id", "text").collect()}
+    got = weak.classify(docs).collect()
+    good, bad = defaultdict(float), defaultdict(float)
+    for r in got:
+        for g, n in Counter(text[r.doc_id]).items():
+            good[g] += r.posterior * 1000 * n / len(text[r.doc_id])
+            bad[g] += (1 - r.posterior) * 1000 * n / len(text[r.doc_id])
+    w = log_ratio(good, bad)
+    assert all(abs(r.score - sum(map(w, text[r.doc_id])) / max(len(text[r.doc_id]), 1)) < 3e-6 for r in got)
+    at = {r.doc_id: math.floor(r.score / weak.BIN) for r in got}
+    cost = lambda cut: round(sum(3 * r.posterior if at[r.doc_id] < cut else 1 - r.posterior for r in got), 3)
+    cuts = sorted(set(at.values())) + [math.inf]
+    best = min(cuts, key=lambda c: (cost(c), c))
+    assert all(r.kept == (r.score >= best * weak.BIN) for r in got) and 0 < sum(r.kept for r in got) < len(got)
+
+
 def test_quality_rules_tell_junk(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
@@ -101,6 +147,25 @@ def test_toxicity(spark, awkward, tagged):
     assert {r.score for r in toxicity.toxicity(awkward, tagged.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """All pairs of a text's features, one by one, give the score that the query returns."""
+    import pyarrow as pa
+
+    from vellum.llm.textbytes import Texts
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    some = [r for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 1500][:12]
+    for r in some:
+        _, row, rest = machine.terms.of(Texts(pa.array([r.text or ""]), lower=True))
+        x = {**{int(k): 1.0 for k in row}, toxicity.OWN: float(rest[0])}
+        y = machine.bias + sum(machine.linear[k] * v for k, v in x.items())
+        y += sum(float(machine.factors[a] @ machine.factors[b]) * x[a] * x[b] for a in x for b in x if a < b)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-min(max(y, -30), 30)))) < 1e-6
+    assert len(some) == 12
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
