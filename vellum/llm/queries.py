@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, jaccard, mixing, packing, quality, store, suffix, tokencount, toxicity, weak
+from vellum.llm import ann, decontaminate, jaccard, mixing, packing, quality, spelling, store, suffix, tokencount, toxicity, weak, whitening
 from vellum.llm.shared import shared_dir
 
 
@@ -59,8 +59,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_token_counts, op5_ngram_jaccard, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_token_counts, op5_ngram_jaccard, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity, op11_spelling_variants, op12_embedding_whitening, op13_benchmark_decontamination)}
 
 
 #: op5 by brute force: all pairs of different sets that share a shingle, then all sets that each one reaches by links.
@@ -88,5 +100,50 @@ FROM rows_ r LEFT JOIN sets x ON x.shingles = r.shingles AND len(r.shingles) > 0
 """
 
 
+#: op11 by brute force: words that share what is left after one deletion.
+_OP11 = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+),
+runs AS (
+    SELECT doc_id, run, count(*) AS c
+    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+),
+coded AS (
+    SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS b
+    FROM runs
+),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+words AS (
+    SELECT word, CAST(sum(c) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM hashed)
+    GROUP BY word HAVING length(word) >= 6 AND sum(c) >= 5
+),
+short AS (SELECT word, n, i, substring(word, 1, CAST(i - 1 AS INT)) || substring(word, CAST(i + 1 AS INT)) AS d FROM words, unnest(range(1, length(word) + 1)) u(i)),
+near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM short a JOIN short b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+    UNION SELECT s.word, w.word, w.n FROM short s JOIN words w ON s.d = w.word
+    UNION SELECT w.word, s.word, s.n FROM short s JOIN words w ON s.d = w.word
+),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+follow AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT f.word, g.form, k + 1 FROM follow f JOIN forms g ON g.word = f.here WHERE g.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT word, arg_max(here, k) AS root FROM follow GROUP BY word) r USING (word)
+"""
+
+#: op13 by brute force: all runs of as many words as a phrase has.
+_OP13 = r"""
+WITH docs AS (SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS p FROM items WHERE len(w) > 0),
+runs AS (SELECT nr, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM docs, (SELECT DISTINCT n FROM phrases), unnest(range(1, len(w) - n + 2)) u(i)),
+hits AS (SELECT nr, i, n, item FROM runs JOIN phrases USING (n, p)),
+words AS (SELECT nr, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + n)) u(j) GROUP BY nr),
+found AS (SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT nr, item FROM hits) GROUP BY nr)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (nr) LEFT JOIN found USING (nr)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op5_ngram_jaccard": _OP5}
+    return {"op5_ngram_jaccard": _OP5, "op11_spelling_variants": _OP11, "op13_benchmark_decontamination": _OP13}

@@ -85,6 +85,13 @@ class Texts:
         end[:-1] &= ~ink[1:] | edge[1:-1]
         return np.flatnonzero(start), np.flatnonzero(end) + 1
 
+    def runs(self, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the maximal runs of bytes for which ink holds, never across documents."""
+        edge = np.zeros(len(ink) + 1, dtype=bool)
+        edge[self.off] = True
+        before, after = np.concatenate(([False], ink[:-1])), np.concatenate((ink[1:], [False]))
+        return np.flatnonzero(ink & (~before | edge[:-1])), np.flatnonzero(ink & (~after | edge[1:])) + 1
+
     def prefix_hash(self) -> np.ndarray:
         if self._hash is None:
             power, _ = _grow(len(self.buf) + 1)
