@@ -143,7 +143,7 @@ def test_blob_kinds(spark, tmp_path):
         S.write_blobs(one("layouts"), str(tmp_path / "c"), "md")
 
 
-def test_supersession_in_stretches(spark):
+def test_supersession_of_large_names(spark):
     rng = random.Random(6)
     rows = [(f, v, f"h{f}{v}") for f in ("a", "b", None) for v in rng.sample(range(-200, 200), 60)]
     want = {}
@@ -151,7 +151,7 @@ def test_supersession_in_stretches(spark):
         mine = sorted(r[1:] for r in rows if r[0] == f)
         want |= {(f, v): (nxt and nxt[1]) for (v, _), nxt in zip(mine, [*mine[1:], None], strict=True)}
     df = spark.createDataFrame(rows, "filename string, version long, doc_hash string").withColumn("part", F.lit(1))
-    got = L.supersession(df, span=7)
+    got = L.supersession(df, most=7)
     assert got.columns == ["filename", "version", "doc_hash", "part", "superseded_by_hash", "is_superseded"]
     assert {(r.filename, r.version): r.superseded_by_hash for r in got.collect()} == want and got.count() == len(rows)
 
@@ -205,3 +205,29 @@ def test_asset_ids_look_ahead_in_their_line(spark):
     want = [len(re.findall(r"(?i)\b(?=[A-Z0-9]{9,12}\b)(?=.*\d)(?=.*[A-Z])[A-Z0-9]{9,12}\b", t)) for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.asset_ids(F.col("t")).alias("n")).orderBy("i").collect()
     assert [r.n for r in rows] == want and sum(want) > 4
+
+
+def test_probe_strips_of_images_of_several_sizes(spark):
+    rng = random.Random(12)
+    images, pixels = [], {}
+    for i, (w, h, n) in enumerate(((9, 7, 3), (30, 4, 4), (1, 1, 3), (12, 12, 1))):
+        rgb = [[tuple(rng.choice([255, 0, 130, 200]) for _ in range(3)) for _ in range(w)] for _ in range(h)]
+        data = bytearray(b"".join(bytes([*reversed(p), *[77] * (n - 3)][:n]) for row in rgb for p in row))
+        images.append((i, h, w, n, data))
+        if n >= 3:
+            pixels[i] = rgb
+    probes = [(rng.randrange(5), s, x, y, x + rng.randrange(4), y + rng.randrange(4)) for s in range(120) for x, y in [(rng.randrange(-3, 14), rng.randrange(-3, 10))]]
+    im = spark.createDataFrame(images, "origin long, height int, width int, nChannels int, data binary")
+    pr = spark.createDataFrame(probes, "image_id long, seq long, x0 long, y0 long, x1 long, y1 long")
+    for near in (False, True):
+        got = sorted(tuple(r) for r in P.raster_probe_images(pr, im, 2, 5, near).collect())
+        want = []
+        for i, rgb in pixels.items():
+            table = spark.createDataFrame([(i, x, y, *p) for y, row in enumerate(rgb) for x, p in enumerate(row)], "image_id long, x long, y long, r int, g int, b int")
+            want += [tuple(r) for r in P.raster_probe(pr.filter(F.col("image_id") == i), table, len(rgb[0]), len(rgb), 2, 5, near).collect()]
+        assert got == sorted(want) and got
+    boxes = pr.withColumnRenamed("image_id", "origin")
+    got = sorted((r.origin, r.seq, r.x, r.y, r.r, r.g, r.b) for r in S.strip_pixels(im, boxes).collect())
+    assert got == sorted((i, s, x, y, *pixels[i][y][x]) for i, s, x0, y0, x1, y1 in probes if i in pixels for y in range(max(y0, 0), min(y1, len(pixels[i]))) for x in range(max(x0, 0), min(x1, len(pixels[i][0]))))
+    lines = S.strip_lines(im, boxes)
+    assert lines.count() == len({(i, s, y) for i, s, x, y, *_ in got})

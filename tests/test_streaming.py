@@ -1,7 +1,8 @@
-from pyspark.sql import functions as F
+import hashlib
+import random
 
-from tests.conftest import SF
-from vellum.plans import index
+from vellum.operators.grounding import conversation_state
+from vellum.streaming.conversations import conversation_stream, latest_states
 from vellum.streaming.ingest import stream_ingest
 
 
@@ -19,10 +20,27 @@ def test_two_triggers_equal_one_batch(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 3
 
 
-def test_ingest_query_has_each_file_once(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(index, "_folder", lambda spark, name: str(tmp_path / name))
-    got = [r.doc_hash for r in index.e14(spark, SF).collect()]
-    files = [r.h for r in index.S.drop_zone_scan(spark, str(tmp_path / "zone")).select(F.sha2("content", 256).alias("h")).collect()]
-    assert len(got) == len(set(got)) and set(got) == set(files)
-    assert len(got) >= spark.read.parquet(f"{SF}/documents.parquet").count() / index.FILE_ROWS
-    assert len(set(files)) < len(files) < 2 * len(set(files))
+def test_hashes_from_before_are_not_new(spark, tmp_path):
+    zone, ledger, points, state = (str(tmp_path / n) for n in ("zone", "ledger", "points", "state"))
+    (tmp_path / "zone").mkdir()
+    for name, text in (("a.txt", "one"), ("b.txt", "two"), ("c.txt", "two")):
+        (tmp_path / "zone" / name).write_text(text)
+    known = spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(),)] * 2, "doc_hash string")
+    stream_ingest(spark, zone, ledger, points, state, known).awaitTermination()
+    assert [r.clean_text for r in spark.read.parquet(points).collect()] == ["two"]
+    assert [r.doc_hash for r in spark.read.parquet(ledger).collect()] == [hashlib.sha256(b"two").hexdigest()]
+
+
+def test_late_and_repeated_turns(spark, tmp_path):
+    rng = random.Random(3)
+    turns = [(c, t, rng.choice(["user", "system", None]), rng.choice(["hi", "", None, "é" * t])) for c in range(6) for t in range(12)] + [(9, None, "user", "x"), (None, 1, "user", "y")]
+    schema = "conv_id long, turn long, role string, text string"
+    arrived, states, state = (str(tmp_path / n) for n in ("turns", "states", "state"))
+    rest = turns * 2
+    rng.shuffle(rest)
+    for k in range(3):
+        spark.createDataFrame(rest[k::3], schema).write.mode("append").parquet(arrived)
+        conversation_stream(spark, spark.readStream.schema(schema).parquet(arrived), states, state).awaitTermination()
+    want = sorted(conversation_state(spark.createDataFrame(turns, schema).distinct()).collect(), key=repr)
+    assert sorted(latest_states(spark, states).collect(), key=repr) == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")

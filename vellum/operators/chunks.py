@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
+from vellum.operators.ordered import GROUP_ROWS, numbered
 
 #: Labels of page furniture, of tables and of visuals.
 FURNITURE = ("page_header", "page_footer")
@@ -25,10 +26,9 @@ def item_kind(items: DataFrame) -> DataFrame:
     return drop_furniture(items).withColumn("kind", kind).withColumn("page_no", page).filter("kind IS NOT NULL AND page_no IS NOT NULL")
 
 
-def reading_order(items: DataFrame) -> DataFrame:
-    """item_kind with chunk_no: per document, tables and visuals in order, then text."""
-    order = Window.partitionBy("doc_id").orderBy(F.when(F.col("kind") == "text", 1).otherwise(0), "item_no")
-    return item_kind(items).withColumn("chunk_no", F.row_number().over(order))
+def reading_order(items: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
+    """item_kind with chunk_no: per document, tables and visuals in order, then text. A document of more than `most` items is numbered by ranges."""
+    return numbered(item_kind(items), ["doc_id"], [F.when(F.col("kind") == "text", 1).otherwise(0), F.col("item_no")], "chunk_no", most)
 
 
 def chunk_id(*parts: Column) -> Column:

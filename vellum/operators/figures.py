@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions import color as C
 from vellum.functions import geometry as G
 from vellum.functions import text as T
+from vellum.sources.files import bgr_at, latin, strip_lines
 
 PAGE = (612.0, 792.0)
 RECT = ("x0", "y0", "x1", "y1")
@@ -108,26 +109,59 @@ def with_ocr(spans: DataFrame, figures: DataFrame, ocr: DataFrame) -> DataFrame:
     return own.unionByName(ocr.join(raster, "figure_id", "left_semi").select("figure_id", "seq", "text", *(v.alias(k) for k, v in box.items()), F.lit("ocr").alias("origin")))
 
 
-def raster_probe(probes: DataFrame, pixels: DataFrame, width: int, height: int, reach: int, gap: int = 15, start_near: bool = False) -> DataFrame:
-    """(image_id, seq, direction, dist, y, r, g, b): first chromatic pixel beyond a text box, left and right.
+def probe_strips(probes: DataFrame, width: Column, height: Column, reach: int, gap: int = 15, start_near: bool = False) -> DataFrame:
+    """(columns of probes, direction, dir_no, edge, sx0, sx1, sy0, sy1): the strips that a probe looks at, left and right of its text box; ends exclusive.
 
     The scan goes by columns outward, rows from the top. It starts at the far edge of a strip `reach`
     wide beside the box (start_near: at the box). Left covers gap - 1 columns from distance 1, right gap
     from distance 0.
     """
     side = 0 if start_near else reach
-    top, bottom = F.greatest(F.lit(0), F.col("y0")), F.least(F.lit(height), F.col("y1"))
-    left, right = F.greatest(F.lit(0), F.col("x0") - side), F.least(F.lit(width), F.col("x1") + side)
+    top, bottom = F.greatest(F.lit(0), F.col("y0")), F.least(height, F.col("y1"))
+    left, right = F.greatest(F.lit(0), F.col("x0") - side), F.least(width, F.col("x1") + side)
     p = probes.filter(bottom > top)
-    none = F.array().cast("array<bigint>")
-    xs_left = F.when((F.least(F.lit(width), F.col("x0")) > left) & (left > 0), F.sequence(F.greatest(F.lit(0), left - gap + 1).cast("long"), (left - 1).cast("long"))).otherwise(none)
-    xs_right = F.when((right > F.greatest(F.lit(0), F.col("x1"))) & (right < width), F.sequence(right.cast("long"), F.least(F.lit(width), right + gap).cast("long") - 1)).otherwise(none)
-    strips = [p.select("image_id", "seq", F.lit(name).alias("direction"), F.lit(no).alias("dir_no"), top.alias("top"), bottom.alias("bottom"), F.explode(xs).alias("x"), edge.alias("edge")) for no, name, xs, edge in ((0, "left", xs_left, left), (1, "right", xs_right, right))]
-    strips = reduce(DataFrame.unionByName, strips).withColumn("dist", F.abs(F.col("x") - F.col("edge")).cast("long"))
-    lit = pixels.filter(C.chromatic(F.col("r"), F.col("g"), F.col("b")))
-    met = strips.join(lit, ["image_id", "x"]).filter((F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom")))
+    # The part of the page between box and edge must not be empty, if the scan begins beyond it.
+    beside = (F.least(width, F.col("x0")) > left, right > F.greatest(F.lit(0), F.col("x1"))) if side else (F.lit(True), F.lit(True))
+    made = (
+        ("left", 0, beside[0] & (left > 0), left, F.greatest(F.lit(0), left - gap + 1), left),
+        ("right", 1, beside[1] & (right < width), right, right, F.least(width, right + gap)),
+    )
+    columns = lambda edge, lo, hi: {"edge": edge, "sx0": lo, "sx1": hi, "sy0": top, "sy1": bottom}
+    strips = [p.filter(on).select(*p.columns, F.lit(name).alias("direction"), F.lit(no).alias("dir_no"), *(c.cast("long").alias(k) for k, c in columns(edge, lo, hi).items())) for name, no, on, edge, lo, hi in made]
+    return reduce(DataFrame.unionByName, strips)
+
+
+_FOUND = ("image_id", "seq", "direction", "dir_no", "m.dist", "m.y", "m.r", "m.g", "m.b")
+
+
+def raster_probe(probes: DataFrame, pixels: DataFrame, width: int, height: int, reach: int, gap: int = 15, start_near: bool = False) -> DataFrame:
+    """(image_id, seq, direction, dir_no, dist, y, r, g, b): first chromatic pixel beyond a text box, in a table of pixels of equally large images. The strips are those of probe_strips."""
+    strips = probe_strips(probes.select("image_id", "seq", *RECT), F.lit(width), F.lit(height), reach, gap, start_near)
+    strips = strips.withColumn("x", F.explode(F.sequence(F.col("sx0"), F.col("sx1") - 1))).withColumn("dist", F.abs(F.col("x") - F.col("edge")))
+    lit = pixels.filter(C.chromatic(F.col("r"), F.col("g"), F.col("b"))).select("image_id", "x", "y", "r", "g", "b")
+    met = strips.join(lit, ["image_id", "x"]).filter((F.col("y") >= F.col("sy0")) & (F.col("y") < F.col("sy1")))
     best = met.groupBy("image_id", "seq", "direction", "dir_no").agg(F.min(F.struct("dist", "y", "r", "g", "b")).alias("m"))
-    return best.select("image_id", "seq", "direction", "dir_no", "m.dist", "m.y", "m.r", "m.g", "m.b")
+    return best.select(*_FOUND)
+
+
+def raster_probe_images(probes: DataFrame, images: DataFrame, reach: int, gap: int = 15, start_near: bool = False) -> DataFrame:
+    """raster_probe on images (origin, height, width, nChannels, data), each with a size of its own: only the bytes of the probes' strips are read.
+
+    Each strip's stretch of an image line is one row, of which the best pixel is found in place; no rows of pixels are made.
+    """
+    size = images.select(F.col("origin").alias("image_id"), "width", "height")
+    strips = probe_strips(probes.select("image_id", "seq", *RECT).join(size, "image_id"), F.col("width"), F.col("height"), reach, gap, start_near)
+    strips = strips.select(F.col("image_id").alias("origin"), "seq", "direction", "dir_no", "edge", *(F.col("s" + c).alias(c) for c in RECT))
+    found = strip_lines(images, strips).withColumn("line", latin(F.col("line")))
+    last = F.floor(F.length("line") / F.col("channels")).cast("int") - 1
+
+    def pixel(at: Column) -> Column:
+        rgb = bgr_at(F.col("line"), at, F.col("channels"))
+        return F.struct(F.abs(F.greatest(F.col("x0"), F.lit(0)) + at - F.col("edge")).alias("dist"), F.col("y").cast("long").alias("y"), *(v.alias(c) for c, v in rgb.items()))
+
+    lit = F.filter(F.transform(F.sequence(F.lit(0), last), pixel), lambda p: C.chromatic(p["r"], p["g"], p["b"]))
+    best = found.select(F.col("origin").alias("image_id"), "seq", "direction", "dir_no", F.array_min(lit).alias("m")).filter("m IS NOT NULL")
+    return best.groupBy("image_id", "seq", "direction", "dir_no").agg(F.min("m").alias("m")).select(*_FOUND)
 
 
 def best_candidate(found: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ def payload(chunks: DataFrame) -> DataFrame:
 
 def upsert_points(stored: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFrame:
     """stored with the rows of batch inserted or put in place of those with their key. The last of equal keys in a table stays by order of all its columns."""
-    # Whole rows in one column, so that no name of theirs can clash.
-    rows = lambda df, n: df.select(F.lit(n).alias("batch"), F.struct(*(df[c] for c in stored.columns)).alias("row"))
-    order = Window.partitionBy(F.col("row")[key]).orderBy(F.desc("batch"), *(F.col("row")[c].desc() for c in stored.columns if c != key))
-    return rows(stored, 0).union(rows(batch, 1)).withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
+    # Whole rows in one column, so that no name of theirs can clash. The last row of a key is a maximum, so that tasks send one row for each key.
+    rest = [c for c in stored.columns if c != key]
+    rows = lambda df, n: df.select(df[key].alias("key"), F.struct(F.lit(n).alias("batch"), F.struct(*(df[c] for c in rest)).alias("row")).alias("last"))
+    met = rows(stored, 0).union(rows(batch, 1)).groupBy("key").agg(F.max("last").alias("last"))
+    return met.select(*(F.col("key").alias(c) if c == key else F.col("last.row")[c].alias(c) for c in stored.columns))
 
 
 def dot(a: Column, b: Column) -> Column:

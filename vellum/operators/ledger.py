@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.ordered import GROUP_ROWS, followed
+
 
 def ledger_append(ledger: DataFrame, files: DataFrame, order: str = "seq") -> DataFrame:
     """Rows to append: files (doc_hash, filename, order) whose hash the ledger lacks; the first file of a hash counts."""
@@ -47,20 +49,26 @@ def run_lines(report: DataFrame) -> DataFrame:
     return report.select("file_name", F.concat_ws(": ", "file_name", "status", tail).alias("line"))
 
 
-def supersession(versions: DataFrame, span: int = 10_000) -> DataFrame:
-    """versions (filename, version, doc_hash) with is_superseded and superseded_by_hash: the next version of a name.
+def supersession(versions: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
+    """versions (filename, version, doc_hash) with superseded_by_hash, the hash of the name's next version, and is_superseded.
+
+    Of equal versions of a name the one with the smaller hash comes first. A name with more than `most` versions is cut into ranges by rank.
+    """
+    out = followed(versions, ["filename"], ["version", "doc_hash"], "doc_hash", "superseded_by_hash", most)
+    return out.withColumn("is_superseded", F.col("superseded_by_hash").isNotNull())
+
+
+def supersede(ledger: DataFrame, batch: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
+    """ledger (supersession's columns) with the versions of batch: only names of the batch are looked at again.
 
-    Names with very many versions are looked at in stretches of `span` version numbers, so that none is sorted in one
-    task; the first hash of the next stretch follows the last one of a stretch.
+    A version that is in the ledger, or in the batch twice, counts once; so a batch may come again.
     """
-    part = F.floor(F.col("version") / span)
-    near = F.lead("doc_hash").over(Window.partitionBy("filename", part).orderBy("version"))
-    first = versions.groupBy("filename", part.alias("part")).agg(F.min(F.struct("version", "doc_hash"))["doc_hash"].alias("head"))
-    heads = first.select(F.col("filename").alias("name"), "part", F.lead("head").over(Window.partitionBy("filename").orderBy("part")).alias("next"))
-    rows = versions.select(F.struct(*versions.columns).alias("row"), near.alias("near"), part.alias("at"))
-    met = rows.join(heads, F.col("row.filename").eqNullSafe(F.col("name")) & F.col("at").eqNullSafe(F.col("part")), "left")
-    after = F.coalesce("near", "next")
-    return met.select("row.*", after.alias("superseded_by_hash"), after.isNotNull().alias("is_superseded"))
+    names = batch.select(F.col("filename").alias("name")).distinct()
+    same = F.col("filename").eqNullSafe(F.col("name"))
+    columns = ["filename", "version", "doc_hash"]
+    known = ledger.join(names, same, "left_semi").select(*columns)
+    again = supersession(known.union(batch.select(*columns)).distinct(), most)
+    return ledger.join(names, same, "left_anti").unionByName(again.select(*ledger.columns))
 
 
 def current_documents(versions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".xlsx", ".xls", ".xlsm", ".docx", ".pptx", ".md", ".txt", ".csv", "")
@@ -110,3 +111,11 @@ def ctes(*names: str) -> str:
         text = FIXTURES[n]
         body.append(f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', text if isinstance(text, str) else text[1])})")
     return "WITH " + ",\n".join(body) + "\n"
+
+
+def coded_images(pixels: DataFrame) -> DataFrame:
+    """(origin, height, width, nChannels, data) of a table of pixels, as Spark's image source gives images: rows of BGR bytes."""
+    two = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
+    px = F.array_sort(F.collect_list(F.struct("y", "x", F.concat(two("b"), two("g"), two("r")).alias("bgr"))))
+    images = pixels.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), px.alias("px"))
+    return images.select(F.col("image_id").alias("origin"), "height", "width", F.lit(3).alias("nChannels"), F.unhex(F.array_join(F.transform("px", lambda p: p["bgr"]), "")).alias("data"))

@@ -10,6 +10,8 @@ from vellum.operators import grounding as G
 from vellum.plans.fixtures import ctes, load
 from vellum.plans.registry import query
 from vellum.plans.scalars import _TOK
+from vellum.sources.shared import shared_dir
+from vellum.streaming.conversations import conversation_stream, latest_states
 
 
 @query("f1_chatty_json", ctes("replies") + "SELECT r.event_id, CASE WHEN r.event_id % 10 <> 0 THEN CASE WHEN r.event_id % 10 <> 1 AND r.event_id % 3 = 0 THEN substring(props, 1, length(props) - 1) || '}' ELSE props END END AS json_text FROM replies r JOIN events e USING (event_id)")
@@ -22,6 +24,17 @@ def f2(spark, d):
     return G.conversation_state(load(spark, d, "conversations"))
 
 
+@query("f2_conversation_stream", "SELECT conv_id, turn, role, text, count(*) OVER w AS n_messages, CAST(sum(coalesce(length(text), 0)) OVER w AS BIGINT) AS n_chars FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
+def f2s(spark, d):
+    """Turns as a stream in two lots with a restart between them: first those of odd number, then all, so that the even ones are late and the odd ones come again."""
+    arrived, states, state = (shared_dir(spark, n) for n in ("turns", "states", "state"))
+    turns = load(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    for lot in (turns.filter("turn % 2 = 1"), turns):
+        lot.write.mode("append").parquet(arrived)
+        conversation_stream(spark, spark.readStream.schema(turns.schema).parquet(arrived), states, state).awaitTermination()
+    return latest_states(spark, states)
+
+
 @query("f2_final_state", "SELECT conv_id, count(*) AS n_messages, list(role || ': ' || text ORDER BY turn, role, text) AS messages, last(role ORDER BY turn, role, text) AS last_role FROM conversations GROUP BY conv_id")
 def f2f(spark, d):
     return G.final_state(load(spark, d, "conversations"))

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import index as I
 from vellum.operators import ledger as L
+from vellum.operators import search as LSH
 from vellum.operators import tables as TB
-from vellum.plans.fixtures import ctes, load
+from vellum.plans.fixtures import coded_images, ctes, load
 from vellum.plans.registry import query
 from vellum.plans.tabular import BODY, COLUMNS, HTML, SEGMENTS
 from vellum.sources import files as S
+from vellum.sources.shared import shared_dir
+from vellum.sources.snapshots import Snapshots
 from vellum.streaming.ingest import stream_ingest
 
 _EXT = r"regexp_extract(lower(file_name), '[^.](\.[^.]+)$', 1)"
@@ -22,22 +22,21 @@ _VISUAL, _NATIVE = "('.pdf', '.png', '.jpg', '.jpeg')", "('.xlsx', '.xls', '.xls
 _ROUTED = f"routed AS (SELECT seq, file_name, content, CASE WHEN seq % 29 = 0 THEN 'unsupported' WHEN {_EXT} IN {_VISUAL} THEN 'visual_stream' WHEN {_EXT} IN {_NATIVE} THEN 'native_stream' ELSE 'unsupported' END AS route, CASE WHEN seq % 29 = 0 THEN 'File does not exist' WHEN {_EXT} IN {_VISUAL} OR {_EXT} IN {_NATIVE} THEN 'Extension match' ELSE 'Extension ' || {_EXT} || ' not supported' END AS reason FROM files)"
 
 
-def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="vellum-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 #: Documents of one file in a drop zone at most.
 FILE_ROWS = 20
+#: The same files in SQL: their texts and sizes.
+_FILES = f"zone AS (SELECT doc_id // {FILE_ROWS} AS lot, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text) || chr(10) AS content FROM documents GROUP BY ALL)"
 
 
-def _drop(rows, zone: str) -> None:
-    """Write the texts of rows as files of FILE_ROWS documents at most; the same rows in the same order give the same files."""
-    rows.select("text").write.mode("append").option("maxRecordsPerFile", FILE_ROWS).text(zone)
+def _zone_files(docs):
+    """(lot, content): documents in files of FILE_ROWS neighbours by id."""
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    return docs.groupBy(F.floor(F.col("doc_id") / FILE_ROWS).alias("lot")).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("content"))
+
+
+def _drop(files, zone: str) -> None:
+    """Write each content as a file of its own."""
+    files.select(F.col("content").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(zone)
 
 
 def _routed(spark, d):
@@ -45,34 +44,33 @@ def _routed(spark, d):
     return S.route_files(files, files.filter("seq % 29 <> 0"))
 
 
-@query("a1_drop_zone_scan")
+@query("a1_drop_zone_scan", f"WITH {_FILES} SELECT octet_length(encode(content)) AS length, sha256(content) AS doc_hash FROM zone")
 def a1(spark, d):
-    """The texts of documents as files of a few documents in a folder, scanned: sizes by file."""
-    zone = _folder(spark, "zone")
-    _drop(load(spark, d, "documents"), zone)
-    found = S.drop_zone_scan(spark, zone)
-    return found.select("file_name", "length", F.sha2("content", 256).alias("doc_hash"))
+    """The texts of documents as files of a few documents in a folder, scanned: sizes and hashes by file."""
+    zone = shared_dir(spark, "zone")
+    _drop(_zone_files(load(spark, d, "documents")), zone)
+    return S.drop_zone_scan(spark, zone).select("length", F.sha2("content", 256).alias("doc_hash"))
 
 
-@query("a12_drop_zone_stream")
+@query("a12_drop_zone_stream", f"WITH {_FILES} SELECT octet_length(encode(content)) AS length, sha256(content) AS doc_hash FROM zone")
 def a12(spark, d):
-    """The same folder read as a stream into a table: one row per file."""
-    zone, out = _folder(spark, "zone"), _folder(spark, "seen")
-    _drop(load(spark, d, "documents"), zone)
-    rows = S.drop_zone_stream(spark, zone).select("file_name", "length", F.sha2("content", 256).alias("doc_hash"))
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    """The same folder read as a stream into a table, in two lots: each file once."""
+    zone, out, state = (shared_dir(spark, n) for n in ("zone", "seen", "state"))
+    files = _zone_files(load(spark, d, "documents"))
+    for lot in (0, 1):
+        _drop(files.filter(F.col("lot") % 2 == lot), zone)
+        rows = S.drop_zone_stream(spark, zone).select("length", F.sha2("content", 256).alias("doc_hash"))
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("length long, doc_hash string").parquet(out)
 
 
-@query("e14_stream_ingest")
+@query("e14_stream_ingest", f"WITH {_FILES} SELECT DISTINCT sha256(content) AS doc_hash, 'completed' AS status FROM zone")
 def e14(spark, d):
-    """Documents dropped as files of a few documents in two lots, of which a third of all is in both: the ledger has each content once."""
-    zone, ledger, points, state = (_folder(spark, n) for n in ("zone", "ledger", "points", "state"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    docs = load(spark, d, "documents").withColumn("third", F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    """Documents dropped as files of a few documents in two lots, of which a third of all is in both, with a restart between them: the ledger has each content once."""
+    zone, ledger, points, state = (shared_dir(spark, n) for n in ("zone", "ledger", "points", "state"))
+    files = _zone_files(load(spark, d, "documents"))
     for lot in ((0, 1), (1, 2)):
-        for third in lot:  # files of their own for each third, so that those of the third in both lots are the same
-            _drop(docs.filter(F.col("third") == third).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text"), zone)
+        _drop(files.filter((F.col("lot") % 3).isin(*lot)), zone)
         stream_ingest(spark, zone, ledger, points, state).awaitTermination()
     return spark.read.parquet(ledger).select("doc_hash", "status")
 
@@ -97,7 +95,7 @@ def a7(spark, d):
 )
 def a9(spark, d):
     """Each table as one JSON blob, each of its segments as one of Markdown, read back from the store."""
-    path = _folder(spark, "blobs")
+    path = shared_dir(spark, "blobs")
     cells = load(spark, d, "cells")
     S.write_blobs(TB.html_blobs(TB.table_html(cells, COLUMNS)).drop("doc"), path)
     name = F.concat(F.col("doc").cast("string"), F.lit("_"), F.col("segment").cast("string"), F.lit(".md"))
@@ -117,11 +115,14 @@ def a10(spark, d):
 @query("a11_image_pixels", ctes("pixels") + "SELECT image_id, x, y, r, g, b FROM pixels")
 def a11(spark, d):
     """Images in the form that Spark's image source gives (rows of BGR bytes), made of the pixel fixture, taken apart into pixels."""
-    two = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
-    px = F.array_sort(F.collect_list(F.struct("y", "x", F.concat(two("b"), two("g"), two("r")).alias("bgr"))))
-    images = load(spark, d, "pixels").groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), px.alias("px"))
-    images = images.select(F.col("image_id").alias("origin"), "height", "width", F.lit(3).alias("nChannels"), F.unhex(F.array_join(F.transform("px", lambda p: p["bgr"]), "")).alias("data"))
-    return S.decoded_pixels(images).select(F.col("origin").alias("image_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b")
+    return S.decoded_pixels(coded_images(load(spark, d, "pixels"))).select(F.col("origin").alias("image_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b")
+
+
+@query("a11_strip_pixels", ctes("pixels", "probes") + "SELECT q.image_id, q.seq, p.x, p.y, p.r, p.g, p.b FROM probes q JOIN pixels p ON q.image_id = p.image_id AND p.x >= q.x0 AND p.x < q.x1 AND p.y >= q.y0 AND p.y < q.y1")
+def a11s(spark, d):
+    """The pixels inside text boxes only, cut from the images' bytes."""
+    boxes = load(spark, d, "probes").select(F.col("image_id").alias("origin"), "seq", "x0", "y0", "x1", "y1")
+    return S.strip_pixels(coded_images(load(spark, d, "pixels")), boxes).select(F.col("origin").alias("image_id"), "seq", "x", "y", "r", "g", "b")
 
 
 _PAYLOAD = "payloads AS (SELECT chunk_id, source, page_number AS page, coalesce(type, 'text') AS type, clean_text AS text, doc_hash, seq FROM chunks)"
@@ -132,12 +133,28 @@ def e1(spark, d):
     return I.payload(load(spark, d, "chunks"))
 
 
-@query("e2_upsert_points", ctes("chunks").rstrip() + f", {_PAYLOAD} SELECT chunk_id, source, CASE WHEN seq % 3 = 1 THEN page + 100 ELSE page END AS page, type, text, doc_hash FROM payloads")
-def e2(spark, d):
+_UPSERTED = ctes("chunks").rstrip() + f", {_PAYLOAD} SELECT chunk_id, source, CASE WHEN seq % 3 = 1 THEN page + 100 ELSE page END AS page, type, text, doc_hash FROM payloads"
+
+
+def _two_lots(spark, d):
     chunks = load(spark, d, "chunks")
-    stored = I.payload(chunks.filter("seq % 3 <> 2"))
     batch = I.payload(chunks.filter("seq % 3 <> 0")).withColumn("page", F.when(F.substring("chunk_id", 2, 20).cast("long") % 3 == 1, F.col("page") + 100).otherwise(F.col("page")))
-    return I.upsert_points(stored, batch)
+    return I.payload(chunks.filter("seq % 3 <> 2")), batch
+
+
+@query("e2_upsert_points", _UPSERTED)
+def e2(spark, d):
+    return I.upsert_points(*_two_lots(spark, d))
+
+
+@query("e2_point_snapshots", _UPSERTED)
+def e2s(spark, d):
+    """The same two lots, and the second one again, as updates of a store on disk; its newest snapshot read back."""
+    stored, batch = _two_lots(spark, d)
+    store = Snapshots.create(spark, shared_dir(spark, "points"), stored.schema, "chunk_id")
+    for lot in (stored, batch, batch):
+        store.update(lot, I.upsert_points)
+    return store.read()
 
 
 _TOPK = "SELECT q.vec_id AS query_id, p.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0"
@@ -149,6 +166,21 @@ def e3(spark, d):
     return I.cosine_topk(points, points.filter("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("e3_cosine_topk_lsh")
+def e3h(spark, d):
+    return LSH.cosine_topk_lsh(load(spark, d, "embeddings"), F.col("vec_id") % 50 == 0).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("e3_lsh_recall", "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def e3r(spark, d):
+    """Whether the hashed search finds 0.9 of what the exact one finds."""
+    points = load(spark, d, "embeddings")
+    true = I.cosine_topk(points, points.filter("vec_id % 50 = 0")).select("query_id", "vec_id")
+    found = LSH.cosine_topk_lsh(points, F.col("vec_id") % 50 == 0).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    met = true.join(found, ["query_id", "vec_id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @query("e4_vector_guard", "SELECT vec_id, 'size ' || (64 - vec_id % 3) AS reason FROM embeddings WHERE vec_id % 3 <> 0")
 def e4(spark, d):
     cut = F.slice("embedding", F.lit(1), (F.lit(64) - F.col("vec_id") % 3).cast("int"))
@@ -237,6 +269,16 @@ def e13(spark, d):
     return L.supersession(load(spark, d, "versions"))
 
 
+@query("e13_incremental", ctes("versions") + "SELECT *, superseded_by_hash IS NOT NULL AS is_superseded FROM (SELECT filename, version, doc_hash, lead(doc_hash) OVER (PARTITION BY filename ORDER BY version, doc_hash) AS superseded_by_hash FROM (SELECT DISTINCT * FROM versions))")
+def e13i(spark, d):
+    """Versions in three lots, and the second one again, each an update of the buckets of its names in a ledger on disk."""
+    versions = load(spark, d, "versions")
+    ledger = Snapshots.create(spark, shared_dir(spark, "ledger"), L.supersession(versions.limit(0)).schema, "filename")
+    for lot in (2, 0, 1, 0):
+        ledger.update(versions.filter(F.pmod("version", F.lit(3)) == lot), L.supersede)
+    return ledger.read()
+
+
 @query("e13_current_documents", ctes("versions") + "SELECT filename, version, doc_hash FROM versions QUALIFY ROW_NUMBER() OVER (PARTITION BY filename ORDER BY version DESC) = 1")
 def e13c(spark, d):
     return L.current_documents(load(spark, d, "versions"))

@@ -82,14 +82,46 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     return decoded_pixels(spark.read.format("image").load(path).select("image.*"))
 
 
-def decoded_pixels(images: DataFrame) -> DataFrame:
-    """(origin, x, y, r, g, b) of images (origin, height, width, nChannels, data) as Spark's image source gives them; those of under three channels have none."""
-    img = images.filter("nChannels >= 3")
-    # One row of bytes for each line of the image, then its pixels; the whole image isn't carried along.
+def image_lines(images: DataFrame) -> DataFrame:
+    """(origin, width, channels, y, line) of images (origin, height, width, nChannels, data) as Spark's image source gives them: the bytes of each line."""
     stride = F.col("width") * F.col("nChannels")
     lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring(F.col("data"), y * stride + 1, stride))
-    line = img.select("origin", "width", "nChannels", F.posexplode(lines).alias("y", "line")).withColumn("line", F.hex("line"))
-    pixels = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.substring(F.col("line"), x * F.col("nChannels") * 2 + 1, F.lit(6)))
-    px = line.select("origin", "y", F.posexplode(pixels).alias("x", "bgr"))
-    byte = lambda k: F.conv(F.substring("bgr", 2 * k + 1, 2), 16, 10).cast("int")
-    return px.select("origin", "x", "y", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+    return images.filter("nChannels >= 3 AND height > 0 AND width > 0").select("origin", "width", F.col("nChannels").alias("channels"), F.posexplode(lines).alias("y", "line"))
+
+
+def bgr_at(line: Column, x: Column, channels: Column) -> dict[str, Column]:
+    """r, g, b of pixel x (from 0) of a line of bytes that was decoded as Latin-1, a character for each byte."""
+    return {c: F.ascii(F.substring(line, x * channels + k + 1, F.lit(1))) for k, c in ((2, "r"), (1, "g"), (0, "b"))}
+
+
+def latin(line: Column) -> Column:
+    return F.decode(line, "ISO-8859-1")
+
+
+def strip_lines(images: DataFrame, strips: DataFrame) -> DataFrame:
+    """(columns of strips, y, channels, line): for strips (origin, x0, x1, y0, y1; ends exclusive) the bytes of just their stretch of each image line.
+
+    Strips and image lines meet by image and line, so an image with very many strips is dealt out by its lines, and no pixel is made
+    here. Strips end at the image's edges; those outside have no rows.
+    """
+    rows = F.sequence(F.greatest(F.lit(0), F.col("y0")).cast("int"), F.col("y1").cast("int") - 1)
+    asked = strips.filter("y1 > greatest(y0, 0) AND x1 > greatest(x0, 0)").withColumn("y", F.explode(rows))
+    met = image_lines(images).join(asked, ["origin", "y"])
+    left, right = F.greatest(F.col("x0"), F.lit(0)).cast("int"), F.least(F.col("x1"), F.col("width")).cast("int")
+    part = F.substring("line", left * F.col("channels") + 1, (right - left) * F.col("channels"))
+    return met.filter(left < right).select(*strips.columns, "y", "channels", part.alias("line"))
+
+
+def strip_pixels(images: DataFrame, strips: DataFrame) -> DataFrame:
+    """(columns of strips, x, y, r, g, b): the pixels of strips, and no others."""
+    found = strip_lines(images, strips).withColumn("line", latin(F.col("line")))
+    last = F.floor(F.length("line") / F.col("channels")).cast("int") - 1
+    px = found.withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    return px.select(*strips.columns, (F.greatest(F.col("x0"), F.lit(0)) + F.col("at")).cast("long").alias("x"), F.col("y").cast("long").alias("y"), *(v.alias(c) for c, v in bgr_at(F.col("line"), F.col("at"), F.col("channels")).items()))
+
+
+def decoded_pixels(images: DataFrame) -> DataFrame:
+    """(origin, x, y, r, g, b) of images (origin, height, width, nChannels, data) as Spark's image source gives them; those of under three channels have none."""
+    lines = image_lines(images).select("origin", "y", "channels", "width", latin(F.col("line")).alias("line"))
+    px = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    return px.select("origin", "x", "y", *(v.alias(c) for c, v in bgr_at(F.col("line"), F.col("x"), F.col("channels")).items()))
