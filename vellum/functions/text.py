@@ -33,6 +33,11 @@ def token_count(t: Column) -> Column:
     return F.size(tokens(t))
 
 
+def lower_words(t: Column) -> Column:
+    """Runs of letters and digits, in lower case."""
+    return F.filter(F.split(F.lower(t), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+
+
 def alpha_ratio(t: Column) -> Column:
     """1 less the share of tokens that are two letters or more, ASCII punctuation around them aside."""
     bare = F.transform(tokens(t), lambda x: F.regexp_replace(x, f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", ""))
@@ -47,7 +52,8 @@ def asset_ids(t: Column) -> Column:
     """
     upto = lambda line, p: F.length(F.regexp_extract(line, p, 0))
     cut = lambda line: F.substring(line, F.lit(1), F.least(upto(line, r"(?Ud)^.*\d\w*"), upto(line, r"(?iUd)^.*[A-Z]\w*")))
-    return F.aggregate(F.split(t, "\n"), F.lit(0), lambda n, line: n + F.regexp_count(cut(line), F.lit(ASSET_ID)))
+    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"\p{Nd}"))
+    return F.aggregate(lines, F.lit(0), lambda n, line: n + F.regexp_count(cut(line), F.lit(ASSET_ID)))
 
 
 def entity_density(t: Column) -> Column:

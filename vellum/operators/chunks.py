@@ -28,7 +28,7 @@ def item_kind(items: DataFrame) -> DataFrame:
 
 def reading_order(items: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     """item_kind with chunk_no: per document, tables and visuals in order, then text. A document of more than `most` items is numbered by ranges."""
-    return numbered(item_kind(items), ["doc_id"], [F.when(F.col("kind") == "text", 1).otherwise(0), F.col("item_no")], "chunk_no", most)
+    return numbered(item_kind(items), ["doc_id"], [F.when(F.col("kind") == "text", 1).otherwise(0), F.col("item_no")], "chunk_no", most, items)
 
 
 def chunk_id(*parts: Column) -> Column:

@@ -54,21 +54,23 @@ def definitions_extract(clauses: DataFrame) -> DataFrame:
     return clauses.select("doc", "clause_no", F.explode(found).alias("d")).select("doc", "clause_no", "d.term", "d.meaning")
 
 
+def term_nodes(definitions: DataFrame) -> DataFrame:
+    """(node, run, term, meaning): definitions (term, meaning) by the trie node where they are looked up, their first word, or their first two if they have more; run: all their words."""
+    terms = definitions.select("term", "meaning", T.lower_words(F.col("term")).alias("_w")).filter(F.size("_w") > 0).distinct()
+    return terms.select(F.array_join(F.slice("_w", 1, 2), " ").alias("node"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("run"), "term", "meaning")
+
+
 def term_injection(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
     """(chunk_id, term, meaning): definitions whose term stands in the chunk. Declared only; own semantics.
 
-    Words are lower-case runs of letters and digits; terms meet chunks by an equi-join on their word sequence.
-    Word sequences of a chunk are made of just the lengths that occur among the terms.
+    Words are lower-case runs of letters and digits. Each distinct word and pair of words of a chunk is looked up once
+    among the nodes of term_nodes(), whatever lengths the terms have; terms met there are then compared with the chunk's words.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    split = definitions.select("term", "meaning", words(F.col("term")).alias("_w")).filter(F.size("_w") > 0)
-    terms = split.select("term", "meaning", F.array_join("_w", " ").alias("_k")).distinct()
-    sizes = split.agg(F.collect_set(F.size("_w")).alias("_sizes"))
-    w = chunks.select("chunk_id", words(F.col("clean_text")).alias("w")).crossJoin(F.broadcast(sizes))
-    w = w.select("chunk_id", "w", F.explode("_sizes").alias("n")).filter(F.size("w") >= F.col("n"))
-    run_of = lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")
-    runs = w.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), run_of))).alias("_k"))
-    return runs.join(terms, "_k").select("chunk_id", "term", "meaning").distinct()
+    w = chunks.select("chunk_id", T.lower_words(F.col("clean_text")).alias("w")).filter(F.size("w") > 0)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
+    hits = w.select("chunk_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("node")).join(term_nodes(definitions), "node")
+    whole = w.select("chunk_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("words"))
+    return hits.join(whole, "chunk_id").filter(F.col("words").contains(F.col("run"))).select("chunk_id", "term", "meaning").distinct()
 
 
 def context_budget(ranked: DataFrame, budget: int) -> DataFrame:

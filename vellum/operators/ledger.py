@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vellum.operators.ordered import GROUP_ROWS, followed
@@ -43,6 +43,30 @@ def run_summary(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count("*").alias("n_files"), F.sum("total_chunks").alias("n_chunks"))
 
 
+#: What can become of a file.
+STATUSES = ("success", "failed", "skipped")
+
+
+def written_report(report: DataFrame, path: str) -> DataFrame:
+    """Write the report to path; (status, n_files, n_chunks) of it, counted by the tasks as they write, so that nothing is read again."""
+    seen = Observation("report")
+    of = lambda s: F.col("status") == s
+    counts = [x for s in STATUSES for x in (F.count_if(of(s)).alias(f"{s}_files"), F.sum(F.when(of(s), F.col("total_chunks")).otherwise(0)).alias(f"{s}_chunks"))]
+    report.observe(seen, *counts).write.parquet(path)
+    found = seen.get
+    rows = [(s, found[f"{s}_files"], found[f"{s}_chunks"]) for s in STATUSES if found.get(f"{s}_files")]
+    return report.sparkSession.createDataFrame(rows, "status string, n_files long, n_chunks long")
+
+
+def written_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """Write chunks (type, page_number, token_count, ...) to path; one row of their totals, counted while they are written."""
+    seen = Observation("chunks")
+    totals = {"n_chunks": F.count(F.lit(1)), "n_tokens": F.coalesce(F.sum(F.col("token_count").cast("long")), F.lit(0)), "n_visual": F.count_if(F.col("type") == "visual"), "n_blank": F.count_if(F.coalesce("token_count", F.lit(0)) == 0), "max_page": F.max(F.col("page_number").cast("long"))}
+    chunks.observe(seen, *(v.alias(k) for k, v in totals.items())).write.parquet(path)
+    found = seen.get
+    return chunks.sparkSession.createDataFrame([tuple(found.get(k) for k in totals)], ", ".join(f"{k} long" for k in totals))
+
+
 def run_lines(report: DataFrame) -> DataFrame:
     """(file_name, line): one line of text per file, hashes cut to eight characters."""
     tail = F.when(F.col("status") == "success", F.concat(F.col("total_chunks").cast("string"), F.lit(" chunks, "), F.substring("doc_hash", 1, 8))).otherwise(F.coalesce("error_msg", F.lit("")))

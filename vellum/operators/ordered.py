@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from vellum.sources.shared import settle
 
 #: Groups of more rows than this are cut into ranges; smaller ones are one window each.
-GROUP_ROWS = 1_000_000
+GROUP_ROWS = 4_000_000
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str], to: dict[str, str]) -> Column:
     return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[to[k]]) for k in keys))
 
 
-def by_size(rows: DataFrame, keys: list[str], most: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups of up to `most` rows, rows of the others or None). Large groups are few: at most one for every `most` rows."""
-    large = rows.groupBy(*keys).count().filter(F.col("count") > most).select(*(F.col(k).alias(f"_{k}") for k in keys))
+def by_size(rows: DataFrame, keys: list[str], most: int = GROUP_ROWS, at_most: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of up to `most` rows, rows of the others or None). Large groups are few: at most one for every `most` rows.
+
+    at_most: a table whose groups are at least as large, to be counted instead of rows that are costly to make.
+    """
+    counted = rows if at_most is None else at_most
+    # Spark's own estimate, 16 bytes for each key: a table this small needs no count. Either way gives the same rows.
+    if counted.select(*keys)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= 16 * most:
+        return rows, None
+    large = counted.groupBy(*keys).count().filter(F.col("count") > most).select(*(F.col(k).alias(f"_{k}") for k in keys))
     if large.isEmpty():
         return rows, None
     large = settle(large, "large")
@@ -33,13 +40,13 @@ def ranged(rows: DataFrame, keys: list[str], order: list[Column], parts: int | N
     return settle(rows.repartitionByRange(parts, *map(F.col, keys), *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, most: int = GROUP_ROWS, parts: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, most: int = GROUP_ROWS, at_most: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """rows with `name`: their number, from 1, within their group (equal keys; nulls are equal) by `order`.
 
     A group of more than `most` rows isn't sorted in one task: its rows are dealt out by rank, each range is numbered by
-    itself, and then moved by the counts of the ranges before.
+    itself, and then moved by the counts of the ranges before. at_most: as in by_size().
     """
-    small, large = by_size(rows, keys, most)
+    small, large = by_size(rows, keys, most, at_most)
     out = small.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     if large is None:
         return out

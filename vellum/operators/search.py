@@ -52,9 +52,10 @@ def choose(sample: np.ndarray, total: int, k: int, recall: float) -> Buckets:
     d = np.sqrt(np.maximum(2 - 2 * q @ sample.T, 0))
     d[np.arange(len(q)), np.arange(len(q))] = np.inf
     d.sort(axis=1)
-    near, every = d[:, : max(1, min(k, n - 1))], d[:, : n - 1]
     if n < 2:
         return Buckets(1.0, 1, 1, 1.0, 1.0)
+    even = (np.arange(400) + 0.5) / 400  # quantiles stand for all distances
+    near, every = np.quantile(d[:, : min(k, n - 1)], even), np.quantile(d[:, : n - 1], even)
     best = None
     for width in np.array([0.5, 1, 2, 4, 8]) * max(float(np.median(near)), 1e-6) / np.sqrt(dim):
         p, r = meet(near, width, dim), meet(every, width, dim)
@@ -92,11 +93,13 @@ class LshIndex:
         return hashed.withColumn("_values", values).select(*columns, F.explode(table).alias("_t")).select(*columns, "_t.table", "_t.bucket")
 
 
-def unit(points: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, u): vectors of norm 1 in double precision; those of norm 0, and null, empty or non-finite ones, go."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    rows = points.select(F.col(key).alias("id"), v.alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    return rows.filter("norm > 0 AND norm < double('Infinity')").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+def unit(points: DataFrame, key: str, vector: str, *others: str) -> DataFrame:
+    """(id, u, others): vectors of norm 1 in double precision; those of norm 0, and null, empty or non-finite ones, go."""
+    rows = points.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *others)
+    # A struct in an array holds the norm, so that it is worked out once for a vector and not for each of its numbers.
+    once = F.array(F.struct(F.col("v").alias("v"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm")))
+    made = F.transform(once, lambda s: F.when((s["norm"] > 0) & (s["norm"] < float("inf")), F.transform(s["v"], lambda x: x / s["norm"])))[0]
+    return rows.select("id", made.alias("u"), *others).filter("u IS NOT NULL")
 
 
 def lsh_fit(points: DataFrame, k: int, recall: float = 0.97, seed: int = 7) -> LshIndex | None:
@@ -120,14 +123,15 @@ def cosine_topk_lsh(points: DataFrame, asks: Column, k: int = 10, recall: float
     direction (null, empty, zero or non-finite vectors), of another length than most, or without an id take no part.
     """
     rows = points.filter(F.col(key).isNotNull()).withColumn("_asks", F.coalesce(asks, F.lit(False)))
-    found = unit(rows, key, vector)
+    found = settle(unit(rows, key, vector, "_asks"), "unit")
     index = lsh_fit(found, k, recall)
     out = "query_id long, vec_id long, score double, rank int"
     if index is None:
         return points.sparkSession.createDataFrame([], out)
+    found = found.filter(F.size("u") == index.dim)
     first = Window.partitionBy("u").orderBy("id")
-    held = settle(found.filter(F.size("u") == index.dim).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).groupBy("u").agg(F.min("id").alias("head"), F.sort_array(F.collect_set("id")).alias("ids")), "points")
-    queries = settle(unit(rows.filter("_asks"), key, vector).select(F.col("id").alias("query_id"), F.col("u").alias("q")).filter(F.size("q") == index.dim), "queries")
+    held = settle(found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).groupBy("u").agg(F.min("id").alias("head"), F.sort_array(F.collect_set("id")).alias("ids")), "points")
+    queries = found.filter("_asks").select(F.col("id").alias("query_id"), F.col("u").alias("q"))
     place = index.keys(held, ["head"], "u")
     asked = index.keys(queries, ["query_id"], "q")
     pairs = asked.join(place, ["table", "bucket"]).select("query_id", "head").distinct()

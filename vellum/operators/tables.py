@@ -44,7 +44,7 @@ def _rows(cells: DataFrame, join) -> DataFrame:
 def table_segments(cells: DataFrame, columns: list[str], rows_per_chunk: int = 10, most: int = GROUP_ROWS) -> DataFrame:
     """Markdown chunks of rows_per_chunk rows with the table's header, per doc; bounds count from 0, the end is exclusive. A doc of more than `most` rows is numbered by ranges."""
     body = _rows(cells, lambda v: F.concat(F.lit("| "), F.array_join(v, " | "), F.lit(" |")))
-    body = numbered(body, ["doc"], [F.col("sheet_no"), F.col("row_no")], "n", most).withColumn("n", F.col("n") - 1).withColumn("segment", F.floor(F.col("n") / rows_per_chunk))
+    body = numbered(body, ["doc"], [F.col("sheet_no"), F.col("row_no")], "n", most, cells).withColumn("n", F.col("n") - 1).withColumn("segment", F.floor(F.col("n") / rows_per_chunk))
     found = body.groupBy("doc", "segment").agg(F.array_sort(F.collect_list(F.struct("n", "body"))).alias("r"), F.min("n").alias("lo"), (F.max("n") + 1).alias("hi"))
     span = F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"))
     text = F.concat(F.lit("Context (Headers):\n"), header_md(F.array(*map(F.lit, columns))), F.lit("\n\nSegment ("), span, F.lit("):\n"), F.array_join(F.transform("r", lambda x: x["body"]), "\n"))

@@ -62,7 +62,7 @@ def f4(spark, d):
     "f5_term_injection",
     r"""WITH c AS (SELECT 'k' || p_partkey AS chunk_id, ' ' || array_to_string(list_filter(string_split_regex(lower('The ' || p_name || ' of ' || p_brand), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM part),
     d AS (SELECT DISTINCT p_name AS term, 'a kind of ' || p_name AS meaning, array_to_string(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''), ' ') AS k FROM part)
-    SELECT DISTINCT chunk_id, term, meaning FROM c JOIN d ON contains(c.t, ' ' || d.k || ' ') WHERE len(string_split(k, ' ')) <= 3""",
+    SELECT DISTINCT chunk_id, term, meaning FROM c JOIN d ON contains(c.t, ' ' || d.k || ' ')""",
 )
 def f5(spark, d):
     part = load(spark, d, "part")

@@ -9,10 +9,13 @@ from vellum.operators import index as I
 from vellum.operators import ledger as L
 from vellum.operators import search as LSH
 from vellum.operators import tables as TB
+from vellum.operators.grounding import token_counted
 from vellum.plans.fixtures import coded_images, ctes, load
 from vellum.plans.registry import query
+from vellum.plans.scalars import _TOK
 from vellum.plans.tabular import BODY, COLUMNS, HTML, SEGMENTS
 from vellum.sources import files as S
+from vellum.sources.scroll import Scroll
 from vellum.sources.shared import shared_dir
 from vellum.sources.snapshots import Snapshots
 from vellum.streaming.ingest import stream_ingest
@@ -204,6 +207,16 @@ def e6(spark, d):
     return I.payload_scroll(I.payload(load(spark, d, "chunks")), 20, type="visual", page=3).select("chunk_id", "source", "page", "type")
 
 
+@query("e6_next_page", ctes("chunks").rstrip() + f", {_PAYLOAD} SELECT chunk_id, source, page, type FROM payloads WHERE type = 'visual' ORDER BY chunk_id LIMIT 25 OFFSET 50")
+def e6p(spark, d):
+    """The third page of visual chunks from a store sorted by id, each page from where the last one ended."""
+    store, after = Scroll.write(I.payload(load(spark, d, "chunks")), shared_dir(spark, "scroll")), None
+    for _ in range(2):
+        page = store.page(25, after, type="visual").agg(F.max("chunk_id")).first()[0]
+        after = page if page is not None else after
+    return store.page(25, after, type="visual").select("chunk_id", "source", "page", "type")
+
+
 @query("e7_list_sources", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
 def e7(spark, d):
     return I.list_sources(I.payload(load(spark, d, "chunks")))
@@ -259,6 +272,18 @@ def e12(spark, d):
     return L.run_summary(_report(spark, d))
 
 
+@query("e12_written_report", _REPORT + " SELECT status, count(*) AS n_files, CAST(sum(total_chunks) AS BIGINT) AS n_chunks FROM report GROUP BY status")
+def e12w(spark, d):
+    """The same counts, taken while the report is written."""
+    return L.written_report(_report(spark, d), shared_dir(spark, "report"))
+
+
+@query("e12_written_chunks", ctes("chunks").rstrip() + f", n AS (SELECT *, len({_TOK.format('clean_text')}) AS tokens FROM chunks) SELECT count(*) AS n_chunks, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS n_tokens, count(*) FILTER (WHERE type = 'visual') AS n_visual, count(*) FILTER (WHERE tokens = 0) AS n_blank, max(page_number) AS max_page FROM n")
+def e12c(spark, d):
+    """Totals of all chunks, taken while they are written."""
+    return L.written_chunks(token_counted(load(spark, d, "chunks")), shared_dir(spark, "chunks"))
+
+
 @query("e12_run_lines", _REPORT + " SELECT file_name, file_name || ': ' || status || ': ' || CASE WHEN status = 'success' THEN total_chunks || ' chunks, ' || substring(doc_hash, 1, 8) ELSE coalesce(error_msg, '') END AS line FROM report")
 def e12l(spark, d):
     return L.run_lines(_report(spark, d))
