@@ -1,6 +1,7 @@
 """Operators on single texts: quality rules, weak labels, token counts, toxicity."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -139,6 +140,30 @@ def test_token_counts(awkward):
     assert tokencount.token_counts(awkward.limit(0), path).count() == 0
 
 
+def test_token_counts_of_every_character():
+    """Assigned or not, alone, after letters and between them; some hundred in each text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, merges = Tokenizer.from_file(path), tokencount.Merges.of(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} bz{c} x{c}y" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert [tokencount.count_text(t, merges) for t in part] == [len(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def test_token_counts_of_random_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, merges, rng = Tokenizer.from_file(path), tokencount.Merges.of(path), random.Random(5)
+    kinds = [[chr(c) for c in range(0x20, 0x250)], [chr(c) for c in range(0x300, 0x370)], [chr(rng.randrange(0xE000, 0x110000)) for _ in range(4000)], [chr(c) for c in range(0x250, 0x3000)], ["'s", "'LL", "İ", "\u212a", "\u2001", "\x85", "\x1c", "<|endoftext|>", " "]]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    assert [tokencount.count_text(t, merges) for t in texts] == [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_token_counts_of_another_vocabulary_are_refused():
+    with pytest.raises(ValueError, match="another way"):
+        tokencount.Merges(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_toxicity(spark, awkward, tagged):
     got = toxicity.toxicity(awkward, tagged, sample_rows=10).collect()
     assert len(got) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)

@@ -11,11 +11,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 #: The characters of Unicode's White_Space property.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct words that a task remembers before it starts anew.
 MEMO_WORDS = 400_000
+#: How a vocabulary's file must prepare texts for these counts to be its own.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Merges:
@@ -26,6 +30,13 @@ class Merges:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [(p["type"], p.get("pattern", {}).get("Regex")) for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if kinds != NORMALIZERS or splits != [("Split", SPLIT), ("ByteLevel", None)] or model["type"] != "BPE":
+            raise ValueError(f"{path} prepares texts in another way than these counts do")
+        #: The file's own preparation of texts, for characters of which Unicode's versions differ. Nothing is encoded with it.
+        tok = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = tok.normalizer, tok.pre_tokenizer
         self.rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
         self.end = model.get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -42,13 +53,13 @@ class Merges:
         return cls._kept[path]
 
 
-def merged_count(word: bytes, merges: Merges) -> int:
-    """Tokens of one pre-token: its symbols less the merges that byte-pair merging makes.
+def merged_count(word: str, merges: Merges) -> int:
+    """Tokens of one pre-token, given as the symbols of its bytes: their number less the merges that byte-pair merging makes.
 
     A doubly linked list holds the symbols; a heap holds (rank, place) of every adjacent pair that
     can merge. The lowest rank goes first, ties leftmost; entries that a merge has outdated are skipped.
     """
-    sym = [merges.symbol[b] for b in word]
+    sym = list(word)
     n = len(sym)
     if not n:
         return 0
@@ -83,29 +94,39 @@ def merged_count(word: bytes, merges: Merges) -> int:
 class Words(dict):
     """Token count of each chunk between white space, worked out when first met."""
 
-    #: Fixed value: how the vocabulary's file splits a text.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
+    #: SPLIT, for chunks without white space whose characters are all COMMON.
+    PATTERN = regex.compile(SPLIT)
+    #: Characters that all versions of Unicode treat alike, and that composition leaves as they are.
+    COMMON = regex.compile(r"[\x21-\x7e\u00a1-\u024f]*")
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
         self.pieces: dict[str, int] = {}
 
-    def piece(self, small: str) -> int:
-        n = self.pieces.get(small)
+    def piece(self, symbols: str) -> int:
+        n = self.pieces.get(symbols)
         if n is None:
-            n = merged_count(small.encode(), self.merges)
-            if len(small) < 200:
-                self.pieces[small] = n
+            n = merged_count(symbols, self.merges)
+            if len(symbols) < 200:
+                self.pieces[symbols] = n
         return n
 
+    def symbols(self, chunk: str) -> list[str]:
+        """The chunk's pre-tokens."""
+        if self.COMMON.fullmatch(chunk) is None:
+            m = self.merges
+            return [p for p, _ in m.pre_tokenizer.pre_tokenize_str(m.normalizer.normalize_str(chunk))]
+        small = chunk.lower() if chunk.isascii() else "".join(map(str.lower, chunk))
+        table = self.merges.symbol
+        return [p if p.isascii() else "".join([table[b] for b in p.encode()]) for p in self.PATTERN.findall(small)]
+
     def __missing__(self, chunk: str) -> int:
         if len(self) > MEMO_WORDS:
             self.clear()
         if len(self.pieces) > MEMO_WORDS:
             self.pieces.clear()
-        small = chunk.lower() if chunk.isascii() else "".join(map(str.lower, chunk))  # by character: no rule for a final sigma
-        n = sum(map(self.piece, self.PATTERN.findall(small)))
+        n = sum(map(self.piece, self.symbols(chunk)))
         if len(chunk) < 200:
             self[chunk] = n
         return n
@@ -117,15 +138,11 @@ _ODD = regex.compile(r"[^\x00-\x1b\x20-\x7f\xa1-˿]")
 
 def count_text(text: str, merges: Merges) -> int:
     """Tokens of a whole text: white space parts chunks, and special strings count as one token each."""
-    from unicodedata import is_normalized, normalize
-
     found = 0
     if any(s in text for s in merges.special):
         parts = regex.split("|".join(map(regex.escape, merges.special)), text)
         found = len(parts) - 1
         return found + sum(count_text(p, merges) for p in parts)
-    if not text.isascii() and not is_normalized("NFC", text):
-        text = normalize("NFC", text)
     plain = _ODD.search(text) is None  # then str.split parts exactly at the white space meant here
     chunks = text.split() if plain else [c for c in _WHITE.split(text) if c]
     return sum(map(merges.count.__getitem__, chunks))
@@ -136,7 +153,8 @@ def token_counts(docs: DataFrame, vocabulary: str, most: int = 2048, text: str =
 
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows give repeated results; a null key stays
     null; other columns are not read. Texts are handled one by one, whole, and a task keeps nothing
-    but a bounded memo of words. vocabulary: path of the file on every machine.
+    but a bounded memo of words. vocabulary: path of the file on every machine; one that prepares texts in another way than
+    this module does is an error.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
