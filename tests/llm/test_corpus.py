@@ -331,6 +331,25 @@ def test_mix_with_odd_weights_and_many_sources(spark, awkward):
     assert bare.filter("pass_no = 0").count() == 300 and bare.select(F.col("place") / (1 << 32)).distinct().count() > 20
 
 
+def test_pools_have_the_weights_of_their_sources(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, f"s{i % 8}") for i in range(1600)], "doc_id long, text string, source string")
+    weights = {f"s{k}": k + 1.0 for k in range(8)}
+    for given, power in ((weights, 0.7), (None, 0.5)):
+        got = mixing.mix(docs, given, block_bytes=100, power=power, most_sources=4).collect()
+        pool = {s: "own" if given and s in ("s7", "s6") or not given and s in ("s0", "s1") else "pool" for s in weights}
+        target = {"own": sum(weights[s] if given else 1 for s in weights if pool[s] == "own"), "pool": sum(weights[s] if given else 1 for s in weights if pool[s] == "pool")}
+        part = Counter(pool[r.source] for r in got if r.slot < 200)
+        assert abs(part["own"] - 200 * target["own"] / sum(target.values())) <= 4
+
+
+def test_small_weights_have_a_period_that_they_fit_in():
+    for target in ({"a": 1.0, "b": 1e-5}, {"a": 3.0, "b": 3e-4, "c": 1.0}, {"a": 1.0}, {f"s{i}": 1.0 + i for i in range(3000)}):
+        share = mixing.shares(target, mixing.period_for(target))
+        n = sum(share.values())
+        assert all(abs(share[s] - n * w / sum(target.values())) <= 1 for s, w in target.items())
+    assert mixing.period_for({"a": 1.0, "b": 1e-12}) == mixing.MOST_PERIOD
+
+
 def test_shares():
     rng = random.Random(6)
     for _ in range(40):
