@@ -51,6 +51,26 @@ def test_ranks_copies_and_odd_vectors(spark):
     assert search.cosine_topk_lsh(points.filter("vec_id >= 500 AND vec_id < 504"), F.lit(True)).count() == 0
 
 
+def test_store_is_searched_with_any_queries(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = clustered(rng, 1500)
+    search.LshStore.build(table(spark, x), str(tmp_path / "i"), k=10)
+    store = search.LshStore(spark, str(tmp_path / "i"))
+    q = x[::50] * 3 + 0.05 * rng.normal(size=(30, 32))
+    odd = [(900, None), (901, [0.0] * 32), (902, [1.0]), (None, x[0].tolist())]
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + odd, "query_id long, embedding array<double>")
+    got = store.search(queries, 5).collect()
+    unit, qn = x / np.linalg.norm(x, axis=1)[:, None], q / np.linalg.norm(q, axis=1)[:, None]
+    true = {(i, int(j)) for i, row in enumerate(qn @ unit.T) for j in np.argsort(-row)[:5]}
+    assert len(true & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(true)
+    assert all(r.score == pytest.approx(float(qn[r.query_id] @ unit[r.vec_id]), abs=1e-8) for r in got)
+    assert {r.query_id for r in got} == set(range(30)) and max(r["rank"] for r in got) == 5
+    with pytest.raises(ValueError, match="10 neighbours"):
+        store.search(queries, 11)
+    with pytest.raises(ValueError, match="no points"):
+        search.LshStore.build(table(spark, np.zeros((3, 4))), str(tmp_path / "j"))
+
+
 def test_plan_has_no_nested_loop(spark):
     plan = search.cosine_topk_lsh(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.index import dot
@@ -114,6 +114,21 @@ def lsh_fit(points: DataFrame, k: int, recall: float = 0.97, seed: int = 7) -> L
     return LshIndex(lsh.fit(some.limit(1).select(shifted(F.col("u"), buckets.width, dim).alias("_features"))), buckets, dim)
 
 
+def _held(found: DataFrame, k: int) -> DataFrame:
+    """(head, u, ids): each different unit vector of (id, u) once, with its k smallest ids and the smallest of them."""
+    first = Window.partitionBy("u").orderBy("id")
+    return found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).groupBy("u").agg(F.min("id").alias("head"), F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def _met(index: LshIndex, held: DataFrame, places: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank) of queries (query_id, q), from points that share a bucket with them."""
+    pairs = index.keys(queries, ["query_id"], "q").join(places, ["table", "bucket"]).select("query_id", "head").distinct()
+    met = pairs.join(held, "head").join(queries, "query_id")
+    scored = met.select("query_id", F.round(dot(F.col("q"), F.col("u")), 9).alias("score"), F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+
+
 def cosine_topk_lsh(points: DataFrame, asks: Column, k: int = 10, recall: float = 0.97, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): about the k nearest points by cosine of each row of points for which `asks` holds, itself included; ties to smaller ids.
 
@@ -125,17 +140,44 @@ def cosine_topk_lsh(points: DataFrame, asks: Column, k: int = 10, recall: float
     rows = points.filter(F.col(key).isNotNull()).withColumn("_asks", F.coalesce(asks, F.lit(False)))
     found = settle(unit(rows, key, vector, "_asks"), "unit")
     index = lsh_fit(found, k, recall)
-    out = "query_id long, vec_id long, score double, rank int"
     if index is None:
-        return points.sparkSession.createDataFrame([], out)
+        return points.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     found = found.filter(F.size("u") == index.dim)
-    first = Window.partitionBy("u").orderBy("id")
-    held = settle(found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).groupBy("u").agg(F.min("id").alias("head"), F.sort_array(F.collect_set("id")).alias("ids")), "points")
-    queries = found.filter("_asks").select(F.col("id").alias("query_id"), F.col("u").alias("q"))
-    place = index.keys(held, ["head"], "u")
-    asked = index.keys(queries, ["query_id"], "q")
-    pairs = asked.join(place, ["table", "bucket"]).select("query_id", "head").distinct()
-    met = pairs.join(held, "head").join(queries, "query_id")
-    scored = met.select("query_id", F.round(dot(F.col("q"), F.col("u")), 9).alias("score"), F.explode("ids").alias("vec_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    held = settle(_held(found, k), "points")
+    return _met(index, held, index.keys(held, ["head"], "u"), found.filter("_asks").select(F.col("id").alias("query_id"), F.col("u").alias("q")), k)
+
+
+class LshStore:
+    """Points in their buckets on disk, made once and searched with any queries: points (head, u, ids), places (table, bucket, head), the projections, and what was chosen."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        a = spark.read.parquet(f"{path}/about").first()
+        self.k = a.k
+        self.index = LshIndex(BucketedRandomProjectionLSHModel.load(f"{path}/projections"), Buckets(a.width, a.depth, a.tables, a.recall, a.share), a.dim)
+
+    @classmethod
+    def build(cls, points: DataFrame, path: str, k: int = 10, recall: float = 0.97, key: str = "vec_id", vector: str = "embedding") -> LshStore:
+        """Index the points as cosine_topk_lsh() would, for searches of k neighbours at most. Without any usable point there is nothing to build, an error."""
+        spark = points.sparkSession
+        found = settle(unit(points.filter(F.col(key).isNotNull()), key, vector), "unit")
+        index = lsh_fit(found, k, recall)
+        if index is None:
+            raise ValueError("no points to index")
+        b = index.buckets
+        _held(found.filter(F.size("u") == index.dim), k).write.parquet(f"{path}/points")
+        places = index.keys(spark.read.parquet(f"{path}/points"), ["head"], "u")
+        # In order of the join's keys, so that files hold ranges of buckets.
+        places.repartitionByRange("table", "bucket").sortWithinPartitions("table", "bucket").write.parquet(f"{path}/places")
+        index.model.save(f"{path}/projections")
+        spark.createDataFrame([(index.dim, k, b.width, b.depth, b.tables, b.recall, b.share)], "dim int, k int, width double, depth int, tables int, recall double, share double").write.parquet(f"{path}/about")
+        return cls(spark, path)
+
+    def search(self, queries: DataFrame, k: int | None = None, key: str = "query_id", vector: str = "embedding") -> DataFrame:
+        """(query_id, vec_id, score, rank) of queries (key, vector), any vectors of the points' length; those without a direction find nothing."""
+        k = self.k if k is None else k
+        if k > self.k:
+            raise ValueError(f"the index was built for {self.k} neighbours")
+        asked = settle(unit(queries.filter(F.col(key).isNotNull()), key, vector).filter(F.size("u") == self.index.dim).select(F.col("id").alias("query_id"), F.col("u").alias("q")), "queries")
+        read = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
+        return _met(self.index, read("points"), read("places"), asked, k)

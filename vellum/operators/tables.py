@@ -17,10 +17,12 @@ def _joined(order: str, value: str, sep: str):
 
 def cells_to_text(cells: DataFrame) -> DataFrame:
     """(doc, text): each sheet's heading, then its rows of values joined by ' | '; empty rows go."""
-    rows = cells.groupBy("doc", "sheet_no", "sheet", "row_no").agg(_joined("col_no", "value", " | ").alias("line")).filter("line <> ''")
-    heads = cells.select("doc", "sheet_no", "sheet").distinct().select("doc", "sheet_no", "sheet", F.lit(0).cast("long").alias("row_no"), F.concat(F.lit("### Sheet: "), "sheet").alias("line"))
-    lines = rows.select("doc", "sheet_no", "sheet", F.col("row_no").cast("long"), "line").unionByName(heads).select("doc", F.struct("sheet_no", "row_no", "line").alias("at"))
-    return lines.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["line"]), "\n").alias("text"))
+    rows = cells.groupBy("doc", "sheet_no", "sheet", "row_no").agg(_joined("col_no", "value", " | ").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("row_no", "line")))), lambda x: x["line"])
+    heading = F.array(F.concat(F.lit("### Sheet: "), "sheet"))
+    sheets = rows.groupBy("doc", "sheet_no", "sheet").agg(F.array_join(F.concat(heading, lines), "\n").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("sheet_no", "text")))
+    return sheets.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
 def primary_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
