@@ -71,8 +71,42 @@ def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def sql_op1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def sql_op3_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_suffix_dedup(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_removed") <= F.col("n_bytes")).alias("within"), ((F.col("n_spans") > 0) == (F.col("n_removed") >= 100)).alias("whole_spans"))
+
+
+def sql_op4_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def sql_op7_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document once, within the window of its block."""
+    return op7_source_mixing(spark, sf_dir).filter("pass_no = 0").select("doc_id", "source", F.expr("release <= slot AND slot < deadline").alias("in_window"))
+
+
+def sql_op9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_nearest_neighbours(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_found"), F.max("rank").cast("long").alias("last_rank"))
+
+
+def sql_op10_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity(spark, sf_dir).select("doc_id", "held_out", F.expr("score BETWEEN 0 AND 1 AND predicted = CAST(score >= 0.5 AS INT)").alias("sound"))
+
+
+def sql_op12_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_embedding_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_token_counts, op5_ngram_jaccard, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity, op11_spelling_variants, op12_embedding_whitening, op13_benchmark_decontamination)}
+    return {f.__name__: f for f in (*_OPERATORS, *_PARTS)}
+
+
+_OPERATORS = (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_token_counts, op5_ngram_jaccard, op6_token_store, op7_source_mixing, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity, op11_spelling_variants, op12_embedding_whitening, op13_benchmark_decontamination)
+#: What SQL can say of the results of operators that it can't express whole.
+_PARTS = (sql_op1_statistics, sql_op3_bytes, sql_op4_bytes, sql_op7_first_pass, sql_op9_found, sql_op10_held_out, sql_op12_deviation)
 
 
 #: op5 by brute force: all pairs of different sets that share a shingle, then all sets that each one reaches by links.
@@ -100,20 +134,23 @@ FROM rows_ r LEFT JOIN sets x ON x.shingles = r.shingles AND len(r.shingles) > 0
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The table of the usual crc32, and the crc32 of a list of bytes b with it.
+_CRC = "crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+_CRC_OF = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295)"
+
 #: op11 by brute force: words that share what is left after one deletion.
-_OP11 = r"""
-WITH RECURSIVE crc AS (
-    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
-),
+_OP11 = rf"""
+WITH RECURSIVE {_CRC},
 runs AS (
     SELECT doc_id, run, count(*) AS c
-    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+    FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
 ),
 coded AS (
     SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS b
     FROM runs
 ),
-hashed AS (SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+hashed AS (SELECT run, c, {_CRC_OF} AS h FROM coded, crc),
 words AS (
     SELECT word, CAST(sum(c) AS BIGINT) AS n
     FROM (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM hashed)
@@ -145,5 +182,35 @@ FROM docs LEFT JOIN words USING (nr) LEFT JOIN found USING (nr)
 """
 
 
+_STATISTICS = r"""
+WITH docs AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT nr, line, count(*) AS n FROM (SELECT nr, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+again AS (SELECT nr, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM lines GROUP BY nr),
+runs AS (SELECT nr, i, array_to_string(w[i:i + 4], ' ') AS p FROM docs, unnest(range(1, len(w) - 3)) u(i)),
+twice AS (SELECT nr, i FROM runs QUALIFY count(*) OVER (PARTITION BY nr, p) > 1),
+under AS (SELECT nr, count(DISTINCT j) AS n_repeat_words FROM twice, unnest(range(i, i + 5)) u(j) GROUP BY nr)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed
+FROM docs LEFT JOIN again USING (nr) LEFT JOIN under USING (nr)
+"""
+_DEVIATION = """
+WITH good AS (SELECT row_number() OVER () AS nr, vec_id, embedding AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT nr, vec_id, unnest(range(len(v))) AS d, CAST(floor(64 * unnest(v)::DOUBLE) AS HUGEINT) + 1000000 AS x FROM good),
+s AS (SELECT d, sum(x) AS s, count(*) AS n FROM x GROUP BY d)
+SELECT vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM x JOIN s USING (d) GROUP BY nr, vec_id, n
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op5_ngram_jaccard": _OP5, "op11_spelling_variants": _OP11, "op13_benchmark_decontamination": _OP13}
+    return {
+        "op5_ngram_jaccard": _OP5,
+        "op11_spelling_variants": _OP11,
+        "op13_benchmark_decontamination": _OP13,
+        "sql_op1_statistics": _STATISTICS,
+        "sql_op3_bytes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, true AS within, true AS whole_spans FROM documents",
+        "sql_op4_bytes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents",
+        "sql_op7_first_pass": "SELECT doc_id, source, true AS in_window FROM documents",
+        "sql_op9_found": "SELECT vec_id AS query_id, least(20, (SELECT count(*) FROM embeddings) - 1) AS n_found, least(20, (SELECT count(*) FROM embeddings) - 1) AS last_rank FROM embeddings WHERE vec_id % 20 = 0",
+        "sql_op10_held_out": f"WITH {_CRC}, coded AS (SELECT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS b FROM documents) SELECT doc_id, {_CRC_OF} % 5 = 0 AS held_out, true AS sound FROM coded, crc",
+        "sql_op12_deviation": _DEVIATION,
+    }
