@@ -211,3 +211,49 @@ def test_pairs_count_beyond_single_terms():
     s = x @ v
     score = w0 + x @ w + 0.5 * (s**2 - x @ v**2).sum(1)
     assert ((score > 0) == (y == 1)).mean() > 0.98
+
+
+def _rare_pairs(seed=2):
+    """Texts and labels: thousands of telling words, and two rare words that are toxic only together."""
+    rng = random.Random(seed)
+    word = lambda kind, n: kind + "".join(chr(97 + int(d)) for d in f"{n:04d}")
+    rows = []
+    for _ in range(3000):
+        toxic = rng.random() < 0.4
+        rows.append((" ".join([word("q" if toxic else "z", rng.randrange(3000)) for _ in range(60)]), int(toxic)))
+    for i in range(450):
+        rare = ["snarl", "tribe", "snarl tribe"][i % 3]
+        rows.append((" ".join([*(word(rng.choice("qz"), rng.randrange(3000)) for _ in range(6)), rare]), int(i % 3 == 2)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_toxicity_of_a_pair_of_rare_terms(spark):
+    rows = _rare_pairs()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    assert (machine.linear != 0).sum() > 4096
+    import pyarrow as pa
+
+    from vellum.llm.textbytes import Texts
+
+    base = [t.rsplit(" ", 1)[0] for t, _ in _rare_pairs(9) if len(t) < 100]
+    none, one, other, both = (machine.score(Texts(pa.array([t + rare for t in base]), lower=True)) for rare in ("", " snarl", " tribe", " snarl tribe"))
+    assert both.mean() > max(one.mean(), other.mean()) + 0.25 and (both > 0.5).mean() > 0.8
+    assert max(one.mean(), other.mean()) < 0.5
+    terms = [toxicity.term_slots(Texts(pa.array([w]), lower=True))[1] for w in ("snarl", "tribe")]
+    pair = sum(float(machine.factors[a] @ machine.factors[b]) for a in terms[0] for b in terms[1])
+    assert pair > 0.1
+
+
+def test_toxicity_sample_is_bounded_by_terms_and_repeated_keys_count_once(spark):
+    docs = spark.createDataFrame([(1, "aaaa bbbb"), (1, "aaaa bbbb cccc dddd"), (2, None), (3, "eeee"), (3, "eeee"), (None, "ffff")], "doc_id long, text string")
+    import numpy as np
+
+    rows = docs.selectExpr("doc_id AS k", "text AS t")
+    place, doc, slot = toxicity.sample_terms(rows, np.array([3, 1, 2]), 1000)
+    assert place.tolist() == [0, 1, 2] and np.bincount(doc, minlength=3).tolist() == [2, 8, 0] and len(slot) == 10
+    place, doc, slot = toxicity.sample_terms(rows, np.array([3, 1, 2]), 9)
+    assert place.tolist() == [0] and len(slot) == 2
+    assert [len(a) for a in toxicity.sample_terms(rows, np.array([3, 1]), 1)] == [0, 0, 0]

@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.shared import settle
 from vellum.llm.textbytes import Texts, slices
 
 BITS = 18
 SLOTS = 1 << BITS
 #: Lengths in bytes of the word beginnings that are terms besides the whole words.
 HEADS = (4, 5, 6)
-#: Slots with features of their own; all others enter through one more feature.
-OWN = 2_048
+#: The feature after those of the slots: the mean log ratio of a text's slots.
+OWN = SLOTS
 #: Documents of each label that a slot is taken to have beyond those counted.
 SMOOTH = 5.0
+#: Significance of a slot's difference between the labels from which its feature has the full value of 1, alone and in pairs.
+FULL, FULL_IN_PAIRS = 0.5, 0.25
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -46,36 +49,27 @@ def term_slots(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return pair // SLOTS, pair % SLOTS
 
 
+def log_ratio(n0: np.ndarray, n1: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """Log ratio of the two labels' smoothed shares of documents, for slots in n0 of t0 and n1 of t1 documents."""
+    share = SMOOTH * 2 / np.maximum(t0 + t1, 1)  # labels of a slot that isn't known
+    return np.log((n1 + share * t1) / np.maximum(t1, 1) + 1e-12) - np.log((n0 + share * t0) / np.maximum(t0, 1) + 1e-12)
+
+
 @dataclass
 class Terms:
-    """The features of a text. place: slot -> its own feature, or -1; counts: training documents of each label by slot.
-
-    The slots without a feature of their own make up feature OWN, a number: the mean of their log ratios of the two
-    labels' shares of documents, smoothed, so that every term has its part in the score.
-    """
+    """The features of a text: each slot by itself, and the mean of its slots' log ratios of the two labels."""
 
-    place: np.ndarray
-    counts: np.ndarray
-    total: np.ndarray
+    ratio: np.ndarray
 
-    def of(self, t: Texts, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, feature) of the slots with own features, and feature OWN of each document. With labels, a document isn't counted in its own numbers."""
+    def of(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, slot) of the slots, and feature OWN of each document."""
         doc, slot = term_slots(t)
-        row = self.place[slot]
-        rest, of = slot[row < 0], doc[row < 0]
-        n0, n1, total = *self.counts[:, rest], np.repeat(self.total[:, None], len(rest), 1)
-        if label is not None:
-            y = label[of]
-            n0, n1, total = n0 - (y == 0), n1 - (y == 1), total - np.stack((y == 0, y == 1))
-        share = SMOOTH * 2 * total / np.maximum(total.sum(0), 1)  # labels of a slot that isn't known
-        ratio = np.log((n1 + share[1]) / np.maximum(total[1], 1) + 1e-12) - np.log((n0 + share[0]) / np.maximum(total[0], 1) + 1e-12)
-        mean = np.bincount(of, ratio, minlength=t.n) / np.maximum(np.bincount(of, minlength=t.n), 1)
-        return doc[row >= 0], row[row >= 0], mean
+        return doc, slot, np.bincount(doc, self.ratio[slot], minlength=t.n) / np.maximum(np.bincount(doc, minlength=t.n), 1)
 
 
 @dataclass
 class Machine:
-    """Bias, linear weights and factors of the features."""
+    """Bias, linear weights and factors of the features: one row for each slot and one for feature OWN, which has no pairs."""
 
     terms: Terms
     bias: float
@@ -86,53 +80,68 @@ class Machine:
         doc, row, rest = self.terms.of(t)
         y = self.bias + np.bincount(doc, self.linear[row], minlength=t.n) + self.linear[OWN] * rest
         for f in range(self.factors.shape[1]):
-            v, last = self.factors[row, f], self.factors[OWN, f] * rest
-            y += 0.5 * ((np.bincount(doc, v, minlength=t.n) + last) ** 2 - np.bincount(doc, v * v, minlength=t.n) - last**2)
+            v = self.factors[row, f]
+            y += 0.5 * (np.bincount(doc, v, minlength=t.n) ** 2 - np.bincount(doc, v * v, minlength=t.n))
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
-def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, rest: np.ndarray | None = None, factors: int = 8, steps: int = 2500, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Fit a second-order factorization machine for log loss with Adam on mini-batches.
+def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, n_terms: int, rest: np.ndarray | None = None, value: np.ndarray | None = None, in_pairs: np.ndarray | None = None, factors: int = 8, steps: int = 600, batch: int = 64, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Fit a second-order factorization machine for log loss on mini-batches: (bias, linear weights, factors) for 0/1 features.
 
-    doc, row: coordinates of the ones of the sample's 0/1 matrix, in order of doc; rest: the numbers of its last column.
+    doc, row: coordinates of the sample's features, in order of doc. A feature is `value` of its row alone and `in_pairs` with others
+    (1 without); the weights and factors returned are multiplied by these. rest: one more number of each document, whose weight is the last one. A step
+    changes only the rows that its documents have, each with a step size by its own gradients so far (AdaGrad).
     """
     rng = np.random.default_rng(seed)
+    n = len(label)
+    value, in_pairs = (np.ones(n_terms) if v is None else v for v in (value, in_pairs))
     cost = np.where(label == 1, np.sqrt(max((label == 0).sum(), 1) / max((label == 1).sum(), 1)), 1.0)  # rare toxic rows count more
-    w0, w, v = 0.0, np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, factors))
-    state = [[np.zeros_like(np.asarray(p, float)), np.zeros_like(np.asarray(p, float))] for p in (w0, w, v)]
-    bounds = np.searchsorted(doc, np.arange(len(label) + 1))
+    p = np.zeros((n_terms, 1 + factors), np.float32)
+    p[:, 1:] = rng.normal(0, 0.01, (n_terms, factors))
+    seen, place = np.zeros_like(p), np.zeros(n_terms, np.int64)
+    common, common_seen = np.zeros(2), np.zeros(2)  # the bias and the weight of rest
+    extra = np.stack((np.ones(n), np.zeros(n) if rest is None else rest), 1)
+    bounds = np.searchsorted(doc, np.arange(n + 1))
     step = 0
-    while len(label) and step < steps:
-        order = rng.permutation(len(label))
-        for at in range(0, len(order), 256):
-            pick = order[at : at + 256]
-            x = np.zeros((len(pick), n_terms))
+    while n and step < steps:
+        order = rng.permutation(n)
+        for at in range(0, n, batch):
+            pick = order[at : at + batch]
             size = bounds[pick + 1] - bounds[pick]
-            ones = np.repeat(bounds[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            x[np.repeat(np.arange(len(pick)), size), row[ones]] = 1
-            if rest is not None:
-                x[:, -1] = rest[pick]
-            s = x @ v
-            y = w0 + x @ w + 0.5 * (s**2 - x**2 @ v**2).sum(1)
+            r = row[np.repeat(bounds[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            of = np.repeat(np.arange(len(pick)), size)
+            own = np.flatnonzero(np.bincount(r, minlength=n_terms))
+            place[own] = np.arange(len(own))
+            i, q = place[r], p[own].astype(np.float64)
+            alone, x = value[own][i], in_pairs[own][i]
+            s = np.stack([np.bincount(of, q[i, j] * (x if j else alone), minlength=len(pick)) for j in range(1 + factors)], 1)
+            same = np.bincount(of, (q[:, 1:] ** 2).sum(1)[i] * x * x, minlength=len(pick))
+            y = extra[pick] @ common + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - same)
             g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - label[pick]) * cost[pick] / len(pick)
-            gx = x.T @ g
-            grads = (g.sum(), gx + decay * w, x.T @ (g[:, None] * s) - v * ((x**2).T @ g)[:, None] + decay * v)
+            gx = g[of] * x
+            gxx = np.bincount(i, gx * x, minlength=len(own))
+            grad = np.stack([np.bincount(i, g[of] * alone, minlength=len(own)), *(np.bincount(i, gx * s[of, j], minlength=len(own)) - q[:, j] * gxx for j in range(1, 1 + factors))], 1) + decay * q
+            seen[own] += grad**2
+            p[own] = q - rate * grad / (np.sqrt(seen[own]) + 1e-6)
+            grad = extra[pick].T @ g
+            common_seen += grad**2
+            common -= rate * grad / (np.sqrt(common_seen) + 1e-6)
             step += 1
-            new = []
-            for p, grad, m in zip((w0, w, v), grads, state, strict=True):
-                m[0] = 0.9 * m[0] + 0.1 * grad
-                m[1] = 0.999 * m[1] + 0.001 * grad**2
-                new.append(p - rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8))
-            w0, w, v = new
-    return float(w0), w, v
+            if step == steps:
+                break
+    p[:, 0] *= value
+    p[:, 1:] *= in_pairs[:, None]
+    if rest is not None:
+        p = np.concatenate((p, np.array([[common[1], *np.zeros(factors)]], np.float32)))
+    return float(common[0]), p[:, 0], p[:, 1:]
 
 
 def training_sample(labels: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and labels of the training rows: not held out, all or those with the smallest hashes."""
+    """Keys and labels of the training rows, in order of their hashes: not held out, all or those with the smallest hashes."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("k"), "toxic")
     usable = usable.filter(F.crc32(F.col("k").cast("string").cast("binary")) % 5 != 0).groupBy("k").agg(F.max("toxic").alias("y"))
-    found = sorted((r.k, int(r.y)) for r in usable.orderBy(F.xxhash64("k"), "k").limit(rows).collect())
-    return np.array([k for k, _ in found], np.int64), np.array([y for _, y in found], np.int64)
+    found = usable.orderBy(F.xxhash64("k"), "k").limit(rows).collect()
+    return np.array([r.k for r in found], np.int64), np.array([int(r.y) for r in found], np.int64)
 
 
 def _labelled(b: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,60 +153,65 @@ def _labelled(b: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known & (keys[at] == ids if len(keys) else np.zeros(len(ids), bool)), at
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text: str = "text", key: str = "doc_id") -> Machine:
-    """Fit on at most sample_rows labelled rows that are not held out.
+def sample_terms(docs: DataFrame, keys: np.ndarray, most_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in keys of their documents, and (document, slot) of the terms: of all, or of the first up to most_terms in total.
 
-    Two scans: the first counts each slot's documents by label within tasks, which picks the OWN slots with
-    the most significant difference for features of their own; the second brings the features of the sample to the
-    driver (sample_rows x a few hundred two-byte numbers). The counts, SLOTS rows at most, come to the driver, too.
+    One scan of docs; of rows with the same key the one with the most terms counts (ties: the greatest bytes).
     """
-    keys, label = training_sample(labels, sample_rows)
-    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, SLOTS), np.int64)
-        for b in slices(batches, "t"):
-            mine, at = _labelled(b, keys)
-            if mine.any():
-                t = Texts(b.column(1).filter(pa.array(mine)), lower=True)
-                doc, slot = term_slots(t)
-                y = label[at[mine]][doc]
-                for c in (0, 1):
-                    n[c] += np.bincount(slot[y == c], minlength=SLOTS)
-        some = np.flatnonzero(n.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0][some]), pa.array(n[1][some])], ["slot", "n0", "n1"])
-
-    found = rows.mapInArrow(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    total = np.maximum(np.bincount(label, minlength=2), 1)
-    counts = np.zeros((2, SLOTS), np.int64)
-    for r in found.collect():
-        counts[:, r.slot] = r.n0, r.n1
-    z = np.abs(counts[1] / total[1] - counts[0] / total[0]) / np.sqrt((counts.sum(0) + 5.0) / total.sum())
-    chosen = np.sort(np.lexsort((np.arange(SLOTS), -z))[: min(OWN, int(counts.any(0).sum()))])
-    place = np.full(SLOTS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    terms = Terms(place, counts.astype(np.float64), total.astype(np.float64))
+    order = np.argsort(keys)
+    ascending = keys[order]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            mine, at = _labelled(b, keys)
+            mine, at = _labelled(b, ascending)
             if mine.any():
-                doc, row, rest = terms.of(Texts(b.column(1).filter(pa.array(mine)), lower=True), label[at[mine]])
-                row = row.astype(np.int16)
+                doc, slot = term_slots(Texts(b.column(1).filter(pa.array(mine)), lower=True))
                 bounds = np.searchsorted(doc, np.arange(mine.sum() + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([row[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary()), pa.array(rest)], ["doc", "terms", "rest"])
-
-    # A repeated key counts once.
-    found = {r.doc: (r.terms, r.rest) for r in rows.mapInArrow(gather, "doc long, terms binary, rest double").collect()}
-    own = [np.sort(np.frombuffer(found.get(i, (b"", 0))[0], np.int16)) for i in range(len(label))]
-    rest = np.array([found.get(i, (b"", 0.0))[1] for i in range(len(label))])
-    doc = np.repeat(np.arange(len(label)), [len(t) for t in own])
-    row = np.concatenate(own) if own else np.zeros(0, np.int16)
-    bias, linear, factors = fit(doc, row.astype(np.int64), label, OWN + 1, rest)
-    return Machine(terms, bias, linear, factors)
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+                slot = slot.astype("<i4")
+                terms = [slot[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(order[at[mine]]), pa.array(np.diff(bounds)), pa.array(terms, pa.binary())], ["place", "n", "terms"])
+
+    found = docs.mapInArrow(gather, "place long, n long, terms binary").groupBy("place").agg(F.max(F.struct("n", "terms")).alias("most"))
+    found = settle(found.select("place", "most.n", "most.terms"), "sample")
+    sizes = found.select("place", "n").orderBy("place").toArrow()  # a row for each key at most
+    place, n = sizes.column("place").to_numpy(), sizes.column("n").to_numpy()
+    first = int(np.searchsorted(np.cumsum(n), most_terms, side="right"))
+    if not first:
+        return place[:0], np.zeros(0, np.int32), np.zeros(0, np.int32)
+    rows = found.filter(F.col("place") <= int(place[first - 1])).orderBy("place").select("terms").toArrow()
+    slots = np.frombuffer(b"".join(rows.column("terms").to_pylist()), "<i4")
+    return place[:first], np.repeat(np.arange(first, dtype=np.int32), n[:first]), slots
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text: str = "text", key: str = "doc_id", most_terms: int = 20_000_000) -> Machine:
+    """Fit on labelled rows that are not held out: at most sample_rows, with at most most_terms distinct terms in total.
+
+    The driver holds four bytes for each of those terms, and a weight and factors for each slot. A slot's feature has a value by how
+    significantly its share of documents differs between the labels, squared, so that terms without evidence
+    move the score little; none is left out. In the feature OWN of the sample, a document isn't counted in its own log ratios.
+    """
+    keys, label = training_sample(labels, sample_rows)
+    place, doc, slot = sample_terms(docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t")), keys, most_terms)
+    label = label[place]
+    total = np.bincount(label, minlength=2).astype(np.float64)
+    parts = [slice(*np.searchsorted(doc, (i, i + 1000))) for i in range(0, len(label), 1000)]
+    counts = np.zeros((2, SLOTS))
+    for part in parts:
+        for c in (0, 1):
+            counts[c] += np.bincount(slot[part][label[doc[part]] == c], minlength=SLOTS)
+    rest = np.zeros(len(label))
+    for part in parts:
+        y = label[doc[part]]
+        ratio = log_ratio(counts[0][slot[part]] - (y == 0), counts[1][slot[part]] - (y == 1), total[0] - (y == 0), total[1] - (y == 1))
+        rest += np.bincount(doc[part], ratio, minlength=len(label))
+    rest /= np.maximum(np.bincount(doc, minlength=len(label)), 1)
+    share = counts / np.maximum(total, 1)[:, None]
+    z = np.abs(share[1] - share[0]) / np.sqrt((counts.sum(0) + SMOOTH) / max(total.sum(), 1))
+    bias, linear, factors = fit(doc, slot, label, SLOTS, rest, np.minimum(z / FULL, 1) ** 2, np.minimum(z / FULL_IN_PAIRS, 1) ** 2)
+    return Machine(Terms(log_ratio(*counts, *total).astype(np.float32)), bias, linear, factors)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text: str = "text", key: str = "doc_id", most_terms: int = 20_000_000) -> DataFrame:
     """(key, held_out, score, predicted) of every row of docs.
 
     held_out: crc32 of the key as text is divisible by 5; labels of such rows are never read. score is
@@ -205,7 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, text
     and empty texts have no terms and get the bias alone. Repeated rows are scored alike; a null key
     gives a null held_out; other columns are not read. Without usable labels every score is 0.5.
     """
-    machine = train(docs, labels, sample_rows, text, key)
+    machine = train(docs, labels, sample_rows, text, key, most_terms)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
