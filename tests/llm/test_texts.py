@@ -257,3 +257,11 @@ def test_toxicity_sample_is_bounded_by_terms_and_repeated_keys_count_once(spark)
     place, doc, slot = toxicity.sample_terms(rows, np.array([3, 1, 2]), 9)
     assert place.tolist() == [0] and len(slot) == 2
     assert [len(a) for a in toxicity.sample_terms(rows, np.array([3, 1]), 1)] == [0, 0, 0]
+
+
+def test_trusted_id_of_minus_one_is_no_null_key(spark):
+    docs = spark.createDataFrame([(-1, "good words"), (None, "bad words"), (None, "worse words")], "doc_id long, text string")
+    import numpy as np
+
+    sums = quality.gram_counts(docs, np.array([-1])).selectExpr("sum(raw) AS raw", "sum(target) AS target").first()
+    assert (sums.raw, sums.target) == (7 + 6 + 8, 7)

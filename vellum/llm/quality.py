@@ -102,7 +102,7 @@ def gram_counts(docs: DataFrame, trusted: np.ndarray, text: str = "text", key: s
             slot, bounds = gram_slots(t)
             raw += np.bincount(slot, minlength=SLOTS)
             ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, trusted)
+            good = np.isin(ids, trusted) & ~np.asarray(b.column(0).is_null())
             target += np.bincount(slot[np.repeat(good, np.diff(bounds))], minlength=SLOTS)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["slot", "raw", "target"])
