@@ -231,3 +231,14 @@ def test_probe_strips_of_images_of_several_sizes(spark):
     assert got == sorted((i, s, x, y, *pixels[i][y][x]) for i, s, x0, y0, x1, y1 in probes if i in pixels for y in range(max(y0, 0), min(y1, len(pixels[i]))) for x in range(max(x0, 0), min(x1, len(pixels[i][0]))))
     lines = S.strip_lines(im, boxes)
     assert lines.count() == len({(i, s, y) for i, s, x, y, *_ in got})
+
+
+def test_entity_density_is_the_same_with_and_without_digits(spark):
+    """One formula for all texts, against the one that looks for numbers only where digits are."""
+    texts = ["", None, "pay EUR or usd, $ and £", "no hits here", "12x of (1,200) USD, FY24", "keys and 40 MW\nAB12345678Z", "sq ft in Q3", "\u0663x of \u0664%", "ABCDEFGHIJ", "FY\u0662\u0663 usd"]
+    t = F.col("t")
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    hits = count(T.MONEY) * 2.0 + (count(T.UNITS) + T.asset_ids(t)) * 3.0 + count(T.PERIODS) * 1.5
+    plain = F.least(hits / F.greatest(T.token_count(t), F.lit(1)), F.lit(1.0))
+    rows = spark.createDataFrame([(x,) for x in texts + [f"{x} {'word ' * 20}" for x in texts if x]], "t string").select("t", plain.alias("a"), T.entity_density(t).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and len({r.a for r in rows}) > 3

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns that these rules are defined by.
-MONEY = r"(?iUd)[$€£¥]|\b(USD|EUR|GBP|JPY|CHF|CAD|AUD|CNY|HKD|SGD|NZD|KRW)\b|\(\d{1,3}(?:,\d{3})*\)|\d+(?:\.\d+)?[x%]"
+CURRENCY = r"(?iUd)[$€£¥]|\b(USD|EUR|GBP|JPY|CHF|CAD|AUD|CNY|HKD|SGD|NZD|KRW)\b"
+MONEY = CURRENCY + r"|\(\d{1,3}(?:,\d{3})*\)|\d+(?:\.\d+)?[x%]"
 UNITS = r"(?iUd)\b(sq\s?ft|sf|m2|psf|keys|MW|GWh|TEU|dwt|mt|bbl)\b"
 ASSET_ID = r"(?iUd)\b[A-Z0-9]{9,12}\b"
 PERIODS = r"(?Ud)\b(?:FY|Q[1-4]|LTM)\d{2}\b|\b2[0O]\d{2}[E]?\b"
@@ -57,8 +58,13 @@ def asset_ids(t: Column) -> Column:
 
 
 def entity_density(t: Column) -> Column:
-    """Weighted hits of amounts (2), units and asset ids (3) and periods (1.5) per token, 1 at most."""
-    hits = F.regexp_count(t, F.lit(MONEY)) * 2.0 + (F.regexp_count(t, F.lit(UNITS)) + asset_ids(t)) * 3.0 + F.regexp_count(t, F.lit(PERIODS)) * 1.5
+    """Weighted hits of amounts (2), units and asset ids (3) and periods (1.5) per token, 1 at most.
+
+    A text without digits has no asset ids and no periods, and its amounts are currency signs and names.
+    """
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    numbers = count(MONEY) * 2.0 + asset_ids(t) * 3.0 + count(PERIODS) * 1.5
+    hits = count(UNITS) * 3.0 + F.when(~t.rlike(r"\p{Nd}"), count(CURRENCY) * 2.0).otherwise(numbers)
     return F.least(hits / F.greatest(token_count(t), F.lit(1)), F.lit(1.0))
 
 
