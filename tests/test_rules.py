@@ -174,6 +174,16 @@ def test_terms_of_any_length_are_attached(spark):
     assert got == {("c1", "m5"), ("c1", "m2"), ("c2", "m2")}
 
 
+def test_terms_and_texts_do_not_pass_through_the_driver(spark, tmp_path):
+    from vellum.operators import grounding
+
+    spark.range(3000).selectExpr("concat('k', id) AS chunk_id", "concat('the red ring ', id % 9) AS clean_text").write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    met = grounding.term_injection(chunks, chunks.select(F.lit("red ring").alias("term"), F.lit("x").alias("meaning")))
+    assert met.count() == 3000
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tables_without_a_page_are_on_page_one(spark):
     from vellum.operators import chunks
 
