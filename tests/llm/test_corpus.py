@@ -342,6 +342,22 @@ def test_pools_have_the_weights_of_their_sources(spark):
         assert abs(part["own"] - 200 * target["own"] / sum(target.values())) <= 4
 
 
+def test_every_source_keeps_its_weight_however_many_there_are(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, f"s{i % 12}") for i in range(1200)], "doc_id long, text string, source string")
+    weights = {f"s{k}": (k + 1.0) ** 2 for k in range(12)}
+    for groups in (2, 3, 100_000):
+        got = mixing.mix(docs, weights, block_bytes=100, most_sources=groups).collect()
+        assert all(r.release <= r.slot < r.deadline for r in got)
+        part = Counter(r.source for r in got if r.slot < 650)
+        assert all(abs(part[s] - w) < 3 for s, w in weights.items())
+
+
+def test_order_does_not_depend_on_buckets(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 40), f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string")
+    one, many = (sorted(tuple(r) for r in mixing.mix(docs, block_bytes=400, bucket_rows=n).collect()) for n in (7, 1000))
+    assert one == many
+
+
 def test_small_weights_have_a_period_that_they_fit_in():
     for target in ({"a": 1.0, "b": 1e-5}, {"a": 3.0, "b": 3e-4, "c": 1.0}, {"a": 1.0}, {f"s{i}": 1.0 + i for i in range(3000)}):
         share = mixing.shares(target, mixing.period_for(target))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from vellum.llm.shared import settle
 
 #: Slots of the schedule after which it repeats: weights are rounded to this many parts. A small weight makes the period longer, up to the second number.
 PERIOD, MOST_PERIOD = 10_000, 1_000_000
+#: The same for the sources that share a group.
+INNER, MOST_INNER = 1_000, 10_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -64,6 +67,19 @@ def period_for(target: dict[str, float], least: int = PERIOD, most: int = MOST_P
     return max(least, 10 * len(target), min(smallest, most))
 
 
+def _in_group(group: pd.DataFrame) -> pd.DataFrame:
+    """The sources of a group with the slots that each has in a period of the group's own schedule."""
+    target = dict(sorted(zip(group["s_key"], group["weight"])))
+    share = shares(target, period_for(target, INNER, MOST_INNER)) if len(target) > 1 else dict.fromkeys(target, 1)
+    common = math.gcd(*share.values())
+    share = {s: k // common for s, k in share.items()}
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for s, _, _, _, slot in schedule(share):
+        slots[s].append(slot)
+    keys = group["s_key"]
+    return group[["s_key", "unit", "n_blocks"]].assign(s_share=keys.map(share), s_period=sum(share.values()), s_slots=keys.map(slots))
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -86,16 +102,18 @@ def mix(
     (pass_no counts from 0), so that the mixture keeps its weights to the end and no document is lost.
     (slot, place) orders the rows.
 
-    Sources beyond most_sources, those of the smallest weights, are scheduled together: they share most_sources // 2
-    pools, each with the sum of its sources' weights. In a pool documents stand in pseudo-random order, so that its sources get
-    their parts of the pool by size, not by weight. A weight below a millionth (MOST_PERIOD) of all counts as that.
+    Sources are scheduled on two levels, whatever their number: each belongs to one of most_sources groups by a hash of its name;
+    the groups, with their sources' summed weights, share the slots, and by the same rule a group's sources share the group's slots, in
+    tasks. A source alone in its group, as nearly all are up to some hundreds, is scheduled as if there were no groups; others are within
+    two blocks of their weight instead of one. A group's weight below a millionth (MOST_PERIOD) of all counts as that, a source's
+    below a ten-thousandth (MOST_INNER) of its group's as that.
 
     A null source is a source of its own, shown as null; it can be given a weight under the key None.
     Null and empty texts have 0 bytes and stay with their neighbours. Repeated rows and null keys are
     placed like other rows. Sources missing in weights, or with a weight of 0 or less, get the
     smallest given weight (all the same, if none is positive). An empty table gives no rows. Other columns are read only if whole is
     set: then the result is the columns of docs alone, in files by slot and sorted by (slot, place).
-    The driver and the broadcast tables hold most_sources sources and pools at most, and one period of the schedule
+    The driver and the broadcast table hold most_sources groups at most, and one period of their schedule
     (ten slots for each of these, PERIOD at least); nothing else goes there.
     """
     spark = docs.sparkSession
@@ -111,51 +129,56 @@ def mix(
         sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("w_source")), "left").select("source", "bytes", F.coalesce("w", F.lit(float(least))).alias("weight"))
     sizes = settle(sizes, "sizes")
     own = F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), "source")).otherwise("")
-    if sizes.count() <= most_sources:
-        unit_of = lambda df: df.withColumn("unit", own)
-    else:
-        largest = sizes.filter("source IS NOT NULL").orderBy(F.desc("weight"), "source").limit(most_sources // 2).select(F.col("source").alias("l_source"))
-        pool = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("p"), F.pmod(F.xxhash64("source"), F.lit(most_sources // 2))))
-        unit_of = lambda df: df.join(F.broadcast(largest), F.col("source") == F.col("l_source"), "left").withColumn("unit", F.when(F.col("l_source").isNotNull(), own).otherwise(pool)).drop("l_source")
-    rows = unit_of(rows)
-    # A source's documents are dealt into buckets, so that a hot source is many groups of bounded size.
-    n_buckets = max(1, -(-docs.count() // bucket_rows))
-    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
-    sums = rows.groupBy("unit", "bucket").agg(F.sum("size").alias("bytes"))
-    before = sums.withColumn("before", F.sum("bytes").over(Window.partitionBy("unit").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("unit").alias("b_unit"), F.col("bucket").alias("b_bucket"), F.coalesce("before", F.lit(0)).alias("before"))
-    total = {r.unit: r.bytes for r in sums.groupBy("unit").agg(F.sum("bytes").alias("bytes")).collect()}
-    if not total and whole:
+    named = sizes.select(own.alias("s_key"), F.pmod(F.xxhash64("source"), F.lit(most_sources)).alias("unit"), "weight", F.greatest(F.ceil(F.col("bytes") / block_bytes), F.lit(1)).alias("n_blocks"))
+    target = {r.unit: r.weight for r in named.groupBy("unit").agg(F.sum("weight").alias("weight")).collect()}
+    if not target and whole:
         return docs
-    if not total:
+    if not target:
         return rows.select("doc_id", "source", *(F.lit(None).cast("long").alias(c) for c in ("pass_no", "block_no", "slot", "release", "deadline", "place"))).limit(0)
-    blocks = {s: max(1, -(-n // block_bytes)) for s, n in total.items()}
-    target = {r.unit: r.weight for r in unit_of(sizes).groupBy("unit").agg(F.sum("weight").alias("weight")).collect()}
     share = shares(target, period_for(target))
     common = math.gcd(*share.values())
     share = {s: k // common for s, k in share.items()}
     n_slots = sum(share.values())
+    table = spark.createDataFrame([(s, j, slot) for s, j, _, _, slot in schedule(share)], "p_unit long, p_block long, p_slot long")
+    units = spark.createDataFrame(list(share.items()), "u_unit long, share long")
+    sources = named.groupBy("unit").applyInPandas(_in_group, "s_key string, unit long, n_blocks long, s_share long, s_period long, s_slots array<long>")
+    sources = settle(sources.join(F.broadcast(units), F.col("unit") == F.col("u_unit")).drop("u_unit"), "sources")
+
+    # A run of a source is a place in its group's slots, and that a slot of all.
+    place_of = lambda run: F.floor(run / F.col("s_share")) * F.col("s_period") + F.element_at("s_slots", (run % F.col("s_share") + 1).cast("int"))
+
+    def slotted(df: DataFrame) -> DataFrame:
+        met = df.withColumn("turn", place_of(F.col("run"))).withColumn("in_period", F.col("turn") % F.col("share"))
+        met = met.join(F.broadcast(table), (F.col("unit") == F.col("p_unit")) & (F.col("in_period") == F.col("p_block")))
+        return met.withColumn("slot", F.floor(F.col("turn") / F.col("share")) * n_slots + F.col("p_slot"))
+
     # Slots until each source has run all its blocks once.
-    plan = schedule(share)
-    at = {(s, j): slot for s, j, _, _, slot in plan}
-    end = max((blocks[s] - 1) // share[s] * n_slots + at[s, (blocks[s] - 1) % share[s]] for s in blocks) + 1
-    table = spark.createDataFrame(plan, "p_unit string, p_block long, p_release long, p_deadline long, p_slot long")
-    sources = spark.createDataFrame([(s, blocks[s], share[s], -(-(-(-end // n_slots) * share[s]) // blocks[s])) for s in blocks], "s_unit string, n_blocks long, share long, passes long")
-
-    order = Window.partitionBy("unit", "bucket").orderBy("hash", "doc_id", "size")
-    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("number", F.row_number().over(order))
-    # The table of sums is small beside the rows: units times buckets at most.
-    placed = placed.join(before, (placed["unit"] == before["b_unit"]) & (placed["bucket"] == before["b_bucket"]))
-    placed = placed.join(F.broadcast(sources), placed["unit"] == sources["s_unit"])
+    end = slotted(sources.withColumn("run", F.col("n_blocks") - 1)).agg(F.max("slot")).first()[0] + 1
+    # Of the slots before the end a group has its part to within one, and a source its part of these.
+    turns = F.floor(F.lit(end) * F.col("share") / n_slots) + 1
+    sources = sources.withColumn("passes", F.ceil((F.floor(turns * F.col("s_share") / F.col("s_period")) + 1) / F.col("n_blocks")))
+
+    # A source's documents stand in the order of their hashes, dealt into buckets by ranges of these, so that a hot source is many groups of bounded size and the order doesn't depend on their number.
+    n_buckets = max(1, -(-docs.count() // bucket_rows))
+    rows = rows.withColumn("key", own).withColumn("high", F.shiftrightunsigned("hash", 33)).withColumn("bucket", F.floor(F.col("high") * n_buckets / (1 << 31)))
+    sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("bytes"))
+    before = sums.withColumn("before", F.sum("bytes").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select(F.col("key").alias("b_key"), F.col("bucket").alias("b_bucket"), F.coalesce("before", F.lit(0)).alias("before")).join(sources.hint("merge"), F.col("b_key") == F.col("s_key"))
+    order = Window.partitionBy("key", "bucket").orderBy("high", "hash", "doc_id", "size")
+    same = Window.partitionBy("key", "bucket", "high").orderBy("hash", "doc_id", "size")
+    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("number", F.row_number().over(same))
+    # The table of sums is small beside the rows: sources times buckets at most.
+    placed = placed.join(before, (placed["key"] == before["b_key"]) & (placed["bucket"] == before["b_bucket"]))
     block = F.least(F.floor((F.col("before") + F.col("inner")) / block_bytes), F.col("n_blocks") - 1)
     placed = placed.withColumn("block_no", block).withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
-    placed = placed.withColumn("run", F.col("pass_no") * F.col("n_blocks") + F.col("block_no"))
-    placed = placed.withColumn("in_period", F.col("run") % F.col("share")).withColumn("round", F.floor(F.col("run") / F.col("share")) * n_slots)
-    out = placed.join(F.broadcast(table), (F.col("unit") == F.col("p_unit")) & (F.col("in_period") == F.col("p_block")))
-    out = out.withColumn("slot", F.col("round") + F.col("p_slot")).filter(F.col("slot") < end)
+    out = slotted(placed.withColumn("run", F.col("pass_no") * F.col("n_blocks") + F.col("block_no"))).filter(F.col("slot") < end)
     if whole:
         n_files = max(1, -(-end * block_bytes // (64 << 20)))
         files = F.least(F.floor(F.col("slot") * n_files / end), F.lit(n_files - 1)).cast("int")
-        place = F.struct("bucket", "number").alias("place")
+        place = F.struct("high", "number").alias("place")
         return out.select("row", "slot", place, files.alias("file")).repartitionById(n_files, F.col("file")).sortWithinPartitions("slot", "place").select("row.*")
-    return out.select("doc_id", "source", "pass_no", "block_no", "slot", (F.col("round") + F.col("p_release")).alias("release"), (F.col("round") + F.col("p_deadline")).alias("deadline"), (F.col("bucket") * (1 << 32) + F.col("number")).cast("long").alias("place"))
+    # The window of a run in its group's slots, and that of these in all.
+    first = F.floor(F.col("run") * F.col("s_period") / F.col("s_share"))
+    last = F.ceil((F.col("run") + 1) * F.col("s_period") / F.col("s_share"))
+    release, deadline = F.floor(first * n_slots / F.col("share")), F.ceil(last * n_slots / F.col("share"))
+    return out.select("doc_id", "source", "pass_no", "block_no", "slot", release.alias("release"), deadline.alias("deadline"), (F.col("high") * (1 << 32) + F.col("number")).cast("long").alias("place"))
