@@ -76,6 +76,22 @@ def test_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_searches_send_no_pairs(spark):
+    points = table(spark, np.random.default_rng(2).normal(size=(3000, 8)))
+    asks = F.col("vec_id") % 50 == 0
+    for met in (index.cosine_topk(points, points.filter(asks), 3), search.cosine_topk_lsh(points, asks, 3)):
+        assert met.count() == 180
+        assert "MapInArrow" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_orders_ties_and_odd_scores():
+    s = np.array([[0.1, 0.5, 0.5 + 1e-12, np.nan, -1.0], [2.0, 2.0, 2.0, 2.0, 2.0]])
+    row, column, score = index.best(s, 3)
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and column.tolist() == [3, 1, 2, 0, 1, 2]
+    assert np.isnan(score[0]) and score[1:].tolist() == [0.5, 0.5, 2.0, 2.0, 2.0]
+    assert [len(a) for a in index.best(s[:, :2].copy(), 3)] == [4, 4, 4]
+
+
 def test_meeting_chance_is_that_of_drawn_projections():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(2, 64)) / 8

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.operators.index import dot
+from vellum.operators.index import STRIP, best, dot
 from vellum.sources.shared import settle
 
 #: Points that are measured to choose the buckets; and limits of the choice.
@@ -18,6 +20,8 @@ SAMPLE_ROWS = 2_000
 SAMPLE_QUERIES = 200
 MOST_TABLES = 64
 MOST_DEPTH = 12
+#: Points of a bucket that meet its queries at once.
+BLOCK_ROWS = 32_768
 
 
 @dataclass
@@ -121,10 +125,46 @@ def _held(found: DataFrame, k: int) -> DataFrame:
 
 
 def _met(index: LshIndex, held: DataFrame, places: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) of queries (query_id, q), from points that share a bucket with them."""
-    pairs = index.keys(queries, ["query_id"], "q").join(places, ["table", "bucket"]).select("query_id", "head").distinct()
-    met = pairs.join(held, "head").join(queries, "query_id")
-    scored = met.select("query_id", F.round(dot(F.col("q"), F.col("u")), 9).alias("score"), F.explode("ids").alias("vec_id"))
+    """(query_id, vec_id, score, rank) of queries (query_id, q), from points that share a bucket with them.
+
+    No pairs are shuffled: a bucket's points, in blocks of about BLOCK_ROWS, stand before the queries that have the bucket, which are
+    scored in matrix products as they pass; each block gives k points for each query. The points of different tables that agree are one.
+    """
+    place = ["table", "bucket"]
+    blocks = places.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    spare = {f.name: F.lit(None).cast(f.dataType) for f in (held.schema["head"], queries.schema["query_id"])}
+    stored = places.join(blocks.hint("merge"), place).join(held.select("head", F.col("u").alias("v")).hint("merge"), "head")
+    stored = stored.select(*place, F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "head", spare["query_id"].alias("query_id"), "v")
+    asked = index.keys(queries, ["query_id"], "q").join(blocks.hint("merge"), place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = asked.join(queries.hint("merge"), "query_id").select(*place, "block", F.lit(1).alias("side"), spare["head"].alias("head"), "query_id", F.col("q").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads, vectors = None, [], []
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            side, v = b.column(3).to_numpy(), b.column(6).flatten().to_numpy().reshape(b.num_rows, -1)
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(1) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, b.num_rows], strict=True):
+                if at != tuple(key[lo]):
+                    at, heads, vectors = tuple(key[lo]), [], []
+                if side[lo] == 0:
+                    heads.append(b.column(4).slice(lo, hi - lo))
+                    vectors.append(v[lo:hi])
+                elif heads:
+                    if len(heads) > 1:
+                        heads, vectors = [pa.concat_arrays(heads)], [np.concatenate(vectors)]
+                    for q in range(lo, hi, STRIP):
+                        who, near, score = best(v[q : min(q + STRIP, hi)] @ vectors[0].T, k)
+                        yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(who + q)), heads[0].take(pa.array(near)), pa.array(score)], ["query_id", "head", "score"])
+
+    order = [*place, "block", "side", "head"]
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored.unionByName(asked).repartition(parts, *place, "block").sortWithinPartitions(*order)
+    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n, df in (("query_id", queries), ("head", held)))
+    met = rows.mapInArrow(run, f"{kinds}, score double").groupBy("query_id", "head").agg(F.max("score").alias("score"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "head")
+    near = met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k)
+    scored = near.join(held.select("head", "ids").hint("merge"), "head").select("query_id", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
@@ -132,8 +172,7 @@ def _met(index: LshIndex, held: DataFrame, places: DataFrame, queries: DataFrame
 def cosine_topk_lsh(points: DataFrame, asks: Column, k: int = 10, recall: float = 0.97, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): about the k nearest points by cosine of each row of points for which `asks` holds, itself included; ties to smaller ids.
 
-    Points and queries meet by (table, bucket), an equi-join on hashes of random projections; pairs that met are scored
-    exactly, each once. Buckets are chosen so that a sample's neighbours are found with a chance of `recall`.
+    Points and queries meet by (table, bucket), hashes of random projections, and are scored exactly there. Buckets are chosen so that a sample's neighbours are found with a chance of `recall`.
     Equal vectors are one point with its k smallest ids, so that copies do not fill buckets; rows without a
     direction (null, empty, zero or non-finite vectors), of another length than most, or without an id take no part.
     """
