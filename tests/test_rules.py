@@ -243,6 +243,16 @@ def test_probe_strips_of_images_of_several_sizes(spark):
     assert lines.count() == len({(i, s, y) for i, s, x, y, *_ in got})
 
 
+def test_images_are_made_row_by_row(spark):
+    from tests.conftest import SF
+    from vellum.plans import fixtures
+
+    rows = fixtures.image_rows(fixtures.load(spark, SF, "images"))
+    assert sorted(rows.collect()) == sorted(fixtures.coded_images(fixtures.load(spark, SF, "pixels")).collect())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "explode" not in plan
+
+
 def test_entity_density_is_the_same_with_and_without_digits(spark):
     """One formula for all texts, against the one that looks for numbers only where digits are."""
     texts = ["", None, "pay EUR or usd, $ and £", "no hits here", "12x of (1,200) USD, FY24", "keys and 40 MW\nAB12345678Z", "sq ft in Q3", "\u0663x of \u0664%", "ABCDEFGHIJ", "FY\u0662\u0663 usd"]

@@ -8,7 +8,7 @@ from vellum.functions import geometry as G
 from vellum.functions import text as T
 from vellum.operators import figures as P
 from vellum.operators import regions as R
-from vellum.plans.fixtures import coded_images, ctes, load
+from vellum.plans.fixtures import ctes, image_rows, load
 from vellum.plans.registry import query
 from vellum.plans.scalars import _BYTE, _CLIP, _SEARCH, _TOK, CHROMATIC, HUES
 
@@ -176,7 +176,7 @@ def d4(spark, d):
 @query("d4_probe_strips", _PIX + " SELECT image_id, seq, direction, dir_no, dist, y, r, g, b FROM found")
 def d4s(spark, d):
     """The same on images as rows of bytes, of which only the strips are read."""
-    return P.raster_probe_images(load(spark, d, "probes"), coded_images(load(spark, d, "pixels")), reach=3)
+    return P.raster_probe_images(load(spark, d, "probes"), image_rows(load(spark, d, "images")), reach=3)
 
 
 @query("d5_best_candidate", _PIX + " SELECT image_id, seq, direction, dist, printf('#%02x%02x%02x', r, g, b) AS hex FROM found QUALIFY ROW_NUMBER() OVER (PARTITION BY image_id, seq ORDER BY dist, dir_no) = 1")
