@@ -253,6 +253,14 @@ def test_images_are_made_row_by_row(spark):
     assert "collect_list" not in plan and "explode" not in plan
 
 
+def test_pixels_of_strips_are_made_once(spark):
+    from tests.conftest import SF
+    from vellum.plans import fixtures
+
+    met = P.raster_probe_images(fixtures.load(spark, SF, "probes"), fixtures.image_rows(fixtures.load(spark, SF, "images")), reach=3)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("array_min(") == 1
+
+
 def test_entity_density_is_the_same_with_and_without_digits(spark):
     """One formula for all texts, against the one that looks for numbers only where digits are."""
     texts = ["", None, "pay EUR or usd, $ and £", "no hits here", "12x of (1,200) USD, FY24", "keys and 40 MW\nAB12345678Z", "sq ft in Q3", "\u0663x of \u0664%", "ABCDEFGHIJ", "FY\u0662\u0663 usd"]

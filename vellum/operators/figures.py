@@ -160,8 +160,9 @@ def raster_probe_images(probes: DataFrame, images: DataFrame, reach: int, gap: i
         return F.struct(F.abs(F.greatest(F.col("x0"), F.lit(0)) + at - F.col("edge")).alias("dist"), F.col("y").cast("long").alias("y"), *(v.alias(c) for c, v in rgb.items()))
 
     lit = F.filter(F.transform(F.sequence(F.lit(0), last), pixel), lambda p: C.chromatic(p["r"], p["g"], p["b"]))
-    best = found.select(F.col("origin").alias("image_id"), "seq", "direction", "dir_no", F.array_min(lit).alias("m")).filter("m IS NOT NULL")
-    return best.groupBy("image_id", "seq", "direction", "dir_no").agg(F.min("m").alias("m")).select(*_FOUND)
+    best = found.select(F.col("origin").alias("image_id"), "seq", "direction", "dir_no", F.array_min(lit).alias("m"))
+    # Stretches without a chromatic pixel go after the grouping: a filter before it would make all pixels a second time.
+    return best.groupBy("image_id", "seq", "direction", "dir_no").agg(F.min("m").alias("m")).filter("m IS NOT NULL").select(*_FOUND)
 
 
 def best_candidate(found: DataFrame) -> DataFrame:
