@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -218,6 +219,38 @@ def test_repeats(spark, monkeypatch, small):
     assert Counter(map(tuple, got.collect())) == cut_out(rows)
 
 
+def test_repeats_in_many_parts(spark, monkeypatch):
+    """Parts and shards grow in number with the texts, and a task judges several, one after another."""
+    dealt = []
+    pack = suffix._pack_anchors
+    monkeypatch.setattr(suffix, "_pack_anchors", lambda parts: dealt.append(parts) or pack(parts))
+    monkeypatch.setattr(suffix, "PART_BYTES", 500)
+    monkeypatch.setattr(suffix, "CLASSES", 2)
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdef ") for _ in range(400)) for _ in range(3)]
+    rows = [(-1, base[0] * 2)]
+    for i in range(90):
+        x = list(base[i % 3])
+        for _ in range(2):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        rows.append((i, "".join(x)))
+    got = suffix.digest(suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter(map(tuple, got.collect())) == cut_out(rows)
+    assert dealt == [-(-sum(len(t) for _, t in rows) // 500)]
+
+
+def test_cells_of_many_near_copies_are_small():
+    """An index takes a cell whole: 100 anchors of one stretch, each with 900 different surroundings, aren't one cell."""
+    n, near = 100, 900
+    a = np.repeat(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), near)
+    c = np.arange(n * near, dtype=np.uint64)
+    packed = (a.tobytes(), c.tobytes(), np.tile(np.arange(near, dtype="<u2"), n).tobytes(), np.repeat(np.arange(n, dtype="<u4") * 39, near).tobytes(), np.arange(near, dtype="<i8").tobytes(), np.zeros(near, "<i8").tobytes(), np.zeros(near, "<u4").tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], suffix._PACKED)
+    routes = np.concatenate([np.frombuffer(x, "<u8") for b in suffix._judge_anchors()(iter([batch])) for x in b.column("routes").to_pylist()])
+    assert len(routes) == n * near
+    assert np.unique(routes, return_counts=True)[1].max() * (suffix.SPAN + suffix.LONG) < 2 * suffix.INDEX_BYTES
+
+
 def test_repeats_edges(awkward):
     rows = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect() if r.doc_id != 12]
     docs = awkward.filter("doc_id IS NULL OR doc_id <> 12")
