@@ -173,6 +173,40 @@ def test_ngram_join_in_one_part(spark, monkeypatch, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(rows)
 
 
+def test_untried_pairs(spark):
+    """Pairs that many cells propose are one each before they meet those already tried."""
+    found = spark.createDataFrame([(1, 2, 0)] * 50 + [(1, 3, 0)] * 9 + [(4, 4, 7), (2, 3, 0)], "a long, b long, more long")
+    got = jaccard.untried(found, spark.createDataFrame([(2, 3), (8, 9)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3)]
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_first_turns_ask_in_few_cells(spark, monkeypatch):
+    """In the turn after the first links a point asks in FIRST_CELLS of its cells at most; the links stay the same."""
+    asked = []
+    candidates = jaccard.candidates
+
+    def counted(members, turn, parts):
+        if turn == 1:
+            asked.append(members.filter("asks = 1").groupBy("pid").count().agg({"count": "max"}).first()[0] or 0)
+        return candidates(members, turn, parts)
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    monkeypatch.setattr(jaccard, "FIRST_CELLS", 1)
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(400)]
+    rows, start = [], [rng.choice(words) for _ in range(80)]
+    for i in range(60):
+        w = list(start)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        start = w if i % 6 == 0 else start
+        rows.append((i, " ".join(w)))
+    got = jaccard.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(rows)
+    assert asked and max(asked) <= 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]

@@ -32,7 +32,7 @@ NUM, DEN = 75, 100
 #: Points of a cell in one R-tree at most; larger cells are several blocks.
 BLOCK = 2_048
 LEAF = 16
-#: Cells of each point that the first turn looks at.
+#: Cells of each point that turns 0 and 1 look at.
 FIRST_CELLS = 8
 #: Sampled documents, and how many of them must share a token for it to go last in the order.
 SAMPLE_ROWS = 20_000
@@ -454,6 +454,12 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long, more long")
 
 
+def untried(found: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs (a, b) of candidates(), each once, that aren't among tried: pairs found in many cells meet before they are compared."""
+    rows = found.filter("a <> b").select("a", "b", F.lit(False).alias("old")).unionByName(tried.select("a", "b", F.lit(True).alias("old")))
+    return rows.groupBy("a", "b").agg(F.max("old").alias("old")).filter("NOT old").select("a", "b")
+
+
 def links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose texts (pid, t) have the similarity."""
 
@@ -602,15 +608,16 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     # Turn 0: best partners, of each point in its FIRST_CELLS largest cells only; in cells of several blocks, a few pilots ask in all of them.
     sizes = cell.groupBy("cell").agg(F.count("*").alias("m"))
     rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("m"), "cell"))
-    largest = cell.join(sizes, "cell").withColumn("k", rank).filter(F.col("k") <= FIRST_CELLS).select("pid", "cell")
+    largest = settle(cell.join(sizes, "cell").withColumn("k", rank).filter(F.col("k") <= FIRST_CELLS).select("cell", "block", "pid"), "cells")
     pilots = many.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("pilot"))).filter("k <= 4").select("cell", F.col("pilot").alias("pid"), F.col("block").alias("home"))
     guests = pilots.join(many.select("cell", "block"), "cell").filter("block <> home").select("cell", "block", "pid").join(point_of, "pid")
     shape = ["cell", "block", "pid", "n", "counts", "label", "asks"]
-    first = cell.join(largest, ["pid", "cell"]).join(point_of, "pid").withColumn("asks", F.lit(1)).unionByName(guests.withColumn("asks", F.lit(2))).withColumn("label", F.col("pid"))
+    first = largest.join(point_of, "pid").withColumn("asks", F.lit(1)).unionByName(guests.withColumn("asks", F.lit(2))).withColumn("label", F.col("pid"))
     tried = settle(candidates(first.select(shape), 0, parts).filter("a <> b").select("a", "b").distinct(), "tried")
     edges = settle(links(tried, texts, words), "links")
-    # Later turns: all cells in which pairs may be left that no turn has tried.
-    turn, open_ = 1, cell
+    # Turn 1: the same cells with the labels so far, until hardly any new links are found: else each point of a growing group asks
+    # in all of its cells, though its first link would do. Later turns: all cells in which pairs may be left that no turn has tried.
+    turn, open_ = 1, largest
     label = settle(components(edges), "labels")
     while True:
         now = open_.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
@@ -622,19 +629,20 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
         guests = now.filter("asks = 1").withColumnRenamed("block", "home").join(many.select("cell", "block"), "cell").filter("block <> home").withColumn("asks", F.lit(2))
         rows = now.select("cell", "block", "pid", "label", "asks").unionByName(guests.select("cell", "block", "pid", "label", "asks")).join(point_of, "pid")
         found = settle(candidates(rows.select(shape), turn, parts), "found")
-        fresh = settle(found.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        fresh = settle(untried(found, tried), "tried")
         new = settle(links(fresh, texts, words), "links")
         some = new.count()
         if some:
             edges = settle(edges.unionByName(new).distinct(), "links")
         left = found.filter("a = b").select(F.col("a").alias("cell")).distinct()
-        if not left.limit(1).count():
+        none = not left.limit(1).count()
+        if none and turn > 1:
             break
-        open_ = settle(open_.join(left, "cell", "left_semi"), "cells")
         tried = tried.unionByName(fresh)
         # A turn that links well is made again with the new labels before more places are tried.
-        if 10 * some <= fresh.count():
-            turn += 1
+        on = none or 10 * some <= fresh.count()
+        open_ = cell if on and turn == 1 else settle(open_.join(left, "cell", "left_semi"), "cells")
+        turn += on
         if some:
             label = settle(components(edges), "labels")
     if some:
