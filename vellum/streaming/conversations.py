@@ -22,19 +22,21 @@ class Accumulate(StatefulProcessor):
         self.said = handle.getMapState("said", TURN, "n_chars long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (names of the interface)
-        first = None
+        # The state is read once, in order to know what is new: asking for each message would be a call each.
+        said, first = {tuple(k): v[0] for k, v in self.said.iterator()}, None
         place = lambda m: tuple((v is not None, v) for v in m)  # noqa: E731  nulls first
         for frame in rows:
             for m in frame[["turn", "role", "text"]].astype(object).itertuples(index=False, name=None):
                 m = tuple(None if pd.isna(v) else v for v in m)
                 m = (None if m[0] is None else int(m[0]), *m[1:])
-                if not self.said.containsKey(m):
-                    self.said.updateValue(m, (len(m[2] or ""),))
+                if m not in said:
+                    said[m] = len(m[2] or "")
+                    self.said.updateValue(m, (said[m],))
                     first = m if first is None else min(first, m, key=place)
         if first is None:
             return
         out, n, chars = [], 0, 0
-        for m, size in sorted(((tuple(k), v[0]) for k, v in self.said.iterator()), key=lambda x: place(x[0])):
+        for m, size in sorted(said.items(), key=lambda x: place(x[0])):
             n, chars = n + 1, chars + size
             if place(m) >= place(first):
                 out.append((key[0], *m, n, chars))
