@@ -69,7 +69,7 @@ class Snapshots:
         rows = merge(self._read({b: w for b, w in old.items() if b in set(touched)}), batch).select(*self.schema.names)
         target = f"{self.path}/data/version={new}"
         # A bucket with very many rows is several files: Spark splits large partitions of a rebalance.
-        rows.withColumn("bucket", self.bucket_of(F.col(self.key))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        rows.withColumn("bucket", self.bucket_of(F.col(self.key))).hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(target)
         written = [r.bucket for r in self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(target).select("bucket").distinct().collect()]
         if set(written) - set(touched):
             raise ValueError("merge gave rows of other buckets than the batch's")
