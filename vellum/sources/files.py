@@ -68,7 +68,7 @@ def blob_path(folder: Column, name: Column, kind: str = "json") -> Column:
 def write_blobs(blobs: DataFrame, path: str, kind: str = "json") -> None:
     """Add (folder, file_name, body) of a kind, json or md, to the Parquet store at path, a part for each folder; checked by blob_path."""
     good = blobs.withColumns({"blob_path": blob_path(F.col("folder"), F.col("file_name"), kind), "kind": F.lit(kind)})
-    good.write.mode("append").partitionBy("folder").parquet(path)
+    good.write.mode("append").option("compression", "zstd").partitionBy("folder").parquet(path)
 
 
 def load_blobs(chunks: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
