@@ -181,6 +181,26 @@ def test_untried_pairs(spark):
     assert "Join" not in got._jdf.queryExecution().toString()
 
 
+def test_pairs_of_like_cells_are_proposed_once(spark):
+    """Cells of the same points that go to one task propose each pair once, however many they are."""
+    counts = bytes([1] * jaccard.GROUPS)
+    rows = [(c, 0, i, jaccard.GROUPS, counts, i, 1, 5) for c in range(3_000) for i in range(4)]
+    members = spark.createDataFrame(rows, "cell long, block int, pid long, n long, counts binary, label long, asks int, near long")
+    got = jaccard.candidates(members, 2, 4).collect()
+    assert sorted((r.a, r.b) for r in got if r.a != r.b) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def test_small_frequent_cells_are_one_block(spark):
+    """A frequent token's cell has the blocks that its points need, however many parts its postings came in."""
+    rows = [(i, " ".join([*(f"w{j}" for j in range(40)), f"end{i}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    point = jaccard.points(docs, 5, "text", "doc_id")
+    classes = point.groupBy("pid").agg(F.min("n").alias("n"))
+    frequent = jaccard.frequent_tokens(docs, 5, "text", "doc_id", 4)
+    blocks = jaccard.cells(docs, classes, 5, "text", 4, frequent).groupBy("cell").agg(F.countDistinct("block").alias("k"), F.count("*").alias("n")).collect()
+    assert len(frequent) and blocks and {(r.k, r.n) for r in blocks} == {(1, 60)}
+
+
 def test_first_turns_ask_in_few_cells(spark, monkeypatch):
     """In the turn after the first links a point asks in FIRST_CELLS of its cells at most; the links stay the same."""
     asked = []

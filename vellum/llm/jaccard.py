@@ -32,6 +32,10 @@ NUM, DEN = 75, 100
 #: Points of a cell in one R-tree at most; larger cells are several blocks.
 BLOCK = 2_048
 LEAF = 16
+#: Rows of cells with one smallest member that a task gets together, about.
+LOT_ROWS = 32_768
+#: Pairs that a task remembers, so as not to propose them again.
+SEEN_PAIRS = 1 << 20
 #: Cells of each point that turns 0 and 1 look at.
 FIRST_CELLS = 8
 #: Sampled documents, and how many of them must share a token for it to go last in the order.
@@ -256,7 +260,7 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
     """(cell, block, pid): who meets whom, for cells of two points or more, without cells that others contain.
 
     A cell of a token that is not frequent is small against the table (it would be in the sample's list);
-    frequent ones are dealt out in SALTS parts and blocks and never gathered.
+    frequent ones are dealt out in SALTS parts, then in blocks of about BLOCK points, and never gathered.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +298,10 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
     met = flat("salt = -2").groupBy("pid").agg(F.sum("met").alias("met"))
     able = met.join(classes.select("pid", "n"), "pid").filter(F.col("met") >= F.floor(F.ceil(F.col("n") * NUM / DEN) / 10) + 1).select("pid")
     left = settle(flat("salt >= -1").select("cell", "salt", "pid").join(able, "pid"), "routes")
-    # Frequent tokens: blocks of bounded size by a hash of the point.
+    # Frequent tokens: blocks of bounded size by a hash of the point. As many as the whole cell needs, not its parts: points ask in every block.
     hot = left.filter("salt >= 0")
-    split = hot.groupBy("cell", "salt").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    hot = hot.join(split, ["cell", "salt"]).select("cell", (F.col("salt") * (1 << 20) + F.pmod(F.xxhash64("pid"), F.col("k"))).cast("int").alias("block"), "pid")
+    split = hot.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    hot = hot.join(split, "cell").select("cell", F.pmod(F.xxhash64("pid"), F.col("k")).cast("int").alias("block"), "pid")
     plain = left.filter("salt < 0").groupBy("cell").agg(F.collect_list("pid").alias("members"), F.min("pid").alias("low")).filter(F.size("members") > 1)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,6 +381,9 @@ def _reach(turn: int) -> int:
 def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
     """(a, b, more) of one turn, from rows (cell, block, pid, n, counts, label, asks); where a = b, that is a cell, and more its pairs left for later turns.
 
+    A further column near, the same in all rows of a cell, brings cells to one task: two points are mostly together in many cells,
+    and a task proposes them once.
+
     Turn 0 proposes each point's best partner in its block. Later turns propose, for each asking point,
     the first partners in the block, more in each turn, best bound first, without those of its own label.
     In the last turn, which leaves none, every pair of different labels with an asking point is proposed.
@@ -422,8 +429,18 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sofar = [], 0
+        seen = np.zeros((0, 2), np.int64)
+
+        def unseen(pairs):
+            """Those of different pairs that aren't among seen."""
+            both = np.concatenate((seen, pairs))
+            order = np.lexsort((both[:, 1], both[:, 0]))  # stable: what is seen goes first
+            new = np.ones(len(both), bool)
+            new[order[1:]] = (both[order[1:]] != both[order[:-1]]).any(1)
+            return pairs[new[len(seen) :]]
 
         def done(cols):
+            nonlocal seen
             key, *cols = cols
             cols.append(np.arange(len(key)))
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
@@ -433,6 +450,8 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
                 found += large(*(c[i : i + m] for c in cols))
             a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
             pairs = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            pairs = unseen(pairs)
+            seen = np.concatenate((seen, pairs)) if len(seen) + len(pairs) <= SEEN_PAIRS else pairs[:SEEN_PAIRS]  # pairs met again become one later
             left, more = np.unique(np.concatenate([np.zeros(0, np.int64), *(key[f[2], 0] for f in found)]), return_counts=True)
             a, b = (np.concatenate((pairs[:, i], left)) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate((np.zeros(len(pairs), np.int64), more)))], ["a", "b", "more"])
@@ -450,8 +469,9 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
         if held:
             yield done([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    rows = members.select("cell", "block", "pid", "n", "counts", "label", F.col("asks").cast("int").alias("asks"))
-    return rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long, more long")
+    near = F.col("near" if "near" in members.columns else "cell").alias("near")
+    rows = members.select("cell", "block", "pid", "n", "counts", "label", F.col("asks").cast("int").alias("asks"), near)
+    return rows.repartition(parts, "near", "block").sortWithinPartitions("near", "cell", "block").mapInArrow(run, "a long, b long, more long")
 
 
 def untried(found: DataFrame, tried: DataFrame) -> DataFrame:
@@ -621,14 +641,18 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     label = settle(components(edges), "labels")
     while True:
         now = open_.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
-        votes = now.groupBy("cell", "label").count()
-        main = votes.groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("cell", F.col("m.label").alias("main"))
+        votes = now.groupBy("cell", "label").agg(F.count("*").alias("count"), F.min("pid").alias("low"))
+        main = votes.groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"), F.min("low").alias("low"), F.sum("count").alias("size")).filter("labels > 1").select("cell", F.col("m.label").alias("main"), "low", "size")
+        # Cells that hold the same points mostly have the same smallest one; a bounded number of their rows go to one task.
+        lots = main.groupBy("low").agg(F.ceil(F.sum("size") / LOT_ROWS).alias("lots"))
+        main = main.join(lots, "low").select("cell", "main", F.xxhash64("low", F.pmod(F.xxhash64("cell"), "lots")).alias("near"))
         # Points outside their cell's main component ask in all blocks of the cell. Of two points with different labels one
         # asks, so a cell in which no asking point has pairs left is done for good.
         now = now.join(main, "cell").withColumn("asks", F.when(F.col("label") != F.col("main"), 1).otherwise(0))
         guests = now.filter("asks = 1").withColumnRenamed("block", "home").join(many.select("cell", "block"), "cell").filter("block <> home").withColumn("asks", F.lit(2))
-        rows = now.select("cell", "block", "pid", "label", "asks").unionByName(guests.select("cell", "block", "pid", "label", "asks")).join(point_of, "pid")
-        found = settle(candidates(rows.select(shape), turn, parts), "found")
+        asked = ["cell", "block", "pid", "label", "asks", "near"]
+        rows = now.select(asked).unionByName(guests.select(asked)).join(point_of, "pid")
+        found = settle(candidates(rows.select(*shape, "near"), turn, parts), "found")
         fresh = settle(untried(found, tried), "tried")
         new = settle(links(fresh, texts, words), "links")
         some = new.count()
