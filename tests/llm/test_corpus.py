@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vellum.llm import ann, components, jaccard, mixing, packing, store, suffix
-from vellum.llm.shared import range_bounds, shared_dir
+from vellum.llm.shared import LEAST_TASKS, fewer, range_bounds, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWEST = -(1 << 70)
@@ -239,6 +239,28 @@ def test_components(spark):
     assert got == {x: root(x) for x in list(up)}
 
 
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    """Steps that are made again and again don't go to all partitions, where Spark doesn't bring these together; many rows still do."""
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+        assert {r.root for r in found.collect()} == {0} and found.rdd.getNumPartitions() <= LEAST_TASKS
+        rows = spark.createDataFrame([(1, 0, i, 20, bytes(jaccard.GROUPS), i, 1) for i in range(9)], "cell long, block int, pid long, n long, counts binary, label long, asks int")
+        assert jaccard.candidates(rows, 1, 5).rdd.getNumPartitions() == 5
+        assert fewer(rows.repartition(60, "pid"), 10**9, 10**6).rdd.getNumPartitions() == 60
+        dealt, candidates = [], jaccard.candidates
+        monkeypatch.setattr(jaccard, "candidates", lambda members, turn, parts: dealt.append(parts) or candidates(members, turn, parts))
+        text = " ".join(f"w{i}" for i in range(40))
+        assert {r.component_id for r in jaccard.ngram_join(spark.createDataFrame([(i, f"{text} end{i}") for i in range(4)], "doc_id long, text string")).collect()} == {0}
+        assert len(dealt) > 1 and max(dealt) <= LEAST_TASKS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut_out(rows):
     seen, out = set(), {}
     for i, b in sorted({(LOWEST if i is None else i, (t or "").encode()) for i, t in rows}):

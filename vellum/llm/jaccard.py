@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components
-from vellum.llm.shared import settle
+from vellum.llm.shared import LEAST_TASKS, fewer, settle
 from vellum.llm.textbytes import Texts, fold, mix, slices, windows
 
 GROUPS = 256
@@ -34,6 +34,10 @@ BLOCK = 2_048
 LEAF = 16
 #: Rows of cells with one smallest member that a task gets together, about.
 LOT_ROWS = 32_768
+#: Rows of one task, about, where cells' points are only joined and counted, where they are searched, and where pairs' texts are compared.
+JOIN_ROWS = 50_000
+SEARCH_ROWS = 2_048
+PAIR_ROWS = 1_024
 #: Pairs that a task remembers, so as not to propose them again.
 SEEN_PAIRS = 1 << 20
 #: Cells of each point that turns 0 and 1 look at.
@@ -382,7 +386,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
     """(a, b, more) of one turn, from rows (cell, block, pid, n, counts, label, asks); where a = b, that is a cell, and more its pairs left for later turns.
 
     A further column near, the same in all rows of a cell, brings cells to one task: two points are mostly together in many cells,
-    and a task proposes them once.
+    and a task proposes them once. parts: tasks at most, whatever least number of partitions a session holds to.
 
     Turn 0 proposes each point's best partner in its block. Later turns propose, for each asking point,
     the first partners in the block, more in each turn, best bound first, without those of its own label.
@@ -471,7 +475,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
 
     near = F.col("near" if "near" in members.columns else "cell").alias("near")
     rows = members.select("cell", "block", "pid", "n", "counts", "label", F.col("asks").cast("int").alias("asks"), near)
-    return rows.repartition(parts, "near", "block").sortWithinPartitions("near", "cell", "block").mapInArrow(run, "a long, b long, more long")
+    return rows.repartition(parts, "near", "block").coalesce(parts).sortWithinPartitions("near", "cell", "block").mapInArrow(run, "a long, b long, more long")
 
 
 def untried(found: DataFrame, tried: DataFrame) -> DataFrame:
@@ -481,7 +485,8 @@ def untried(found: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts (pid, t) have the similarity."""
+    """The pairs (a, b) whose texts (pid, t) have the similarity. Both tables are written ones, so that to count them costs little."""
+    size = max(pairs.count(), texts.count() // 8)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(slices(batches, "ta", 1 << 19), "tb", 1 << 19):
@@ -496,7 +501,8 @@ def links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     left = texts.select(F.col("pid").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("pid").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    met = fewer(fewer(pairs.join(left, "a"), size, PAIR_ROWS).join(right, "b"), size, PAIR_ROWS)
+    return met.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
 def _block_links(pid: np.ndarray, side: np.ndarray, n: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -626,38 +632,42 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     many = settle(blocks.join(blocks.groupBy("cell").count().filter("count > 1"), "cell", "left_semi"), "blocks")
 
     # Turn 0: best partners, of each point in its FIRST_CELLS largest cells only; in cells of several blocks, a few pilots ask in all of them.
+    searchers = lambda n: min(parts, max(LEAST_TASKS, -(-n // SEARCH_ROWS)))
+    size = cell.count()
     sizes = cell.groupBy("cell").agg(F.count("*").alias("m"))
     rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("m"), "cell"))
-    largest = settle(cell.join(sizes, "cell").withColumn("k", rank).filter(F.col("k") <= FIRST_CELLS).select("cell", "block", "pid"), "cells")
+    largest = settle(fewer(fewer(cell.join(sizes, "cell"), size, JOIN_ROWS).withColumn("k", rank).filter(F.col("k") <= FIRST_CELLS).select("cell", "block", "pid"), size, JOIN_ROWS), "cells")
     pilots = many.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("pilot"))).filter("k <= 4").select("cell", F.col("pilot").alias("pid"), F.col("block").alias("home"))
     guests = pilots.join(many.select("cell", "block"), "cell").filter("block <> home").select("cell", "block", "pid").join(point_of, "pid")
     shape = ["cell", "block", "pid", "n", "counts", "label", "asks"]
     first = largest.join(point_of, "pid").withColumn("asks", F.lit(1)).unionByName(guests.withColumn("asks", F.lit(2))).withColumn("label", F.col("pid"))
-    tried = settle(candidates(first.select(shape), 0, parts).filter("a <> b").select("a", "b").distinct(), "tried")
+    tried = settle(fewer(candidates(first.select(shape), 0, searchers(size)).filter("a <> b").select("a", "b").distinct(), size, JOIN_ROWS), "tried")
     edges = settle(links(tried, texts, words), "links")
     # Turn 1: the same cells with the labels so far, until hardly any new links are found: else each point of a growing group asks
     # in all of its cells, though its first link would do. Later turns: all cells in which pairs may be left that no turn has tried.
     turn, open_ = 1, largest
     label = settle(components(edges), "labels")
     while True:
-        now = open_.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left").select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
-        votes = now.groupBy("cell", "label").agg(F.count("*").alias("count"), F.min("pid").alias("low"))
-        main = votes.groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"), F.min("low").alias("low"), F.sum("count").alias("size")).filter("labels > 1").select("cell", F.col("m.label").alias("main"), "low", "size")
+        size = open_.count()
+        few = lambda df, size=size: fewer(df, size, JOIN_ROWS)
+        now = few(open_.join(label.select(F.col("node").alias("pid"), "root"), "pid", "left")).select("cell", "block", "pid", F.coalesce("root", "pid").alias("label"))
+        votes = few(now.groupBy("cell", "label").agg(F.count("*").alias("count"), F.min("pid").alias("low")))
+        main = few(votes.groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"), F.min("low").alias("low"), F.sum("count").alias("size")).filter("labels > 1")).select("cell", F.col("m.label").alias("main"), "low", "size")
         # Cells that hold the same points mostly have the same smallest one; a bounded number of their rows go to one task.
         lots = main.groupBy("low").agg(F.ceil(F.sum("size") / LOT_ROWS).alias("lots"))
-        main = main.join(lots, "low").select("cell", "main", F.xxhash64("low", F.pmod(F.xxhash64("cell"), "lots")).alias("near"))
+        main = few(main.join(lots, "low")).select("cell", "main", F.xxhash64("low", F.pmod(F.xxhash64("cell"), "lots")).alias("near"))
         # Points outside their cell's main component ask in all blocks of the cell. Of two points with different labels one
         # asks, so a cell in which no asking point has pairs left is done for good.
-        now = now.join(main, "cell").withColumn("asks", F.when(F.col("label") != F.col("main"), 1).otherwise(0))
-        guests = now.filter("asks = 1").withColumnRenamed("block", "home").join(many.select("cell", "block"), "cell").filter("block <> home").withColumn("asks", F.lit(2))
+        now = few(now.join(main, "cell")).withColumn("asks", F.when(F.col("label") != F.col("main"), 1).otherwise(0))
+        guests = few(now.filter("asks = 1").withColumnRenamed("block", "home").join(many.select("cell", "block"), "cell")).filter("block <> home").withColumn("asks", F.lit(2))
         asked = ["cell", "block", "pid", "label", "asks", "near"]
-        rows = now.select(asked).unionByName(guests.select(asked)).join(point_of, "pid")
-        found = settle(candidates(rows.select(*shape, "near"), turn, parts), "found")
-        fresh = settle(untried(found, tried), "tried")
+        rows = fewer(now.select(asked).unionByName(guests.select(asked)).join(point_of, "pid"), size, SEARCH_ROWS)
+        found = settle(candidates(rows.select(*shape, "near"), turn, searchers(size)), "found")
+        fresh = settle(fewer(untried(found, tried), found.count() + tried.count(), JOIN_ROWS), "tried")
         new = settle(links(fresh, texts, words), "links")
         some = new.count()
         if some:
-            edges = settle(edges.unionByName(new).distinct(), "links")
+            edges = settle(fewer(edges.unionByName(new).distinct(), edges.count() + some, JOIN_ROWS), "links")
         left = found.filter("a = b").select(F.col("a").alias("cell")).distinct()
         none = not left.limit(1).count()
         if none and turn > 1:
@@ -665,7 +675,7 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
         tried = tried.unionByName(fresh)
         # A turn that links well is made again with the new labels before more places are tried.
         on = none or 10 * some <= fresh.count()
-        open_ = cell if on and turn == 1 else settle(open_.join(left, "cell", "left_semi"), "cells")
+        open_ = cell if on and turn == 1 else settle(few(open_.join(left, "cell", "left_semi")), "cells")
         turn += on
         if some:
             label = settle(components(edges), "labels")
