@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from vellum.llm import ann, components, jaccard, mixing, packing, store, suffix
 from vellum.llm.shared import LEAST_TASKS, fewer, range_bounds, shared_dir
+from vellum.llm.textbytes import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWEST = -(1 << 70)
@@ -201,6 +202,56 @@ def test_small_frequent_cells_are_one_block(spark):
     assert len(frequent) and blocks and {(r.k, r.n) for r in blocks} == {(1, 60)}
 
 
+def test_sketches_bound_the_overlap():
+    """Sketches never differ in more bits than the sets in tokens, whatever their lengths, and tell large unrelated sets apart."""
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 63, 120_000).astype(np.uint64))
+    few = jaccard.SKETCH_FROM + 1
+    sets = [np.sort(rng.choice(pool, m, replace=False)) for m in (few - 1, few, 2_000, 2_500, 9_000, 50_000)]
+    sets += [np.sort(np.concatenate((x[: len(x) * 9 // 10], rng.choice(pool, len(x) // 12)))) for x in sets]
+    sets = [np.unique(x) for x in sets]
+    n = np.array([len(x) for x in sets])
+    sketch = np.array(jaccard.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n), object)
+    assert sketch[0] == b"" and max(map(len, sketch)) == jaccard.SKETCH_BITS // 8
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    least = jaccard.differences(sketch, a, b)
+    assert (least <= real).all() and (least[a == b] == 0).all()
+    like = 7 * real <= n[a] + n[b]
+    apart = (n[a] > few) & (n[b] > few) & (n[a] < 10_000) & (n[b] < 10_000) & (3 * n[a] <= 4 * n[b]) & (3 * n[b] <= 4 * n[a]) & (2 * real > n[a] + n[b])
+    assert like.sum() > len(sets) and apart.any() and (7 * least[apart] > (n[a] + n[b])[apart]).all()
+
+
+def test_large_unrelated_sets_are_not_proposed(spark):
+    """Sets of thousands of tokens have like counts, whatever they hold; only a set and its near copy are a pair to compare."""
+    rng = random.Random(12)
+    text = lambda: [f"u{rng.randrange(10**9)}" for _ in range(6_000)]
+    texts = [text() for _ in range(12)]
+    texts.append([*texts[0][:5_900], *text()[:80]])
+    batch = pa.array([" ".join(t) for t in texts])
+    doc, token = jaccard.shingles(Texts(batch, lower=True))
+    n = np.bincount(doc)
+    counts = [np.minimum(np.bincount((token[doc == i] % np.uint64(jaccard.GROUPS)).astype(int), minlength=jaccard.GROUPS), 255).astype("u1").tobytes() for i in range(len(n))]
+    rows = [(c, 0, i, int(n[i]), counts[i], i, 1, x) for c in range(2) for i, x in enumerate(jaccard.sketches(doc, token, n)) if c or i != 5]
+    members = spark.createDataFrame(rows, "cell long, block int, pid long, n long, counts binary, label long, asks int, sketch binary")
+    pairs = lambda df: {(r.a, r.b) for r in jaccard.candidates(df, 2, 2).collect() if r.a != r.b}
+    assert len(pairs(members.drop("sketch"))) > 30
+    assert pairs(members) == {(0, 12)}
+
+
+def test_company_is_of_like_size(spark):
+    """Two sets that share a few tokens don't meet because each one is also part of a far larger set."""
+    word = lambda g, m: [f"{g}{i}" for i in range(m)]
+    shared = word("s", 8)
+    rows = [[*word("x", 60), *shared], [*word("z", 60), *shared], [*word("x", 60), *word("v", 300)], [*word("z", 60), *word("w", 500)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    classes = jaccard.points(docs, 5, "text", "doc_id").select("pid", "n")
+    assert jaccard.cells(docs, classes, 5, "text", 4, np.zeros(0, np.uint64)).count() == 0
+    near = spark.createDataFrame([(0, " ".join(rows[0])), (1, " ".join([*rows[0], "end"]))], "doc_id long, text string")
+    classes = jaccard.points(near, 5, "text", "doc_id").select("pid", "n")
+    assert jaccard.cells(near, classes, 5, "text", 4, np.zeros(0, np.uint64)).select("pid").distinct().count() == 2
+
+
 def test_first_turns_ask_in_few_cells(spark, monkeypatch):
     """In the turn after the first links a point asks in FIRST_CELLS of its cells at most; the links stay the same."""
     asked = []

@@ -8,8 +8,12 @@ One tree over all documents would not prune: far fewer dimensions than tokens ma
 alike. So the points are first routed to cells: with J >= 0.75, two documents share k tokens or more
 within the first n - ceil(0.75 n) + k(n) of each one's tokens in a common order, so both are in those tokens'
 cells; k(n) is about a tenth of n, and the smaller document's k counts. A document with fewer tokens in
-company than its smallest possible partner's k has no partner and leaves its cells, which is what becomes of most that only share a passage. The order puts tokens that are frequent in
+company than its smallest possible partner's k has no partner and leaves its cells, which is what becomes of most that only share a passage; company is of a
+size that allows the similarity. The order puts tokens that are frequent in
 a sample last (any order is exact; this one keeps cells small). Each cell has R-trees over blocks of its points; pairs that pass the bound are verified on the texts.
+
+Large sets are alike in GROUPS counts whatever they hold, so they also have a sketch: whether the tokens that hash to a bit are odd in number. Bits that
+two sketches differ in are tokens that only one of the sets has, so these bound the overlap, too.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from vellum.llm.textbytes import Texts, fold, mix, slices, windows
 
 GROUPS = 256
 WORDS = 5
+#: Sets of more tokens have a sketch, too: a bit or two for each token, SKETCH_BITS at most (beyond about twice that many tokens it tells little).
+SKETCH_FROM = 1_024
+SKETCH_BITS = 1 << 15
 #: Similarity NUM / DEN, compared in whole numbers.
 NUM, DEN = 75, 100
 #: Points of a cell in one R-tree at most; larger cells are several blocks.
@@ -275,12 +282,6 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
 
         for _, token, pid, size in _gather(batches, frequent):
             hot = _among(token, frequent)
-            # Tokens in company of each point: those of its routing tokens that some other point has, too.
-            _, at, n = np.unique(token, return_inverse=True, return_counts=True)
-            some = hot | (n[at] > 1)
-            who, met = np.unique(pid[some], return_counts=True)
-            if len(who):
-                yield rows(-1, -2, who, met)
             t, p, z = token[~hot], pid[~hot], size[~hot].astype(np.int64)
             # A point stays in a cell only with a neighbour in size that allows the similarity.
             order = np.lexsort((z, t))
@@ -290,6 +291,10 @@ def cells(docs: DataFrame, classes: DataFrame, words: int, text: str, parts: int
             some[1:] = near
             some[:-1] |= near
             t, p = t[some], p[some]
+            # Tokens in company of each point: those of its routing tokens that some such neighbour has, too (of frequent ones, all).
+            who, met = np.unique(np.concatenate((p, pid[hot])), return_counts=True)
+            if len(who):
+                yield rows(-1, -2, who, met)
             if len(t):
                 _, cell = np.unique(t, return_inverse=True)
                 keep = _largest_only(cell, p)[cell]
@@ -342,6 +347,37 @@ def _bounds(counts: np.ndarray, over: np.ndarray, a: np.ndarray, upper: np.ndarr
     return np.concatenate([np.zeros(0, np.int64), *(overlap_bound(counts[a[i : i + step]], over[a[i : i + step]], upper[b[i : i + step]], upper_over[b[i : i + step]]) for i in range(0, len(a), step))])
 
 
+def sketches(doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The sketch of each of the sets of n tokens, empty for those of SKETCH_FROM or fewer: whether the tokens that hash to a bit are odd in number."""
+    out = [b""] * len(n)
+    for i in np.flatnonzero(n > SKETCH_FROM).tolist():
+        bits = min(1 << int(n[i] - 1).bit_length(), SKETCH_BITS)
+        own = token[slice(*np.searchsorted(doc, (i, i + 1)))]
+        out[i] = np.packbits(np.bincount((own >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits).astype("u1") & 1).tobytes()
+    return out
+
+
+def differences(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of bits that sketches a and b (their rows) differ in, which tokens of just one of the two sets do at least; 0 without a sketch.
+
+    A sketch is folded to half its bits by exclusive or, so those of unequal length are compared at the shorter one's.
+    """
+    out = np.zeros(len(a), np.int64)
+    words = np.fromiter(map(len, sketch), np.int64, len(sketch)) // 8
+    pairs = np.flatnonzero((words[a] > 0) & (words[b] > 0))
+    used = np.unique(np.concatenate((a[pairs], b[pairs])))
+    start, flat = np.zeros(len(sketch), np.int64), np.frombuffer(b"".join(sketch[used]), np.uint64)
+    start[used] = np.cumsum(words[used]) - words[used]
+    long = np.stack((words[a[pairs]], words[b[pairs]]), 1)
+    for x, y in np.unique(long, axis=0).tolist():
+        least, like = min(x, y), pairs[(long == (x, y)).all(1)]
+        folded = lambda who, k, least=least: np.bitwise_xor.reduce(flat[start[who][:, None] + np.arange(k)].reshape(len(who), -1, least), axis=1)
+        step = max(1, (1 << 18) // max(x, y))
+        for i in (like[lo : lo + step] for lo in range(0, len(like), step)):
+            out[i] = np.bitwise_count(folded(a[i], x) ^ folded(b[i], y)).sum(1, dtype=np.int64)
+    return out
+
+
 class RTree:
     """R-tree of count vectors, bulk-loaded in order of size: every node has its points' upper corner and size range."""
 
@@ -385,6 +421,7 @@ def _reach(turn: int) -> int:
 def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
     """(a, b, more) of one turn, from rows (cell, block, pid, n, counts, label, asks); where a = b, that is a cell, and more its pairs left for later turns.
 
+    A column sketch, if there is one, has sketches(), which bound the overlap of large sets.
     A further column near, the same in all rows of a cell, brings cells to one task: two points are mostly together in many cells,
     and a task proposes them once. parts: tasks at most, whatever least number of partitions a session holds to.
 
@@ -393,28 +430,31 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
     In the last turn, which leaves none, every pair of different labels with an asking point is proposed.
     """
 
-    def choose(a, b, bound, pid, n, label, asks, at):
+    def choose(a, b, bound, pid, n, label, asks, sketch, at):
         """The pairs of a's with b's that this turn proposes, and the a's whose other pairs are left for later ones."""
         keep = (pid[a] != pid[b]) & (label[a] != label[b])
         if not turn:  # earlier ones only: a tree of proposals, no cycles; those who only ask find later ones too
             keep &= (n[a] > n[b]) | ((n[a] == n[b]) & (pid[a] > pid[b])) | (asks[a] == 2)
         a, b, bound = a[keep], b[keep], bound[keep]
+        bound = np.minimum(bound, (n[a] + n[b] - differences(sketch, a, b)) // 2)
+        keep = (NUM + DEN) * bound >= NUM * (n[a] + n[b])
+        a, b, bound = a[keep], b[keep], bound[keep]
         order = np.lexsort((pid[b], -bound, a))
         a, b = a[order], b[order]
         place = np.arange(len(a)) - np.searchsorted(a, a)
         pick = place < (_reach(turn) if turn else np.where(asks[a] == 2, 4, 1))
         return np.minimum(pid[a], pid[b])[pick], np.maximum(pid[a], pid[b])[pick], at[a[~pick]]
 
-    def large(pid, n, counts, label, asks, at):
+    def large(pid, n, counts, label, asks, sketch, at):
         x = np.flatnonzero(asks < 2)  # 2: a point of another block that only asks here
         tree = RTree(counts[x], n[x])
         ask = np.flatnonzero(asks > 0) if turn else np.arange(len(pid))
         for lo in range(0, len(ask), 512):
             q = ask[lo : lo + 512]
             who, node, bound = tree.search(counts[q], n[q])
-            yield choose(q[who], x[node], bound, pid, n, label, asks, at)
+            yield choose(q[who], x[node], bound, pid, n, label, asks, sketch, at)
 
-    def small(first, size, pid, n, counts, label, asks, at):
+    def small(first, size, pid, n, counts, label, asks, sketch, at):
         """Blocks that are a single leaf, all at once: first and size of each."""
         over = n - counts.sum(1, dtype=np.int64)
         for lo in range(0, len(first), 4_096):
@@ -429,7 +469,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
             a, b = a[keep], b[keep]
             bound = _bounds(counts, over, a, counts, over, b)
             keep = (NUM + DEN) * bound >= NUM * (n[a] + n[b])
-            yield choose(a[keep], b[keep], bound[keep], pid, n, label, asks, at)
+            yield choose(a[keep], b[keep], bound[keep], pid, n, label, asks, sketch, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sofar = [], 0
@@ -463,7 +503,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
         for b in batches:
             key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)], 1)
             counts = np.frombuffer(b"".join(b.column(4).to_pylist()), "u1").reshape(-1, GROUPS)
-            held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(), counts, b.column(5).to_numpy(), b.column(6).to_numpy()))
+            held.append((key, b.column(2).to_numpy(), b.column(3).to_numpy(), counts, b.column(5).to_numpy(), b.column(6).to_numpy(), _objects(b.column(8))))
             sofar += b.num_rows
             if sofar >= 8_192 and (key[0] != key[-1]).any():
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -474,10 +514,17 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
             yield done([np.concatenate(c) for c in zip(*held, strict=True)])
 
     near = F.col("near" if "near" in members.columns else "cell").alias("near")
-    rows = members.select("cell", "block", "pid", "n", "counts", "label", F.col("asks").cast("int").alias("asks"), near)
+    sketch = (F.col("sketch") if "sketch" in members.columns else F.lit(b"")).alias("sketch")
+    rows = members.select("cell", "block", "pid", "n", "counts", "label", F.col("asks").cast("int").alias("asks"), near, sketch)
     return rows.repartition(parts, "near", "block").coalesce(parts).sortWithinPartitions("near", "cell", "block").mapInArrow(run, "a long, b long, more long")
 
 
+def _objects(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
 def untried(found: DataFrame, tried: DataFrame) -> DataFrame:
     """The pairs (a, b) of candidates(), each once, that aren't among tried: pairs found in many cells meet before they are compared."""
     rows = found.filter("a <> b").select("a", "b", F.lit(False).alias("old")).unionByName(tried.select("a", "b", F.lit(True).alias("old")))
@@ -619,14 +666,14 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
             same = pa.array(pid == b.column(1).to_numpy())
             group = (token % np.uint64(GROUPS)).astype(np.int64)
             counts = np.minimum(np.bincount(doc * GROUPS + group, minlength=b.num_rows * GROUPS), 255).astype("u1")
-            columns = [b.column(1), b.column(0), pa.array(n), pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), b.num_rows, [None, pa.py_buffer(counts)]).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.filter(same) for c in columns], ["pid", "t", "n", "counts"])
+            columns = [b.column(1), b.column(0), pa.array(n), pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), b.num_rows, [None, pa.py_buffer(counts)]).cast(pa.binary()), pa.array(sketches(doc, token, n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(same) for c in columns], ["pid", "t", "n", "counts", "sketch"])
 
     # Rows without an id are found by the hash of their text, so that they aren't one key.
     text_of, id_of = docs[text].cast("string"), docs[key].cast("long")
     rows = docs.select(F.coalesce(id_of, F.xxhash64(text_of)).alias("w"), id_of.isNull().alias("void"), text_of.alias("t")).join(wanted, ["w", "void"])
-    texts = settle(rows.select("t", "want").mapInArrow(own, "pid long, t string, n long, counts binary").dropDuplicates(["pid"]), "texts")
-    point_of = texts.select("pid", "n", "counts")
+    texts = settle(rows.select("t", "want").mapInArrow(own, "pid long, t string, n long, counts binary, sketch binary").dropDuplicates(["pid"]), "texts")
+    point_of = texts.select("pid", "n", "counts", "sketch")
     texts = texts.select("pid", "t")
     blocks = cell.groupBy("cell", "block").agg(F.min("pid").alias("pilot"))
     many = settle(blocks.join(blocks.groupBy("cell").count().filter("count > 1"), "cell", "left_semi"), "blocks")
@@ -639,7 +686,7 @@ def _labelled(docs: DataFrame, words: int, parts: int | None, text: str, key: st
     largest = settle(fewer(fewer(cell.join(sizes, "cell"), size, JOIN_ROWS).withColumn("k", rank).filter(F.col("k") <= FIRST_CELLS).select("cell", "block", "pid"), size, JOIN_ROWS), "cells")
     pilots = many.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("pilot"))).filter("k <= 4").select("cell", F.col("pilot").alias("pid"), F.col("block").alias("home"))
     guests = pilots.join(many.select("cell", "block"), "cell").filter("block <> home").select("cell", "block", "pid").join(point_of, "pid")
-    shape = ["cell", "block", "pid", "n", "counts", "label", "asks"]
+    shape = ["cell", "block", "pid", "n", "counts", "label", "asks", "sketch"]
     first = largest.join(point_of, "pid").withColumn("asks", F.lit(1)).unionByName(guests.withColumn("asks", F.lit(2))).withColumn("label", F.col("pid"))
     tried = settle(fewer(candidates(first.select(shape), 0, searchers(size)).filter("a <> b").select("a", "b").distinct(), size, JOIN_ROWS), "tried")
     edges = settle(links(tried, texts, words), "links")
