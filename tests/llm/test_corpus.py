@@ -239,6 +239,21 @@ def test_large_unrelated_sets_are_not_proposed(spark):
     assert pairs(members) == {(0, 12)}
 
 
+def test_blocks_are_chosen_from_together(spark, monkeypatch):
+    """What a turn proposes is the same whether trees' finds are chosen from block by block or many blocks together."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(1, (60, jaccard.GROUPS)).astype("u1")
+    counts[1::2] = counts[::2] * (rng.random((30, jaccard.GROUPS)) > 0.1)
+    rows = [(c, k, i, int(counts[i].sum()), counts[i].tobytes(), i, int(i % 3 > 0)) for c in range(4) for k in range(2) for i in rng.choice(60, 40, replace=False).tolist()]
+    members = spark.createDataFrame(rows, "cell long, block int, pid long, n long, counts binary, label long, asks int")
+    for turn in (0, 1, 2):
+        got = []
+        for pairs in (1, 1 << 18):
+            monkeypatch.setattr(jaccard, "CHOOSE_PAIRS", pairs)
+            got.append(sorted(map(tuple, jaccard.candidates(members, turn, 1).collect())))
+        assert got[0] == got[1] and got[0]
+
+
 def test_company_is_of_like_size(spark):
     """Two sets that share a few tokens don't meet because each one is also part of a far larger set."""
     word = lambda g, m: [f"{g}{i}" for i in range(m)]

@@ -45,6 +45,8 @@ LOT_ROWS = 32_768
 JOIN_ROWS = 50_000
 SEARCH_ROWS = 2_048
 PAIR_ROWS = 1_024
+#: Pairs that a task's trees find before it chooses from them, about.
+CHOOSE_PAIRS = 1 << 18
 #: Pairs that a task remembers, so as not to propose them again.
 SEEN_PAIRS = 1 << 20
 #: Cells of each point that turns 0 and 1 look at.
@@ -368,9 +370,10 @@ def differences(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     used = np.unique(np.concatenate((a[pairs], b[pairs])))
     start, flat = np.zeros(len(sketch), np.int64), np.frombuffer(b"".join(sketch[used]), np.uint64)
     start[used] = np.cumsum(words[used]) - words[used]
-    long = np.stack((words[a[pairs]], words[b[pairs]]), 1)
-    for x, y in np.unique(long, axis=0).tolist():
-        least, like = min(x, y), pairs[(long == (x, y)).all(1)]
+    long = words[a[pairs]] * SKETCH_BITS + words[b[pairs]]
+    for both in np.unique(long).tolist():
+        (x, y), like = divmod(both, SKETCH_BITS), pairs[long == both]
+        least = min(x, y)
         folded = lambda who, k, least=least: np.bitwise_xor.reduce(flat[start[who][:, None] + np.arange(k)].reshape(len(who), -1, least), axis=1)
         step = max(1, (1 << 18) // max(x, y))
         for i in (like[lo : lo + step] for lo in range(0, len(like), step)):
@@ -445,14 +448,29 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
         pick = place < (_reach(turn) if turn else np.where(asks[a] == 2, 4, 1))
         return np.minimum(pid[a], pid[b])[pick], np.maximum(pid[a], pid[b])[pick], at[a[~pick]]
 
-    def large(pid, n, counts, label, asks, sketch, at):
-        x = np.flatnonzero(asks < 2)  # 2: a point of another block that only asks here
-        tree = RTree(counts[x], n[x])
-        ask = np.flatnonzero(asks > 0) if turn else np.arange(len(pid))
-        for lo in range(0, len(ask), 512):
-            q = ask[lo : lo + 512]
-            who, node, bound = tree.search(counts[q], n[q])
-            yield choose(q[who], x[node], bound, pid, n, label, asks, sketch, at)
+    def large(first, size, pid, n, counts, label, asks, sketch, at):
+        """Blocks of several leaves, a tree for each; what their trees find is chosen from together, CHOOSE_PAIRS or more at a time."""
+        held, sofar = [], 0
+
+        def chosen():
+            a, b, bound = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return choose(a, b, bound, pid, n, label, asks, sketch, at)
+
+        for f, m in zip(first.tolist(), size.tolist(), strict=True):
+            x = f + np.flatnonzero(asks[f : f + m] < 2)  # 2: a point of another block that only asks here
+            ask = f + np.flatnonzero(asks[f : f + m] > 0) if turn else np.arange(f, f + m)
+            tree = RTree(counts[x], n[x]) if len(ask) else None
+            for lo in range(0, len(ask), 512):
+                q = ask[lo : lo + 512]
+                who, node, bound = tree.search(counts[q], n[q])
+                held.append((q[who], x[node], bound))
+                sofar += len(who)
+                if sofar >= CHOOSE_PAIRS:
+                    yield chosen()
+                    sofar = 0
+        if held:
+            yield chosen()
 
     def small(first, size, pid, n, counts, label, asks, sketch, at):
         """Blocks that are a single leaf, all at once: first and size of each."""
@@ -489,9 +507,7 @@ def candidates(members: DataFrame, turn: int, parts: int) -> DataFrame:
             cols.append(np.arange(len(key)))
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
             size = np.diff(np.append(first, len(key)))
-            found = list(small(first[size <= LEAF], size[size <= LEAF], *cols))
-            for i, m in zip(first[size > LEAF], size[size > LEAF], strict=True):
-                found += large(*(c[i : i + m] for c in cols))
+            found = [*small(first[size <= LEAF], size[size <= LEAF], *cols), *large(first[size > LEAF], size[size > LEAF], *cols)]
             a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
             pairs = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             pairs = unseen(pairs)
